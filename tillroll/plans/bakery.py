@@ -1,0 +1,26 @@
+"""The sales script's session pipeline: price table and top-item table
+are materialised once (the scripts' ``CREATE TEMP TABLE ... AS``), then
+joined on (item, price).
+
+Both snapshots are reliable checkpoints in ``spark.checkpoint.dir``: the
+final join reads them without recomputing the sales scans, and a lost
+executor does not force the lineage to be replayed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tillroll.operators.pricing import price_changes, price_effective_months
+from tillroll.operators.ranking import top_items_price_breakdown
+from tillroll.sinks import snapshot
+
+
+def price_history(sales: DataFrame, n: int = 20, ts_col: str = "sale_datetime",
+                  exclude=(".",), price_view: str = "price_table",
+                  top_view: str = "top20_table") -> DataFrame:
+    """Top-``n`` items broken down by price, each price with the month(s)
+    it began. Registers the two intermediate tables as temp views."""
+    changes = snapshot(price_changes(sales, ts_col), price_view)
+    top = snapshot(top_items_price_breakdown(sales, n, exclude), top_view)
+    return price_effective_months(top, changes)

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The original scripts contain no stream processing (no watermarks, stream
+windows, state or late data), so nothing is built here. Every report in
+``tillroll.operators`` is a plain DataFrame function; it can be applied to
+each micro-batch of a Structured Streaming query with ``foreachBatch`` if a
+user needs that, without code in this package.
+"""
