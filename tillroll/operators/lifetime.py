@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.fmt import iso_week_label
 from tillroll.functions.order import pg_asc
 from tillroll.operators.numbering import group_row_number
+from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources.calendar import day_weeks, week_list
 
 VARIANTS = ("capped", "open")
@@ -155,93 +156,157 @@ def _bounds(weeks: DataFrame, as_of) -> DataFrame:
                      F.max("week_ord").alias("_max_ord"))
 
 
-def weekly_spine(base: DataFrame, dates: DataFrame, as_of=None, variant: str = "capped") -> DataFrame:
-    """``base`` rows exploded to one row per week of their interval:
-    adds order_week, order_ord and week_counter (1-based)."""
+def _intervals(base: DataFrame, weeks: DataFrame, as_of, variant: str) -> DataFrame:
+    """``base`` plus the interval of week ordinals each row covers
+    (``_lo``..``_hi``, inclusive) and ``_has_weeks``; ``_keep`` says whether
+    a row without weeks still yields one NULL-week row."""
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {VARIANTS}")
-    weeks, _ = _weeks(dates)
     lo = F.col("conversion_ord")
     has_next = F.col("next_conversion_week").isNotNull()
-    if variant == "capped":
-        hi = F.when(has_next, F.col("next_ord") - 1).otherwise(F.col("_cap_hi"))
-    else:
-        hi = F.when(has_next, F.col("next_ord") - 1).otherwise(F.col("_max_ord"))
-    seq = F.when(lo.isNotNull() & hi.isNotNull() & (lo <= hi), F.sequence(lo, hi))
+    last = F.col("_cap_hi") if variant == "capped" else F.col("_max_ord")
+    hi = F.when(has_next, F.col("next_ord") - 1).otherwise(last)
     with_bounds = base.crossJoin(F.broadcast(_bounds(weeks, as_of)))  # one-row side
-    exploded = with_bounds.select("*", F.posexplode_outer(seq).alias("_pos", "order_ord"))
-    if variant == "open":
-        exploded = exploded.where(F.col("order_ord").isNotNull() | ~has_next)
+    has_weeks = lo.isNotNull() & hi.isNotNull() & (lo <= hi)
+    # capped: the bound is part of the join, so an empty interval keeps one
+    # NULL-week row; open: the bound filters after the join, so only a row
+    # without a next conversion survives as a NULL-week row.
+    keep = F.lit(True) if variant == "capped" else ~has_next
+    return with_bounds.select(
+        "*", lo.alias("_lo"), hi.alias("_hi"), has_weeks.alias("_has_weeks"), keep.alias("_keep"),
+    ).drop("_cap_hi", "_max_ord")
+
+
+def weekly_spine(base: DataFrame, dates: DataFrame, as_of=None, variant: str = "capped") -> DataFrame:
+    """``base`` rows exploded to one row per week of their interval:
+    adds order_week, order_ord and week_counter (1-based)."""
+    weeks, _ = _weeks(dates)
+    iv = _intervals(base, weeks, as_of, variant)
+    seq = F.when(F.col("_has_weeks"), F.sequence("_lo", "_hi"))
+    exploded = iv.where(F.col("_has_weeks") | F.col("_keep")).select(
+        "*", F.posexplode_outer(seq).alias("_pos", "order_ord"))
     labels = weeks.select(F.col("week_ord").alias("_wo"), F.col("year_week").alias("order_week"))
     spine = exploded.join(labels, F.col("order_ord") == F.col("_wo"), "left")
     return spine.withColumn("week_counter", F.coalesce(F.col("_pos") + 1, F.lit(1)).cast("int")).drop(
-        "_pos", "_wo", "_cap_hi", "_max_ord")
+        "_pos", "_wo", "_lo", "_hi", "_has_weeks", "_keep")
 
 
 def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, orders: DataFrame,
-                             dates: DataFrame, as_of=None, variant: str = "capped") -> DataFrame:
+                             dates: DataFrame, as_of=None, variant: str = "capped",
+                             partitions: int | None = None) -> DataFrame:
     """The weekly lifetime table, columns in sink order (``SINK_COLUMNS``).
 
     ``as_of`` is the cap week label ('YYYY-Www') of the capped variant;
     None means the ISO week of the current date.
+
+    The spine is generated inside partitions hashed by customer_id and is
+    never shuffled when the session has
+    ``spark.sql.requireAllClusterKeysForCoPartition=false``: the weekly
+    orders and the per-conversion attributes are co-partitioned by
+    customer and hash-joined, and both running windows are partitioned by
+    customer. With Spark's default the result is the same but the spine is
+    shuffled for the joins. Only narrow rows (keys, week, amounts) are
+    sorted for the windows; text attributes are joined afterwards.
     """
+    spark = customers.sparkSession
+    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    weeks, _ = _weeks(dates)
+    capped = variant == "capped"
+    zero = F.lit(0).cast("decimal(18,2)")
+
     base = conversion_base(customers, conversions, dates)
+    iv = _intervals(base, weeks, as_of, variant)
     first = conversion_order(customers, conversions, orders, dates).select(
         F.col("conversion_id").alias("_fc"), F.col("order_week").alias("first_order_week"),
         F.col("order_total_paid").alias("first_order_total_paid"))
-    # One row per conversion here; joined before the explode, so the spine
-    # is never shuffled for it (a conversion with k orders fans out k times,
-    # as in the original).
-    base = base.join(first, F.col("conversion_id") == F.col("_fc"), "left").drop("_fc")
-    spine = weekly_spine(base, dates, as_of, variant)
+    # A conversion matching k orders appears k times in the original (the
+    # join comes before the running sums), so its amounts count k times.
+    fanout = first.groupBy("_fc").agg(F.count(F.lit(1)).alias("_k"))
+    # NULL customer ids form one group (as in PARTITION BY); a non-null key
+    # pair keeps every join and window on plain equalities of _cv, which the
+    # hash partitioning by _cv satisfies.
+    iv = iv.withColumn("_cv", F.coalesce("customer_id", F.lit(0))).withColumn("_cn", F.col("customer_id").isNull())
+    # One row per (customer, conversion): read by four branches below, so it
+    # is materialised once in the checkpoint directory (also cuts lineage).
+    ensure_checkpoint_dir(spark)
+    iv = iv.checkpoint(eager=True)
+    keys = ["_cv", "_cn", "customer_id", "conversion_id", "conversion_number"]
+    narrow = (iv.select(*keys, "_lo", "_hi", "_has_weeks", "_keep")
+              .join(fanout, F.col("conversion_id") == F.col("_fc"), "left")
+              .withColumn("_k", F.coalesce("_k", F.lit(1)).cast("decimal(10,0)")))
+
+    # Rows with weeks. Their intervals do not overlap within a customer, so
+    # a customer has at most #weeks of them: hashing them by customer is
+    # safe even for a customer with a third of all conversions.
+    dated = (narrow.where(F.col("_has_weeks")).repartition(n, "_cv")
+             .select(*keys, "_k", F.posexplode(F.sequence("_lo", "_hi")).alias("_pos", "order_ord")))
     weekly = weekly_orders(orders, dates, customers).select(
         F.col("customer_id").alias("_wc"), F.col("order_ord").alias("_wo"),
-        "orders_count", "total_before_discounts", "total_discounts", "total_paid_in_week")
-
-    zero = F.lit(0).cast("decimal(18,2)")
-    capped = variant == "capped"
-
-    # Rows with a week: bounded per customer.
-    dated = spine.where(F.col("order_ord").isNotNull())
-    dated = dated.join(weekly, (F.col("customer_id") == F.col("_wc")) & (F.col("order_ord") == F.col("_wo")),
-                       "left").drop("_wc", "_wo")
+        "orders_count", "total_before_discounts", "total_discounts", "total_paid_in_week",
+    ).repartition(n, "_wc")
+    # Hash join: the co-partitioned spine is neither moved nor sorted.
+    dated = dated.join(weekly.hint("shuffle_hash"),
+                       (F.col("_cv") == F.col("_wc")) & (F.col("order_ord") == F.col("_wo")) & ~F.col("_cn"),
+                       "left")
     paid = F.coalesce("total_paid_in_week", zero) if capped else F.col("total_paid_in_week")
-    dated = dated.withColumn("_paid", paid).repartition("customer_id")
-    by_conv = (Window.partitionBy("customer_id", "conversion_id").orderBy(pg_asc("order_ord"))
+    dated = dated.withColumn("_paid", paid * F.col("_k"))
+    by_conv = (Window.partitionBy("_cv", "_cn", "conversion_id").orderBy(pg_asc("order_ord"))
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    by_cust = (Window.partitionBy("customer_id").orderBy(pg_asc("order_ord"))
+    by_cust = (Window.partitionBy("_cv", "_cn").orderBy(pg_asc("order_ord"))
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    dated = dated.withColumn("conversion_cumulative_revenue", F.sum("_paid").over(by_conv)) \
-                 .withColumn("lifetime_cumulative_revenue", F.sum("_paid").over(by_cust))
-
-    # Rows without a week: their frames cover the whole customer (NULLs
-    # sort last), so the running sum is the customer's total.
-    totals = dated.groupBy(F.col("customer_id").alias("_tc")).agg(F.sum("_paid").alias("_total"))
-    undated = spine.where(F.col("order_ord").isNull())
-    undated = undated.join(totals, F.col("customer_id").eqNullSafe(F.col("_tc")), "left")
-    for c in ("orders_count", "total_before_discounts", "total_discounts", "total_paid_in_week"):
-        undated = undated.withColumn(c, F.lit(None).cast(dated.schema[c].dataType))
-    undated = undated.withColumn(
-        "conversion_cumulative_revenue", zero if capped else F.lit(None).cast("decimal(18,2)"))
-    life = F.coalesce("_total", zero) if capped else F.col("_total")
-    undated = undated.withColumn("lifetime_cumulative_revenue", life)
-
-    def finish(df: DataFrame) -> DataFrame:
-        return df.select(
-            "customer_id", "first_name", "last_name", "conversion_id",
-            F.col("conversion_number").cast("int").alias("conversion_number"),
-            "conversion_type", "conversion_date",
-            "conversion_week", "next_conversion_week", "conversion_channel",
-            "first_order_week", "first_order_total_paid", "week_counter", "order_week",
-            F.when(F.col("orders_count") > 0, 1).otherwise(0).alias("orders_placed"),
-            F.coalesce("total_before_discounts", zero).alias("total_before_discounts"),
-            F.coalesce("total_discounts", zero).alias("total_discounts"),
-            F.coalesce("total_paid_in_week", zero).alias("total_paid_in_week"),
-            F.col("conversion_cumulative_revenue").cast("decimal(38,2)").alias("conversion_cumulative_revenue"),
-            F.col("lifetime_cumulative_revenue").cast("decimal(38,2)").alias("lifetime_cumulative_revenue"),
-        )
-
-    return finish(dated).unionByName(finish(undated))
+    windowed = (dated.withColumn("conversion_cumulative_revenue", F.sum("_paid").over(by_conv))
+                .withColumn("lifetime_cumulative_revenue", F.sum("_paid").over(by_cust))
+                .withColumn("week_counter", (F.col("_pos") + 1).cast("int")))
+
+    # Rows without weeks (unbounded per customer) come straight from the
+    # conversion rows. NULL weeks sort last, so their customer frame is the
+    # whole customer: the running sum is the customer's total.
+    totals = dated.groupBy(F.col("_cv").alias("_tv"), F.col("_cn").alias("_tn")).agg(
+        F.sum("_paid").alias("_total"))
+    undated = (narrow.where(~F.col("_has_weeks") & F.col("_keep"))
+               .join(totals, (F.col("_cv") == F.col("_tv")) & (F.col("_cn") == F.col("_tn")), "left")
+               .select(*keys,
+                       F.lit(None).cast("int").alias("order_ord"),
+                       F.lit(1).alias("week_counter"),
+                       F.lit(None).cast("bigint").alias("orders_count"),
+                       *[F.lit(None).cast("decimal(28,2)").alias(c) for c in
+                         ("total_before_discounts", "total_discounts", "total_paid_in_week")],
+                       (zero if capped else F.lit(None).cast("decimal(18,2)"))
+                       .cast("decimal(38,2)").alias("conversion_cumulative_revenue"),
+                       (F.coalesce("_total", zero) if capped else F.col("_total"))
+                       .cast("decimal(38,2)").alias("lifetime_cumulative_revenue")))
+    measures = [*keys, "order_ord", "week_counter", "orders_count", "total_before_discounts",
+                "total_discounts", "total_paid_in_week",
+                F.col("conversion_cumulative_revenue").cast("decimal(38,2)").alias("conversion_cumulative_revenue"),
+                F.col("lifetime_cumulative_revenue").cast("decimal(38,2)").alias("lifetime_cumulative_revenue")]
+    rows = windowed.select(*measures).unionByName(undated.select(*measures))
+
+    # Per-conversion text attributes and the first order (with its fan-out),
+    # co-partitioned by customer and hash-joined onto the finished rows.
+    attrs = (iv.select(F.col("_cv").alias("_ac"), F.col("_cn").alias("_an0"),
+                       F.col("conversion_number").alias("_an"),
+                       "first_name", "last_name", "conversion_type", "conversion_date",
+                       "conversion_week", "next_conversion_week", "conversion_channel",
+                       F.col("conversion_id").alias("_aid"))
+             .join(first, F.col("_aid") == F.col("_fc"), "left")
+             .repartition(n, "_ac"))
+    labels = weeks.select(F.col("week_ord").alias("_wo2"), F.col("year_week").alias("order_week"))
+    out = (rows.join(attrs.hint("shuffle_hash"),
+                     (F.col("_cv") == F.col("_ac")) & (F.col("_cn") == F.col("_an0"))
+                     & (F.col("conversion_number") == F.col("_an")))
+           .join(labels, F.col("order_ord") == F.col("_wo2"), "left"))
+    return out.select(
+        "customer_id", "first_name", "last_name", "conversion_id",
+        F.col("conversion_number").cast("int").alias("conversion_number"),
+        "conversion_type", "conversion_date",
+        "conversion_week", "next_conversion_week", "conversion_channel",
+        "first_order_week", "first_order_total_paid", "week_counter", "order_week",
+        F.when(F.col("orders_count") > 0, 1).otherwise(0).alias("orders_placed"),
+        F.coalesce("total_before_discounts", zero).alias("total_before_discounts"),
+        F.coalesce("total_discounts", zero).alias("total_discounts"),
+        F.coalesce("total_paid_in_week", zero).alias("total_paid_in_week"),
+        "conversion_cumulative_revenue", "lifetime_cumulative_revenue",
+    )
 
 
 def reconcile(view: DataFrame) -> DataFrame:

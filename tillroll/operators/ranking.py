@@ -23,7 +23,10 @@ from tillroll.functions.clock import hour_of
 from tillroll.functions.fmt import currency_text, hour_window_label, year_month_label
 from tillroll.functions.order import pg_asc, pg_desc
 
-REVENUE = F.col("quantity") * F.col("unit_price")
+
+def _revenue():
+    """Line revenue: quantity (INT) x unit_price (DECIMAL), exact."""
+    return F.col("quantity") * F.col("unit_price")
 
 
 def top_items_by_month(sales: DataFrame, n: int = 3, date_col: str = "sale_date") -> DataFrame:
@@ -34,7 +37,7 @@ def top_items_by_month(sales: DataFrame, n: int = 3, date_col: str = "sale_date"
         F.col("article").alias("item_name"),
     ).agg(
         F.sum("quantity").alias("total_quantity_sold"),
-        F.sum(REVENUE).alias("total_revenue"),
+        F.sum(_revenue()).alias("total_revenue"),
         F.countDistinct("ticket_number").alias("unique_tickets"),
     )
     w = Window.partitionBy("month_start").orderBy(pg_desc("total_quantity_sold"))
@@ -78,7 +81,7 @@ def best_adjacent_hours(sales: DataFrame, width: int = 2, lo: int = 0, hi: int =
     the default hi=22, hour 23 is never summed, as in the original."""
     hourly = sales.groupBy(hour_of(sales, time_col).alias("hour_of_day")).agg(
         F.sum("quantity").alias("hourly_quantity"),
-        F.sum(REVENUE).alias("hourly_revenue"),
+        F.sum(_revenue()).alias("hourly_revenue"),
     )
     spark = sales.sparkSession
     hours = spark.range(lo, hi + 1, numPartitions=1).select(F.col("id").cast("int").alias("hour_of_day"))
@@ -106,7 +109,7 @@ def best_adjacent_hours(sales: DataFrame, width: int = 2, lo: int = 0, hi: int =
 def revenue_by_month(sales: DataFrame, date_col: str = "sale_date") -> DataFrame:
     """Revenue per month, with a 'YYYY-MM' label and currency text."""
     by_month = sales.groupBy(F.trunc(F.col(date_col), "month").alias("year_month")).agg(
-        F.sum(REVENUE).alias("total_revenue"))
+        F.sum(_revenue()).alias("total_revenue"))
     return by_month.select(
         "year_month",
         year_month_label("year_month").alias("year_month_char"),
@@ -118,7 +121,7 @@ def revenue_by_month(sales: DataFrame, date_col: str = "sale_date") -> DataFrame
 def top_ticket_lines(sales: DataFrame, n: int = 10, ts_col: str = "sale_datetime") -> DataFrame:
     """All lines of the ``n`` tickets with most revenue (ties by ticket
     number), with line and ticket revenue as currency text."""
-    per_ticket = sales.groupBy("ticket_number").agg(F.sum(REVENUE).alias("ticket_total_revenue_num"))
+    per_ticket = sales.groupBy("ticket_number").agg(F.sum(_revenue()).alias("ticket_total_revenue_num"))
     top = per_ticket.orderBy(pg_desc("ticket_total_revenue_num"), pg_asc("ticket_number")).limit(n)
     # ``top`` holds at most n rows: a bounded broadcast.
     lines = sales.join(F.broadcast(top), "ticket_number")
@@ -130,7 +133,7 @@ def top_ticket_lines(sales: DataFrame, n: int = 10, ts_col: str = "sale_datetime
         F.col("article").alias("item_name"),
         "quantity",
         currency_text("unit_price").alias("unit_price"),
-        currency_text(REVENUE).alias("line_revenue"),
+        currency_text(_revenue()).alias("line_revenue"),
         currency_text("ticket_total_revenue_num").alias("ticket_total_revenue"),
     )
 
@@ -141,7 +144,7 @@ def top_items(sales: DataFrame, n: int = 20, exclude=(".",)) -> DataFrame:
     kept = sales.where(~F.col("article").isin(list(exclude))) if exclude else sales
     per_item = kept.groupBy(F.col("article").alias("item_name")).agg(
         F.sum("quantity").alias("total_quantity_sold"),
-        F.sum(REVENUE).alias("total_revenue"),
+        F.sum(_revenue()).alias("total_revenue"),
     )
     order = [pg_desc("total_revenue"), pg_asc("item_name")]
     # Cut to n rows first; the numbering window then runs over n rows only.
@@ -155,7 +158,7 @@ def top_items_price_breakdown(sales: DataFrame, n: int = 20, exclude=(".",)) ->
     j = sales.join(F.broadcast(ranked), sales.article == ranked.item_name)
     return (
         j.groupBy("article", "ranking", "unit_price")
-        .agg(F.sum(REVENUE).alias("price_revenue"))
+        .agg(F.sum(_revenue()).alias("price_revenue"))
         .orderBy(pg_desc("price_revenue"), pg_asc("article"))
     )
 

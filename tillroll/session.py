@@ -17,17 +17,22 @@ def local_session(cores: int = 8, partitions: int | None = None,
 
     * AQE on (partition coalescing, skew-join splitting, runtime broadcast).
     * UTC session time zone (date_trunc/hour on TIMESTAMP use it).
+    * requireAllClusterKeysForCoPartition off (see operators.lifetime).
     * Spark UI off: no server is started.
     """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Join children hashed on a subset of the join keys are co-partitioned:
+        # the lifetime spine is joined and windowed where it was generated.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
