@@ -27,7 +27,8 @@ def hour_of(df: DataFrame, col: str) -> Column:
 def date_plus_time(df: DataFrame, date_col: str, time_col: str) -> Column:
     """DATE + TIME as TIMESTAMP_NTZ (PostgreSQL ``date::timestamp + time``)."""
     if isinstance(df.schema[time_col].dataType, T.StringType):
-        text = F.concat_ws(" ", F.col(date_col).cast("string"), F.col(time_col))
+        # concat (not concat_ws): a NULL date or time gives a NULL timestamp.
+        text = F.concat(F.col(date_col).cast("string"), F.lit(" "), F.col(time_col))
         return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss"))
     if _type_name(df, time_col) == "time":
         return F.make_timestamp_ntz(F.col(date_col), F.col(time_col))
