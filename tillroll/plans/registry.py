@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tillroll.operators import grain, lifetime, pricing, quality, ranking, stats
 from tillroll.plans.bakery import price_history
+from tillroll.sinks import snapshot
 from tillroll.sources import views
 
 # Fixed arguments of the registered queries (FIXTURES.md "Fixed arguments"
@@ -126,6 +127,13 @@ def build() -> dict[str, Query]:
     q["price_changes"] = lambda s, b: pricing.price_changes(_sales(s, b))
     q["price_effective_months"] = lambda s, b: price_history(_sales(s, b), n=20)
 
+    def price_table_q(s, b):
+        # S23 materialised as a session table, then S24 reads it back.
+        snapshot(pricing.price_changes(_sales(s, b)), "price_table")
+        return s.table("price_table")
+
+    q["price_table"] = price_table_q
+
     # --- customer 360: grain checks --------------------------------------
     q["order_grain"] = lambda s, b: grain.grain_violations(
         views.order_products(s, b), "order_number", "fk_product", 1, "unique_products_count")
