@@ -138,3 +138,27 @@ def test_conversion_number_ties_and_next_week(spark):
         "conversion_number").collect()
     assert [(r.conversion_id, r.conversion_number, r.next_conversion_week) for r in base] == \
         [(1101, 1, "2021-W05"), (1102, 2, None)]
+
+
+def test_refresh_customer360_writes_typed_table_and_reconciles(spark):
+    from tillroll.plans.customer360 import failed_checks, grain_checks, refresh_customer360
+
+    customers, conversions, orders, dates = _frames(spark)
+    rec = refresh_customer360(spark, customers, conversions, orders, dates,
+                              table="c360.full_360_view", variant="capped", mode="recreate", as_of=CAP)
+    table = spark.table("c360.full_360_view")
+    assert table.columns == lifetime.SINK_COLUMNS
+    view = lifetime.customer_weekly_lifetime(customers, conversions, orders, dates, as_of=CAP)
+    assert table.count() == view.count()
+    got = {r.customer_id: (r.row_count, r.lifetime_cumulative_revenue) for r in rec.collect()}
+    want = {r.customer_id: (r.row_count, r.lifetime_cumulative_revenue)
+            for r in lifetime.reconcile(view).collect()}
+    assert got == want
+    # the fixture breaks three assumptions: a missing order, a first order in a
+    # later week, an order number matching two orders
+    bad = failed_checks(grain_checks(conversions, orders, dates))
+    assert "conversion_order_exists" in bad and "first_order_in_first_conversion_week" in bad
+    with pytest.raises(ValueError):
+        refresh_customer360(spark, customers, conversions, orders, dates,
+                            table="c360.full_360_view", as_of=CAP, strict=True)
+    assert spark.table("c360.full_360_view").count() == view.count()

@@ -258,15 +258,35 @@ def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, order
                 .withColumn("lifetime_cumulative_revenue", F.sum("_paid").over(by_cust))
                 .withColumn("week_counter", (F.col("_pos") + 1).cast("int")))
 
+    # Per-conversion text attributes and the first order (with its fan-out),
+    # for conversions with weeks only (bounded per customer), co-partitioned
+    # by customer and hash-joined onto the finished rows.
+    attr_cols = ["first_name", "last_name", "conversion_type", "conversion_date",
+                 "conversion_week", "next_conversion_week", "conversion_channel"]
+    attrs = (iv.where(F.col("_has_weeks"))
+             .select(F.col("_cv").alias("_ac"), F.col("_cn").alias("_an0"),
+                     F.col("conversion_number").alias("_an"), F.col("conversion_id").alias("_aid"),
+                     *attr_cols)
+             .join(first, F.col("_aid") == F.col("_fc"), "left")
+             .repartition(n, "_ac"))
+    labels = weeks.select(F.col("week_ord").alias("_wo2"), F.col("year_week").alias("order_week"))
+    dated_out = (windowed.join(attrs.hint("shuffle_hash"),
+                               (F.col("_cv") == F.col("_ac")) & (F.col("_cn") == F.col("_an0"))
+                               & (F.col("conversion_number") == F.col("_an")))
+                 .join(labels, F.col("order_ord") == F.col("_wo2"), "left"))
+
     # Rows without weeks (unbounded per customer) come straight from the
-    # conversion rows. NULL weeks sort last, so their customer frame is the
-    # whole customer: the running sum is the customer's total.
+    # per-conversion rows, which already hold every attribute; they never
+    # enter a window or a customer-hashed hash table. NULL weeks sort last,
+    # so their customer frame is the whole customer: the running sum is the
+    # customer's total (joined per customer; AQE splits a hot key).
     totals = dated.groupBy(F.col("_cv").alias("_tv"), F.col("_cn").alias("_tn")).agg(
         F.sum("_paid").alias("_total"))
-    undated = (narrow.where(~F.col("_has_weeks") & F.col("_keep"))
+    undated = (iv.where(~F.col("_has_weeks") & F.col("_keep"))
+               .join(first, F.col("conversion_id") == F.col("_fc"), "left")
                .join(totals, (F.col("_cv") == F.col("_tv")) & (F.col("_cn") == F.col("_tn")), "left")
-               .select(*keys,
-                       F.lit(None).cast("int").alias("order_ord"),
+               .select("*",
+                       F.lit(None).cast("string").alias("order_week"),
                        F.lit(1).alias("week_counter"),
                        F.lit(None).cast("bigint").alias("orders_count"),
                        *[F.lit(None).cast("decimal(28,2)").alias(c) for c in
@@ -275,38 +295,24 @@ def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, order
                        .cast("decimal(38,2)").alias("conversion_cumulative_revenue"),
                        (F.coalesce("_total", zero) if capped else F.col("_total"))
                        .cast("decimal(38,2)").alias("lifetime_cumulative_revenue")))
-    measures = [*keys, "order_ord", "week_counter", "orders_count", "total_before_discounts",
-                "total_discounts", "total_paid_in_week",
-                F.col("conversion_cumulative_revenue").cast("decimal(38,2)").alias("conversion_cumulative_revenue"),
-                F.col("lifetime_cumulative_revenue").cast("decimal(38,2)").alias("lifetime_cumulative_revenue")]
-    rows = windowed.select(*measures).unionByName(undated.select(*measures))
 
-    # Per-conversion text attributes and the first order (with its fan-out),
-    # co-partitioned by customer and hash-joined onto the finished rows.
-    attrs = (iv.select(F.col("_cv").alias("_ac"), F.col("_cn").alias("_an0"),
-                       F.col("conversion_number").alias("_an"),
-                       "first_name", "last_name", "conversion_type", "conversion_date",
-                       "conversion_week", "next_conversion_week", "conversion_channel",
-                       F.col("conversion_id").alias("_aid"))
-             .join(first, F.col("_aid") == F.col("_fc"), "left")
-             .repartition(n, "_ac"))
-    labels = weeks.select(F.col("week_ord").alias("_wo2"), F.col("year_week").alias("order_week"))
-    out = (rows.join(attrs.hint("shuffle_hash"),
-                     (F.col("_cv") == F.col("_ac")) & (F.col("_cn") == F.col("_an0"))
-                     & (F.col("conversion_number") == F.col("_an")))
-           .join(labels, F.col("order_ord") == F.col("_wo2"), "left"))
-    return out.select(
-        "customer_id", "first_name", "last_name", "conversion_id",
-        F.col("conversion_number").cast("int").alias("conversion_number"),
-        "conversion_type", "conversion_date",
-        "conversion_week", "next_conversion_week", "conversion_channel",
-        "first_order_week", "first_order_total_paid", "week_counter", "order_week",
-        F.when(F.col("orders_count") > 0, 1).otherwise(0).alias("orders_placed"),
-        F.coalesce("total_before_discounts", zero).alias("total_before_discounts"),
-        F.coalesce("total_discounts", zero).alias("total_discounts"),
-        F.coalesce("total_paid_in_week", zero).alias("total_paid_in_week"),
-        "conversion_cumulative_revenue", "lifetime_cumulative_revenue",
-    )
+    def finish(df: DataFrame) -> DataFrame:
+        return df.select(
+            "customer_id", "first_name", "last_name", "conversion_id",
+            F.col("conversion_number").cast("int").alias("conversion_number"),
+            "conversion_type", "conversion_date",
+            "conversion_week", "next_conversion_week", "conversion_channel",
+            "first_order_week", "first_order_total_paid",
+            F.col("week_counter").cast("int").alias("week_counter"), "order_week",
+            F.when(F.col("orders_count") > 0, 1).otherwise(0).alias("orders_placed"),
+            F.coalesce("total_before_discounts", zero).alias("total_before_discounts"),
+            F.coalesce("total_discounts", zero).alias("total_discounts"),
+            F.coalesce("total_paid_in_week", zero).alias("total_paid_in_week"),
+            F.col("conversion_cumulative_revenue").cast("decimal(38,2)").alias("conversion_cumulative_revenue"),
+            F.col("lifetime_cumulative_revenue").cast("decimal(38,2)").alias("lifetime_cumulative_revenue"),
+        )
+
+    return finish(dated_out).unionByName(finish(undated))
 
 
 def reconcile(view: DataFrame) -> DataFrame:

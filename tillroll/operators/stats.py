@@ -2,8 +2,10 @@
 
 Scale notes.
 
-* Moments (count, min, max, avg, sum, sample stddev) are one global
-  aggregate with partial aggregation per task.
+* ``summary_stats`` reads its input once: a grouped count per distinct
+  value (partial aggregation, so a hot value costs one map entry per task),
+  from which count, sum, min, max, mean, the centred second moment and the
+  quartiles are all derived.
 * ``exact_percentiles`` gives PERCENTILE_CONT exactly without Spark's
   ``percentile`` aggregate, whose final step merges a value->count map of
   every distinct value in one task. Here the distinct values (with their
@@ -30,22 +32,22 @@ from tillroll.functions.order import pg_asc, pg_desc
 from tillroll.session import ensure_checkpoint_dir
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
-                      names: Sequence[str] | None = None) -> DataFrame:
-    """One row: PERCENTILE_CONT(p) of the non-NULL values of ``col`` for
-    each p, as DOUBLE (NULL when there are no values)."""
-    names = list(names) if names else [f"p{int(round(p * 100))}" for p in probs]
+def _value_counts_ranged(df: DataFrame, col: str) -> DataFrame:
+    """Distinct values of ``col`` (NULL included) with their row counts,
+    range-partitioned by value, with the partition id pinned by a reliable
+    checkpoint: columns _v, _c, _p."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return (counts.repartitionByRange(n_parts, "_v")
+            .withColumn("_p", F.spark_partition_id())
+            .checkpoint(eager=True))
 
-    counts = (df.where(F.col(col).isNotNull())
-              .groupBy(F.col(col).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    ranged = (counts.repartitionByRange(n_parts, "_v")
-              .withColumn("_p", F.spark_partition_id())
-              .checkpoint(eager=True))
 
+def _percentiles_from_ranged(ranged: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    spark = ranged.sparkSession
+    ranged = ranged.where(F.col("_v").isNotNull())
     run_w = (Window.partitionBy("_p").orderBy("_v")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_run", F.sum("_c").over(run_w))
@@ -74,22 +76,59 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
     return res.agg(*[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)])
 
 
+def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
+                      names: Sequence[str] | None = None) -> DataFrame:
+    """One row: PERCENTILE_CONT(p) of the non-NULL values of ``col`` for
+    each p, as DOUBLE (NULL when there are no values)."""
+    names = list(names) if names else [f"p{int(round(p * 100))}" for p in probs]
+    return _percentiles_from_ranged(_value_counts_ranged(df, col), probs, names)
+
+
 def summary_stats(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """Non-NULL count, rows, min, max, avg, sum, sample stddev, quartiles
-    and IQR of ``col``, in one row."""
+    and IQR of ``col``, in one row.
+
+    One pass over ``df``: everything is computed from the count of each
+    distinct value (a hot value is combined map-side). Sums over DECIMAL
+    values are exact; the sample variance is the centred second moment
+    sum(c * (v - mean)^2) / (n - 1), computed after the mean is known, so it
+    does not lose precision the way the sum-of-squares formula does.
+    """
     name = name or col
-    moments = df.agg(
-        F.count(col).alias("non_null_rows"),
-        F.count(F.lit(1)).alias("total_rows"),
-        F.min(col).alias(f"min_{name}"),
-        F.max(col).alias(f"max_{name}"),
-        F.avg(col).alias(f"avg_{name}"),
-        F.sum(col).alias(f"total_{name}"),
-        F.stddev_samp(col).alias(f"stddev_{name}"),
+    dtype = df.schema[col].dataType
+    ranged = _value_counts_ranged(df, col)
+    v, c = F.col("_v"), F.col("_c")
+    if isinstance(dtype, T.DecimalType):
+        sum_type = T.DecimalType(min(38, dtype.precision + 10), dtype.scale)
+        avg_type = T.DecimalType(min(38, dtype.precision + 4), min(38, dtype.scale + 4))
+    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        sum_type, avg_type = T.LongType(), T.DoubleType()
+    else:
+        sum_type, avg_type = T.DoubleType(), T.DoubleType()
+    known = v.isNotNull()
+    moments = ranged.agg(
+        F.coalesce(F.sum(F.when(known, c).otherwise(0)), F.lit(0)).alias("non_null_rows"),
+        F.coalesce(F.sum(c), F.lit(0)).alias("total_rows"),
+        F.min(v).alias(f"min_{name}"),
+        F.max(v).alias(f"max_{name}"),
+        F.sum(v * c).cast(sum_type).alias(f"total_{name}"),
+    )
+    n = F.col("non_null_rows")
+    moments = moments.withColumn(
+        f"avg_{name}", F.when(n > 0, F.col(f"total_{name}") / n).cast(avg_type))
+    mean = moments.select(F.col(f"avg_{name}").cast("double").alias("_mean"))
+    m2 = (ranged.where(known).crossJoin(F.broadcast(mean))  # one-row side
+          .agg(F.sum(c * F.pow(v.cast("double") - F.col("_mean"), 2)).alias("_m2")))
+    q = _percentiles_from_ranged(ranged, [0.25, 0.5, 0.75],
+                                 [f"q1_{name}", f"median_{name}", f"q3_{name}"])
+    out = moments.crossJoin(m2).crossJoin(q)  # one row each
+    stddev = F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1)))
+    return out.select(
+        "non_null_rows", "total_rows", f"min_{name}", f"max_{name}", f"avg_{name}",
+        f"total_{name}", stddev.alias(f"stddev_{name}"),
+        f"q1_{name}", f"median_{name}", f"q3_{name}",
+        (F.col(f"q3_{name}") - F.col(f"q1_{name}")).alias(f"iqr_{name}"),
     )
-    q = exact_percentiles(df, col, [0.25, 0.5, 0.75], [f"q1_{name}", f"median_{name}", f"q3_{name}"])
-    out = moments.crossJoin(q)  # one row x one row
-    return out.withColumn(f"iqr_{name}", F.col(f"q3_{name}") - F.col(f"q1_{name}"))
 
 
 def _bucket_expr(dtype: T.DataType, bins: int):
