@@ -7,9 +7,9 @@ from tillroll.functions.fmt import (
     iso_week_label,
     year_month_label,
 )
-from tillroll.functions.order import pg_asc, pg_desc
+from tillroll.functions.order import pg_asc, pg_desc, total_order
 
 __all__ = [
     "currency_text", "date_plus_time", "hour_of", "hour_window_label",
-    "iso_week_label", "pg_asc", "pg_desc", "year_month_label",
+    "iso_week_label", "pg_asc", "pg_desc", "total_order", "year_month_label",
 ]

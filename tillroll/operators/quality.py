@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.clock import date_plus_time
-from tillroll.functions.order import pg_asc, pg_desc
+from tillroll.functions.order import pg_desc, total_order
 
 
 def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -34,29 +34,28 @@ def rows_sharing_key(df: DataFrame, key: str, condition: Column) -> DataFrame:
     (e.g. every line of the tickets that have a line without a price).
     NULL keys never match."""
     keys = df.where(condition).select(key)
-    return df.join(keys, on=key, how="left_semi").orderBy(pg_asc(key))
+    out = df.join(keys, on=key, how="left_semi")
+    return out.orderBy(*total_order(out, [key]))
 
 
 def duplicate_groups(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Groups of rows equal on ``cols`` (NULLs equal) occurring more than
     once, with their size, largest first."""
-    return (
-        df.groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("duplicate_count"))
-        .where(F.col("duplicate_count") > 1)
-        .orderBy(pg_desc("duplicate_count"))
-    )
+    groups = (df.groupBy(*cols)
+              .agg(F.count(F.lit(1)).alias("duplicate_count"))
+              .where(F.col("duplicate_count") > 1))
+    return groups.orderBy(*total_order(groups, [pg_desc("duplicate_count")]))
 
 
 def drill_down(df: DataFrame, condition: Column | None = None,
                order_by: Sequence[str | Column] = ("ticket_number",),
                cols: Sequence[str] | None = None) -> DataFrame:
     """Rows meeting ``condition``, in ``order_by`` order (ascending, NULLs
-    last, unless a Column with its own order is given)."""
+    last, unless a Column with its own order is given), ties broken by the
+    remaining columns. ``order_by`` names must be among ``cols``."""
     out = df if condition is None else df.where(condition)
-    keys = [pg_asc(c) if isinstance(c, str) else c for c in order_by]
-    out = out.orderBy(*keys) if keys else out
-    return out.select(*cols) if cols else out
+    out = out.select(*cols) if cols else out
+    return out.orderBy(*total_order(out, list(order_by))) if order_by else out
 
 
 def datetime_mismatch_count(df: DataFrame, date_col: str = "sale_date",

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.clock import hour_of
 from tillroll.functions.fmt import currency_text, hour_window_label, year_month_label
-from tillroll.functions.order import pg_asc, pg_desc
+from tillroll.functions.order import pg_asc, pg_desc, total_order
 
 
 def _revenue():
@@ -125,9 +125,8 @@ def top_ticket_lines(sales: DataFrame, n: int = 10, ts_col: str = "sale_datetime
     top = per_ticket.orderBy(pg_desc("ticket_total_revenue_num"), pg_asc("ticket_number")).limit(n)
     # ``top`` holds at most n rows: a bounded broadcast.
     lines = sales.join(F.broadcast(top), "ticket_number")
-    return lines.orderBy(
-        pg_desc("ticket_total_revenue_num"), pg_asc("ticket_number"), pg_asc(ts_col), pg_asc("article"),
-    ).select(
+    return lines.orderBy(*total_order(lines, [
+        pg_desc("ticket_total_revenue_num"), "ticket_number", ts_col, "article"])).select(
         year_month_label(ts_col).alias("year_month"),
         "ticket_number",
         F.col("article").alias("item_name"),
