@@ -50,3 +50,13 @@ def test_date_plus_time(spark):
     df = spark.createDataFrame([(d("2024-01-01"), "12:34:56"), (None, "01:00:00")], "dd date, t string")
     got = [r[0] for r in df.select(date_plus_time(df, "dd", "t").cast("string")).collect()]
     assert got == ["2024-01-01 12:34:56", None]
+
+
+def test_time_type_columns(spark):
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    try:
+        df = spark.sql("SELECT DATE'2024-01-01' AS dd, CAST('12:34:56' AS TIME) AS t")
+        r = df.select(hour_of(df, "t"), date_plus_time(df, "dd", "t").cast("string")).first()
+        assert tuple(r) == (12, "2024-01-01 12:34:56")
+    finally:
+        spark.conf.unset("spark.sql.timeType.enabled")

@@ -31,5 +31,5 @@ def date_plus_time(df: DataFrame, date_col: str, time_col: str) -> Column:
         text = F.concat(F.col(date_col).cast("string"), F.lit(" "), F.col(time_col))
         return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss"))
     if _type_name(df, time_col) == "time":
-        return F.make_timestamp_ntz(F.col(date_col), F.col(time_col))
+        return F.make_timestamp_ntz(date=F.col(date_col), time=F.col(time_col))
     raise TypeError(f"{time_col}: expected TIME or 'HH:mm:ss' text")
