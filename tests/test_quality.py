@@ -49,3 +49,11 @@ def test_datetime_mismatch_count(spark):
                                                F.to_timestamp_ntz(F.lit("2021-01-01 12:00:00")))
                        .otherwise(F.col("sale_datetime")))
     assert quality.datetime_mismatch_count(df).first().not_aligned == 1
+
+
+def test_reports_run_on_a_materialized_bucketed_table(spark):
+    from tillroll.sources import materialize
+
+    t = materialize(sales(spark, ROWS), "mat_sales", bucket_by="ticket_number", buckets=4)
+    assert t.count() == len(ROWS)
+    assert quality.duplicate_groups(t, ["ticket_number", "article"]).count() == 2

@@ -29,12 +29,25 @@ Plan, and why it scales:
        ordinals: linear in output rows, no nested-loop range join.
        week_counter is the position in the sequence.
     4. Spine rows with a week are at most (#weeks x fan-out) per customer,
-       so the running sums over them are ordinary windows after one
-       repartition by customer_id. Rows without a week (unbounded per
-       customer) never enter a window: their running sums are constants
-       or the customer's total, joined by customer (AQE splits a hot key).
+       so the running sums over them are ordinary windows. The conversions
+       with weeks are hashed by customer before the explode; the spine is
+       generated there, hash-joined with the co-partitioned weekly orders,
+       windowed on narrow rows, and hash-joined with the text attributes
+       (no shuffle of the spine with
+       ``spark.sql.requireAllClusterKeysForCoPartition=false``). Rows
+       without a week (unbounded per customer) never enter a window or a
+       customer-hashed table: their running sums are constants or the
+       customer's total, joined by customer (AQE splits a hot key).
     5. Weekly order totals are aggregated per (customer key, week) before
        the join to the customer dimension.
+    6. The per-conversion table is checkpointed once (it feeds four
+       branches) in ``spark.checkpoint.dir``.
+
+    The per-customer bound in 4 rests on conversion intervals not
+    overlapping. They can overlap only when a conversion whose date key is
+    missing from the date dimension sorts between two known ones (its NULL
+    week makes the previous interval run to the cap, as in the original);
+    such rows are still correct, just not bounded by #weeks.
 
 Deliberate differences from the original scripts:
     * Conversions of a customer are ordered by (conversion_date,

@@ -48,8 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
     """Return the reliable checkpoint directory of the session.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; Spark
-    picks it up at start. Only when nothing is set and ``allow_local`` is
-    true (tests, local runs) is a fresh local folder chosen.
+    picks it up at start. Only when nothing is set, ``allow_local`` is true
+    and the master is ``local[...]`` (tests, local runs) is a fresh local
+    folder chosen; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,7 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not allow_local:
+    if not (allow_local and sc.master.startswith("local")):
         raise RuntimeError(
             "no checkpoint directory: set spark.checkpoint.dir to a shared folder")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))

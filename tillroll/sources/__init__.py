@@ -2,7 +2,7 @@
 
 from tillroll.sources import views
 from tillroll.sources.calendar import date_dimension, date_key, day_weeks, week_list
-from tillroll.sources.tables import TABLES, read_table
+from tillroll.sources.tables import TABLES, materialize, read_table
 
-__all__ = ["TABLES", "date_dimension", "date_key", "day_weeks", "read_table",
+__all__ = ["TABLES", "date_dimension", "date_key", "day_weeks", "materialize", "read_table",
            "views", "week_list"]
