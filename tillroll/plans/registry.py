@@ -38,12 +38,22 @@ PROFILE_COLS = ["ticket_number", "sale_date", "sale_datetime", "article", "quant
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def present(df: DataFrame, round_cols: tuple[str, ...] = ()) -> DataFrame:
+# Integer columns that hold NULLs in the registered results (ids of
+# customers without a conversion). pandas turns a nullable BIGINT into
+# float64 on the Spark side and into Int64 on the DuckDB side, so both
+# engines present these as DOUBLE (exact below 2**53).
+NULLABLE_INT_COLS = ("conversion_id", "order_number")
+
+
+def present(df: DataFrame, round_cols: tuple[str, ...] = (),
+            double_cols: tuple[str, ...] = ()) -> DataFrame:
     """Comparison-friendly types: see the module docstring."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if f.name in round_cols:
+        if f.name in double_cols:
+            c = c.cast("double")
+        elif f.name in round_cols:
             c = F.round(c.cast("double"), 4)
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
@@ -184,11 +194,13 @@ def build() -> dict[str, Query]:
     q["lifetime_reconcile"] = lambda s, b: lifetime.reconcile(_lifetime("capped")(s, b))
     q["lifetime_open_reconcile"] = lambda s, b: lifetime.reconcile(_lifetime("open")(s, b))
 
-    return {name: _presented(fn) for name, fn in q.items()}
+    nullable_ids = {"conversion_base", "weekly_spine", "lifetime_capped", "lifetime_open"}
+    return {name: _presented(fn, NULLABLE_INT_COLS if name in nullable_ids else ())
+            for name, fn in q.items()}
 
 
-def _presented(fn: Query) -> Query:
+def _presented(fn: Query, double_cols: tuple[str, ...] = ()) -> Query:
     def run(spark: SparkSession, base: str) -> DataFrame:
-        return present(fn(spark, base))
+        return present(fn(spark, base), double_cols=double_cols)
     run.__name__ = getattr(fn, "__name__", "query")
     return run
