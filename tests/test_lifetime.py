@@ -78,10 +78,7 @@ def _duck(frames, capped):
     for name, df in zip(("customer_dimension", "conversions", "orders_fact", "date_dimension"), frames):
         con.register(name + "_pd", df.toPandas())
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM {name}_pd")
-    spine = oracle.SPINE_CAPPED.replace(oracle.AS_OF_WEEK, CAP) if capped else oracle.SPINE_OPEN
-    sql = "WITH " + ",\n".join([oracle.CONVERSION_BASE, oracle.ORDER_WEEK_DETAILS, oracle.WEEKLY_ORDERS,
-                                spine, oracle._final(capped)]) + "\n" + oracle.LIFETIME_SELECT
-    cur = con.execute(sql)
+    cur = con.execute(oracle.lifetime_sql(capped, cap=CAP, with_views=False))
     cols = [c[0] for c in cur.description]
     return cols, cur.fetchall()
 
