@@ -1,6 +1,6 @@
 from conftest import D, d, sales
 from tillroll.operators import grain, pricing
-from tillroll.plans.bakery import price_history
+from tillroll.plans.price_history import price_history
 
 
 def test_price_changes_history(spark):

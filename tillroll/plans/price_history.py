@@ -1,4 +1,4 @@
-"""The sales script's session pipeline: price table and top-item table
+"""The sales report session pipeline: price table and top-item table
 are materialised once (the scripts' ``CREATE TEMP TABLE ... AS``), then
 joined on (item, price).
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.operators import grain, lifetime, pricing, quality, ranking, stats
-from tillroll.plans.bakery import price_history
+from tillroll.plans.price_history import price_history
 from tillroll.sinks import snapshot
 from tillroll.sources import views
 
