@@ -137,28 +137,46 @@ def top_ticket_lines(sales: DataFrame, n: int = 10, ts_col: str = "sale_datetime
     )
 
 
+def _rank_items(per_item: DataFrame, n: int) -> DataFrame:
+    order = [pg_desc("total_revenue"), pg_asc("item_name")]
+    # Cut to n rows first; the numbering window then runs over n rows only.
+    top = per_item.orderBy(*order).limit(n)
+    return top.withColumn("ranking", F.row_number().over(Window.orderBy(*order)))
+
+
+def _kept(sales: DataFrame, exclude) -> DataFrame:
+    # ``article NOT IN exclude`` is NULL for a NULL article: dropped too.
+    return sales.where(~F.col("article").isin(list(exclude))) if exclude else sales
+
+
 def top_items(sales: DataFrame, n: int = 20, exclude=(".",)) -> DataFrame:
     """The ``n`` items with most revenue, ranked 1..n (ROW_NUMBER, ties by
     name). ``article NOT IN exclude`` also drops NULL articles."""
-    kept = sales.where(~F.col("article").isin(list(exclude))) if exclude else sales
-    per_item = kept.groupBy(F.col("article").alias("item_name")).agg(
+    per_item = _kept(sales, exclude).groupBy(F.col("article").alias("item_name")).agg(
         F.sum("quantity").alias("total_quantity_sold"),
         F.sum(_revenue()).alias("total_revenue"),
     )
-    order = [pg_desc("total_revenue"), pg_asc("item_name")]
-    # Cut to n rows first; the numbering window then runs over n rows only.
-    top = per_item.orderBy(*order).limit(n)
-    return top.withColumn("ranking", F.row_number().over(Window.orderBy(*order)))
+    return _rank_items(per_item, n)
 
 
 def top_items_price_breakdown(sales: DataFrame, n: int = 20, exclude=(".",)) -> DataFrame:
-    """Revenue of each of the top ``n`` items per unit price."""
-    ranked = top_items(sales, n, exclude).select("item_name", "ranking")
-    j = sales.join(F.broadcast(ranked), sales.article == ranked.item_name)
+    """Revenue of each of the top ``n`` items per unit price.
+
+    One pass over ``sales``: revenue per (item, price) is aggregated once;
+    the item ranking sums those partial sums (exact for DECIMAL, and NULL
+    only where every line is NULL, as a direct sum), and the top-n items are
+    joined back on the aggregate, not on the raw lines."""
+    by_price = sales.groupBy("article", "unit_price").agg(
+        F.sum("quantity").alias("_qty"), F.sum(_revenue()).alias("price_revenue"))
+    per_item = _kept(by_price, exclude).groupBy(F.col("article").alias("item_name")).agg(
+        F.sum("_qty").alias("total_quantity_sold"),
+        F.sum("price_revenue").alias("total_revenue"),
+    )
+    ranked = _rank_items(per_item, n).select("item_name", "ranking")
+    j = by_price.join(F.broadcast(ranked), by_price.article == ranked.item_name)  # n rows
     return (
-        j.groupBy("article", "ranking", "unit_price")
-        .agg(F.sum(_revenue()).alias("price_revenue"))
-        .orderBy(pg_desc("price_revenue"), pg_asc("article"))
+        j.select("article", "ranking", "unit_price", "price_revenue")
+        .orderBy(pg_desc("price_revenue"), pg_asc("article"), pg_asc("unit_price"))
     )
 
 
