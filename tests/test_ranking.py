@@ -38,11 +38,11 @@ def test_tickets_with_min_items_half_open_range(spark):
 
 
 def test_peak_hour_tie_goes_to_earliest(spark):
-    rows = [(1, "2021-07-01", "14:10:00", "BAGUETTE", 3, "1.00"),
-            (2, "2022-07-02", "09:10:00", "BAGUETTE", 3, "1.00"),
-            (3, "2022-08-02", "08:10:00", "BAGUETTE", 9, "1.00"),
-            (4, "2022-07-02", "08:10:00", "CROISSANT", 9, "1.00")]
-    out = ranking.peak_hour(sales(spark, rows), "BAGUETTE", 7).collect()
+    rows = [(1, "2021-07-01", "14:10:00", "ROLL", 3, "1.00"),
+            (2, "2022-07-02", "09:10:00", "ROLL", 3, "1.00"),
+            (3, "2022-08-02", "08:10:00", "ROLL", 9, "1.00"),
+            (4, "2022-07-02", "08:10:00", "TART", 9, "1.00")]
+    out = ranking.peak_hour(sales(spark, rows), "ROLL", 7).collect()
     assert [(r.sale_hour, r.total_quantity_sold) for r in out] == [(9, 3)]
 
 
@@ -82,3 +82,10 @@ def test_revenue_by_month_labels(spark):
     out = ranking.revenue_by_month(sales(spark, rows)).collect()
     assert [(r.year_month_char, r.total_revenue_char) for r in out] == \
         [("2021-01", "$2,469,135.80"), ("2021-02", "$-5.50")]
+
+
+def test_top_items_by_month_row_number_ties(spark):
+    rows = [(1, "2021-01-05", "10:00:00", "A", 10, "1.00"), (2, "2021-01-06", "10:00:00", "B", 8, "1.00"),
+            (3, "2021-01-07", "10:00:00", "C", 5, "1.00"), (4, "2021-01-08", "10:00:00", "D", 5, "1.00")]
+    out = ranking.top_items_by_month(sales(spark, rows), n=3, ties="row_number").collect()
+    assert [r.item_name for r in out] == ["A", "B", "C"]

@@ -21,6 +21,11 @@ def price_changes(sales: DataFrame, ts_col: str = "sale_datetime") -> DataFrame:
     monthly = sales.groupBy(
         "article", F.trunc(F.col(ts_col), "month").alias("month_start"),
     ).agg(F.max("unit_price").alias("month_price"))
+    return changes_from_monthly(monthly)
+
+
+def changes_from_monthly(monthly: DataFrame) -> DataFrame:
+    """``price_changes`` on (article, month_start, month_price) rows."""
     w = Window.partitionBy("article").orderBy(pg_asc("month_start"))
     changes = monthly.select(
         "article",

@@ -29,9 +29,14 @@ def _revenue():
     return F.col("quantity") * F.col("unit_price")
 
 
-def top_items_by_month(sales: DataFrame, n: int = 3, date_col: str = "sale_date") -> DataFrame:
+def top_items_by_month(sales: DataFrame, n: int = 3, date_col: str = "sale_date",
+                       ties: str = "rank") -> DataFrame:
     """Per month and item: units, revenue, distinct tickets; items with
-    RANK() <= n by units inside the month (ties kept)."""
+    RANK() <= n by units inside the month (ties kept, so a month may list
+    more than n items). ``ties="row_number"`` keeps exactly n, ties broken
+    by item name."""
+    if ties not in ("rank", "row_number"):
+        raise ValueError("ties must be 'rank' or 'row_number'")
     monthly = sales.groupBy(
         F.trunc(F.col(date_col), "month").alias("month_start"),
         F.col("article").alias("item_name"),
@@ -40,8 +45,13 @@ def top_items_by_month(sales: DataFrame, n: int = 3, date_col: str = "sale_date"
         F.sum(_revenue()).alias("total_revenue"),
         F.countDistinct("ticket_number").alias("unique_tickets"),
     )
-    w = Window.partitionBy("month_start").orderBy(pg_desc("total_quantity_sold"))
-    ranked = monthly.withColumn("rank_by_qty", F.rank().over(w)).where(F.col("rank_by_qty") <= n)
+    if ties == "rank":
+        w = Window.partitionBy("month_start").orderBy(pg_desc("total_quantity_sold"))
+        number = F.rank().over(w)
+    else:
+        w = Window.partitionBy("month_start").orderBy(pg_desc("total_quantity_sold"), pg_asc("item_name"))
+        number = F.row_number().over(w)
+    ranked = monthly.withColumn("rank_by_qty", number).where(F.col("rank_by_qty") <= n)
     return ranked.select(
         year_month_label("month_start").alias("year_month"), "item_name",
         "total_quantity_sold", "total_revenue", "unique_tickets", "rank_by_qty",
@@ -168,6 +178,12 @@ def top_items_price_breakdown(sales: DataFrame, n: int = 20, exclude=(".",)) ->
     joined back on the aggregate, not on the raw lines."""
     by_price = sales.groupBy("article", "unit_price").agg(
         F.sum("quantity").alias("_qty"), F.sum(_revenue()).alias("price_revenue"))
+    return breakdown_from_by_price(by_price, n, exclude)
+
+
+def breakdown_from_by_price(by_price: DataFrame, n: int = 20, exclude=(".",)) -> DataFrame:
+    """``top_items_price_breakdown`` on (article, unit_price, _qty,
+    price_revenue) rows."""
     per_item = _kept(by_price, exclude).groupBy(F.col("article").alias("item_name")).agg(
         F.sum("_qty").alias("total_quantity_sold"),
         F.sum("price_revenue").alias("total_revenue"),

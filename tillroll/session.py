@@ -33,6 +33,8 @@ def local_session(cores: int = 8, partitions: int | None = None,
         # Join children hashed on a subset of the join keys are co-partitioned:
         # the lifetime spine is joined and windowed where it was generated.
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # Delete checkpoint files once their DataFrames are unreachable.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
