@@ -36,11 +36,15 @@ def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     arbitrary but fixed order, as with ROW_NUMBER."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sort_cols = [pg_asc(k) for k in keys] + [pg_asc(c) if isinstance(c, str) else c for c in order]
+    # Without an explicit count AQE may merge adjacent ranges of a small
+    # input; merged ranges stay contiguous and ordered, which is all the
+    # numbering needs.
+    ranged = (df.repartitionByRange(partitions, *sort_cols) if partitions
+              else df.repartitionByRange(*sort_cols))
 
     pinned = (
-        df.repartitionByRange(n, *sort_cols)
+        ranged
         .sortWithinPartitions(*sort_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id())
