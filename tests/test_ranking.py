@@ -89,3 +89,10 @@ def test_top_items_by_month_row_number_ties(spark):
             (3, "2021-01-07", "10:00:00", "C", 5, "1.00"), (4, "2021-01-08", "10:00:00", "D", 5, "1.00")]
     out = ranking.top_items_by_month(sales(spark, rows), n=3, ties="row_number").collect()
     assert [r.item_name for r in out] == ["A", "B", "C"]
+
+
+def test_best_adjacent_hours_wider_window(spark):
+    rows = [(1, "2021-01-01", "08:00:00", "A", 3, "1.00"), (2, "2021-01-01", "09:00:00", "A", 3, "1.00"),
+            (3, "2021-01-01", "10:00:00", "A", 3, "1.00"), (4, "2021-01-01", "15:00:00", "A", 8, "1.00")]
+    out = ranking.best_adjacent_hours(sales(spark, rows), width=3).collect()
+    assert [(r.two_hour_window, r.total_quantity_sold) for r in out] == [("08:00-11:00", 9)]

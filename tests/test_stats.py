@@ -71,3 +71,8 @@ def test_value_counts_highest_first_nulls_first(spark):
     df = spark.createDataFrame([(D("1.00"),), (None,), (D("2.00"),), (D("1.00"),)], "p decimal(12,2)")
     got = [(r.p, r.record_count) for r in stats.value_counts(df, "p").collect()]
     assert got == [(None, 1), (D("2.00"), 1), (D("1.00"), 2)]
+
+
+def test_summary_stats_on_zero_rows(spark):
+    r = stats.summary_stats(spark.createDataFrame([], "q int"), "q").first()
+    assert (r.non_null_rows, r.total_rows, r.total_q, r.avg_q, r.median_q) == (0, 0, None, None, None)
