@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from . import sieve
 from .components import connected_components
 from .runtime import prepare, saved
 from .textarrays import seeded, text_sets
@@ -150,8 +151,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = whole.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     postings = (whole.join(classes, ["hi", "lo"]).where("id = rep")
                 .select("id", "n", F.explode("prefix").alias("token")))
-    shared = postings.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("token")
-    live = saved(postings.join(shared, "token").distinct())
+    shared = saved(postings.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("token"))
+    # Sieves keep what cannot match out of the next two shuffles; the joins decide.
+    live = saved(postings.where(sieve.sifted(sieve.build(shared, "token"))("token")).join(shared, "token").distinct())
 
     def measure(batches):
         levels = np.frombuffer(table.value, np.uint8)
@@ -165,7 +167,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     ["id", "size", "tokens", *(f"p{o}" for o in ORDERS[1:])])
 
     ids = live.select("id").distinct()
-    sets = saved(d.join(ids, "id", "left_semi")
+    sets = saved(d.where(sieve.sifted(sieve.build(ids, "id"))("id")).join(ids, "id", "left_semi")
                  .mapInArrow(measure, "id long, size long, tokens binary, " + ", ".join(f"p{o} array<int>" for o in ORDERS[1:]))
                  .where("size > 0"))
 
