@@ -11,8 +11,11 @@ of all tokens both use. Candidates must pass this test under every one of
   by a hash of its own. A collision changes places in the order only, never a
   result: the filter holds for every order. The counters are a fixed number of
   bytes, whatever the input.
-* The first order generates candidates: its prefix tokens are joined. The
-  other orders' prefixes then have to overlap too.
+* The first order generates candidates: its prefix tokens are joined, and the
+  number of shared ones bounds what the sets can have in common: of the two
+  prefixes, the one that ends earlier in the order has no token of the other
+  set but the shared ones. Few candidates pass. The prefixes under the other
+  orders then have to overlap too, before sets are compared.
 * Texts with equal sets are one class from the start; only its smallest id
   takes part. Inside a group that shares a prefix token, all members are first
   compared with a few pivots. What the resulting links connect needs no
@@ -74,17 +77,18 @@ def token_classes(texts: DataFrame, k: int) -> bytes:
     return out.tobytes()
 
 
-def _prefix(tokens: np.ndarray, keys: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, offsets) of every set's prefix under the order that ``keys`` give."""
+def _prefix(tokens: np.ndarray, keys: np.ndarray, bounds: np.ndarray, percent: int
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, offsets, last key) of every set's prefix under the order that ``keys`` give."""
     n = np.diff(bounds)
     length = np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
-    picked = []
-    for a, c, p in zip(bounds[:-1], n, length, strict=True):
-        if p >= c:
-            picked.append(tokens[a:a + c])
-        elif p:
-            picked.append(tokens[a:a + c][np.argpartition(keys[a:a + c], p - 1)[:p]])
-    return (np.concatenate(picked) if picked else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(np.minimum(length, n))])
+    picked, last = [np.zeros(0, tokens.dtype)], np.zeros(len(n), np.uint64)
+    for i, (a, c, p) in enumerate(zip(bounds[:-1], n, length, strict=True)):
+        if p:
+            at = np.argpartition(keys[a:a + c], p - 1)[:p]
+            picked.append(tokens[a:a + c][at])
+            last[i] = keys[a + at[-1]]
+    return np.concatenate(picked), np.concatenate([[0], np.cumsum(length)]), last
 
 
 def _keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
@@ -141,16 +145,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for a, b, tokens, bounds in text_sets(batch.column(1), k):
                 digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(tokens[x:y].tobytes()), np.int64)
                                    for x, y in zip(bounds[:-1], bounds[1:], strict=True)], np.int64).reshape(-1, 2)
-                first, off = _prefix(tokens, _keys(tokens, levels, ORDERS[0]), bounds, percent)
+                first, off, last = _prefix(tokens, _keys(tokens, levels, ORDERS[0]), bounds, percent)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                     _lists(first.view(np.int64), off, pa.int64())], ["id", "n", "hi", "lo", "prefix"])
+                     _lists(first.view(np.int64), off, pa.int64()), pa.array((last ^ np.uint64(1 << 63)).view(np.int64))],
+                    ["id", "n", "hi", "lo", "prefix", "last"])
 
-    signed = saved(d.mapInArrow(sign, "id long, n long, hi long, lo long, prefix array<long>"))
+    signed = saved(d.mapInArrow(sign, "id long, n long, hi long, lo long, prefix array<long>, last long"))
     whole = signed.where("n > 0 and id is not null")
     classes = whole.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     postings = (whole.join(classes, ["hi", "lo"]).where("id = rep")
-                .select("id", "n", F.explode("prefix").alias("token")))
+                .select("id", "n", "last", F.explode("prefix").alias("token")))
     shared = saved(postings.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("token"))
     # Sieves keep what cannot match out of the next two shuffles; the joins decide.
     live = saved(postings.where(sieve.sifted(sieve.build(shared, "token"))("token")).join(shared, "token").distinct())
@@ -160,38 +165,44 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for a, b, tokens, bounds in text_sets(batch.column(1), k):
                 packed = [tokens[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                more = [_lists(*_prefix(seeded(tokens, 5).astype(np.int32), _keys(tokens, levels, o), bounds, percent), pa.int32())
+                more = [_lists(*_prefix(seeded(tokens, 5).astype(np.int32), _keys(tokens, levels, o), bounds, percent)[:2], pa.int32())
                         for o in ORDERS[1:]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(packed, pa.binary()), *more],
                     ["id", "size", "tokens", *(f"p{o}" for o in ORDERS[1:])])
 
-    ids = live.select("id").distinct()
-    sets = saved(d.where(sieve.sifted(sieve.build(ids, "id"))("id")).join(ids, "id", "left_semi")
-                 .mapInArrow(measure, "id long, size long, tokens binary, " + ", ".join(f"p{o} array<int>" for o in ORDERS[1:]))
-                 .where("size > 0"))
+    def candidates(met: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share enough prefix tokens, from one row (x, n, last, y, m, end) a shared token."""
+        size = F.expr("n + m")
+        common = F.ceil(size * percent / (100 + percent) - 1e-9)  # tokens in both sets, at least
+        prefix = lambda c: c - F.ceil(c * percent / 100 - 1e-9) + 1
+        counted = (met.where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & F.expr("x != y"))
+                   .groupBy("x", "n", "last", "y", "m", "end").agg(F.count("*").alias("met")))
+        earlier = F.when(F.expr("last <= end"), F.col("n")).otherwise(F.col("m"))
+        return (counted.where(prefix(earlier) - F.col("met") <= earlier - common)
+                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b)."""
+        pairs = saved(pairs)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = saved(d.where(sieve.sifted(sieve.build(ids, "id"))("id")).join(ids, "id", "left_semi")
+                     .mapInArrow(measure, "id long, size long, tokens binary, " + ", ".join(f"p{o} array<int>" for o in ORDERS[1:]))
+                     .where("size > 0"))
         left = sets.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in sets.columns if c != "id"))
         right = sets.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in sets.columns if c != "id"))
-        near = (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
+        near = F.lit(True)
         for o in ORDERS[1:]:
             near &= F.arrays_overlap(f"a_p{o}", f"b_p{o}")
         both = pairs.join(left, "a").join(right, "b").where(near)
         return both.where(_is_link(percent)("a_tokens", "b_tokens")).select("a", "b").distinct()
 
-    def pairs_of(one, other):
-        return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
-
-    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    chosen = live.groupBy("token").agg(
-        F.min(F.struct("id", "n")).alias("p0"), F.max(F.struct("id", "n")).alias("p1"),
-        F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("p2"))
+    one = F.struct("id", "n", "last")
+    chosen = live.groupBy("token").agg(F.min(one).alias("p0"), F.max(one).alias("p1"), F.min_by(one, F.xxhash64("id")).alias("p2"))
     pivots = (chosen.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p"))
-              .select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")))
-    links = saved(linked(live.join(pivots, "token").where(sized & F.expr("id != pivot"))
-                         .select(*pairs_of("id", "pivot")).distinct()))
+              .select("token", F.col("p.id").alias("y"), F.col("p.n").alias("m"), F.col("p.last").alias("end")))
+    # A pair that meets its pivot at too few of its tokens is not lost: the exact round has all tokens.
+    links = saved(linked(candidates(live.withColumnRenamed("id", "x").join(pivots, "token"))))
 
     def named(found: DataFrame) -> DataFrame:
         """(id, component) of the ids that a link touches; those in no link are their own."""
@@ -203,9 +214,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_parts = saved(parts.join(split, "token"))
     crossing = (open_parts.withColumnRenamed("component", "ca").join(open_parts.withColumnRenamed("component", "cb"), "token")
                 .where("ca < cb"))
-    one = tagged.select("token", F.col("component").alias("ca"), "id", "n")
-    two = tagged.select("token", F.col("component").alias("cb"), F.col("id").alias("other"), F.col("n").alias("m"))
-    rest = crossing.join(one, ["token", "ca"]).join(two, ["token", "cb"]).where(sized).select(*pairs_of("id", "other")).distinct()
+    first = tagged.select("token", F.col("component").alias("ca"), F.col("id").alias("x"), "n", "last")
+    second = tagged.select("token", F.col("component").alias("cb"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("last").alias("end"))
+    rest = candidates(crossing.join(first, ["token", "ca"]).join(second, ["token", "cb"]))
     more = saved(linked(rest.join(links, ["a", "b"], "left_anti")))
     final = named(links.union(more))
 
