@@ -11,11 +11,12 @@ of all tokens both use. Candidates must pass this test under every one of
   by a hash of its own. A collision changes places in the order only, never a
   result: the filter holds for every order. The counters are a fixed number of
   bytes, whatever the input.
-* The first order generates candidates: its prefix tokens are joined, and the
-  number of shared ones bounds what the sets can have in common: of the two
-  prefixes, the one that ends earlier in the order has no token of the other
-  set but the shared ones. Few candidates pass. The prefixes under the other
-  orders then have to overlap too, before sets are compared.
+* The first order generates candidates: its prefix tokens are joined. The first
+  token that two sets share must stand early enough in both for the rest to
+  reach the similarity. The number of shared prefix tokens then bounds what the
+  sets have in common: the prefix that ends earlier in the order has no token
+  of the other set but the shared ones. Few candidates pass. The prefixes under
+  the other orders have to overlap too, before sets are compared.
 * Texts with equal sets are one class from the start; only its smallest id
   takes part. Inside a group that shares a prefix token, all members are first
   compared with a few pivots. What the resulting links connect needs no
@@ -86,6 +87,7 @@ def _prefix(tokens: np.ndarray, keys: np.ndarray, bounds: np.ndarray, percent: i
     for i, (a, c, p) in enumerate(zip(bounds[:-1], n, length, strict=True)):
         if p:
             at = np.argpartition(keys[a:a + c], p - 1)[:p]
+            at = at[np.argsort(keys[a:a + c][at])]
             picked.append(tokens[a:a + c][at])
             last[i] = keys[a + at[-1]]
     return np.concatenate(picked), np.concatenate([[0], np.cumsum(length)]), last
@@ -155,7 +157,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = signed.where("n > 0 and id is not null")
     classes = whole.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     postings = (whole.join(classes, ["hi", "lo"]).where("id = rep")
-                .select("id", "n", "last", F.explode("prefix").alias("token")))
+                .select("id", "n", "last", F.posexplode("prefix").alias("pos", "token")))
     shared = saved(postings.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("token"))
     # Sieves keep what cannot match out of the next two shuffles; the joins decide.
     live = saved(postings.where(sieve.sifted(sieve.build(shared, "token"))("token")).join(shared, "token").distinct())
@@ -171,16 +173,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(packed, pa.binary()), *more],
                     ["id", "size", "tokens", *(f"p{o}" for o in ORDERS[1:])])
 
+    # The shared prefix tokens of each set: what a pair has in common among prefixes.
+    lists = saved(live.groupBy("id", "n", "last").agg(F.collect_set("token").alias("tokens")))
+    common = F.ceil(F.expr("n + m") * percent / (100 + percent) - 1e-9)  # tokens in both sets, at least
+
     def candidates(met: DataFrame) -> DataFrame:
-        """Pairs (a, b) that share enough prefix tokens, from one row (x, n, last, y, m, end) a shared token."""
-        size = F.expr("n + m")
-        common = F.ceil(size * percent / (100 + percent) - 1e-9)  # tokens in both sets, at least
+        """Pairs (a, b) that can be similar, from rows (x, n, pos, y, m, at): a
+        shared token's place in the prefixes of x and y."""
+        sized = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & F.expr("x != y")
+        early = (F.expr("n - pos") >= common) & (F.expr("m - at") >= common)
+        pairs = met.where(sized & early).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left = lists.select(F.col("id").alias("a"), "n", "last", "tokens")
+        right = lists.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("last").alias("end"), F.col("tokens").alias("others"))
         prefix = lambda c: c - F.ceil(c * percent / 100 - 1e-9) + 1
-        counted = (met.where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & F.expr("x != y"))
-                   .groupBy("x", "n", "last", "y", "m", "end").agg(F.count("*").alias("met")))
         earlier = F.when(F.expr("last <= end"), F.col("n")).otherwise(F.col("m"))
-        return (counted.where(prefix(earlier) - F.col("met") <= earlier - common)
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        shared_tokens = F.size(F.array_intersect("tokens", "others"))
+        return (pairs.join(left, "a").join(right, "b").where(prefix(earlier) - shared_tokens <= earlier - common)
+                .select("a", "b").distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b)."""
@@ -197,11 +206,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(left, "a").join(right, "b").where(near)
         return both.where(_is_link(percent)("a_tokens", "b_tokens")).select("a", "b").distinct()
 
-    one = F.struct("id", "n", "last")
+    one = F.struct("id", "n", "pos")
     chosen = live.groupBy("token").agg(F.min(one).alias("p0"), F.max(one).alias("p1"), F.min_by(one, F.xxhash64("id")).alias("p2"))
     pivots = (chosen.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p"))
-              .select("token", F.col("p.id").alias("y"), F.col("p.n").alias("m"), F.col("p.last").alias("end")))
-    # A pair that meets its pivot at too few of its tokens is not lost: the exact round has all tokens.
+              .select("token", F.col("p.id").alias("y"), F.col("p.n").alias("m"), F.col("p.pos").alias("at")))
     links = saved(linked(candidates(live.withColumnRenamed("id", "x").join(pivots, "token"))))
 
     def named(found: DataFrame) -> DataFrame:
@@ -209,13 +217,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return connected_components(found).select(F.col("node").alias("id"), "component")
 
     tagged = saved(live.join(named(links), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    parts = tagged.select("token", "component").distinct()
+    # What a component can offer at a token: the longest rest from it on, and its least and greatest set.
+    parts = tagged.groupBy("token", "component").agg(F.max(F.expr("n - pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"))
     split = parts.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     open_parts = saved(parts.join(split, "token"))
-    crossing = (open_parts.withColumnRenamed("component", "ca").join(open_parts.withColumnRenamed("component", "cb"), "token")
-                .where("ca < cb"))
-    first = tagged.select("token", F.col("component").alias("ca"), F.col("id").alias("x"), "n", "last")
-    second = tagged.select("token", F.col("component").alias("cb"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("last").alias("end"))
+    ours = open_parts.select("token", F.col("component").alias("ca"), F.col("rest").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    theirs = open_parts.select("token", F.col("component").alias("cb"), F.col("rest").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    least = F.ceil(F.expr("la + lb") * percent / (100 + percent) - 1e-9)
+    crossing = (ours.join(theirs, "token")
+                .where((F.expr("ca < cb")) & (F.expr("least(ra, rb)") >= least)
+                       & (F.expr("ha * 100") >= F.expr(f"lb * {percent}")) & (F.expr("hb * 100") >= F.expr(f"la * {percent}")))
+                .select("token", "ca", "cb"))
+    first = tagged.select("token", F.col("component").alias("ca"), F.col("id").alias("x"), "n", "pos")
+    second = tagged.select("token", F.col("component").alias("cb"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"))
     rest = candidates(crossing.join(first, ["token", "ca"]).join(second, ["token", "cb"]))
     more = saved(linked(rest.join(links, ["a", "b"], "left_anti")))
     final = named(links.union(more))
