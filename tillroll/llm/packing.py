@@ -16,6 +16,7 @@ take no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .runtime import prepare, saved
 
 WINDOW, OPEN, LEAST_PIECE, FAN_IN = 2048, 16, 16, 8
-SEEN_WORDS = 200_000
+SEEN_WORDS = 400_000
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,29 +45,61 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Texts of these characters alone are already normal but for their case, and
+#: the tokenizer's own pattern, in the narrower classes, splits them as it does.
+_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+
+
 class _Words(dict):
-    """Token ids of the parts of a text between spaces and line feeds, which
-    this kind of tokenizer never joins; cleared when it is full."""
+    """Token ids of the pieces of texts that this tokenizer never joins with
+    their neighbours; cleared when it is full."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.encoder = _tokenizer(path)
+        self.last = np.zeros(self.encoder.get_vocab_size(), bool)
+        for token, i in self.encoder.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
 
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self]
-        if len(self) + len(new) > SEEN_WORDS:
+    def learn(self, plain: set[str], other: set[str]) -> None:
+        if len(self) + len(plain) + len(other) > SEEN_WORDS:
             self.clear()
-            new = list(parts)
+        new = [p for p in plain if p not in self]
+        # A plain piece's tokens end with the one that ends a word: all pieces in one text.
+        ids = np.array(self.encoder.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(new):
+            raw = ids.tobytes()
+            for p, x, y in zip(new, np.concatenate([[0], ends]).tolist(), ends.tolist(), strict=False):
+                self[p] = raw[4 * x:4 * y]
+        else:
+            other = other | set(new)
+        new = [p for p in other if p not in self]
         for p, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[p] = np.array(e.ids, "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> _Words:
+    return _Words(path)
+
+
 def token_ids(texts: list[str | None], words: _Words) -> Iterator[np.ndarray]:
     """The ids of each text, as ``Tokenizer.encode`` gives them."""
-    split = [[p for p in t.replace("\n", " ").split(" ") if p] if t else [] for t in texts]
-    for a in range(0, len(split), 100):
-        words.learn({p for parts in split[a:a + 100] for p in parts})
-        for parts in split[a:a + 100]:
+    for a in range(0, len(texts), 100):
+        split, plain, other = [], set(), set()
+        for t in texts[a:a + 100]:
+            if not t:
+                split.append([])
+            elif _PLAIN.fullmatch(t) and "<|" not in t:
+                split.append(_PIECE.findall(t.lower()))
+                plain.update(split[-1])
+            else:  # any other text is encoded by the parts between spaces and line feeds
+                split.append([p for p in t.replace("\n", " ").split(" ") if p])
+                other.update(split[-1])
+        words.learn(plain, other)
+        for parts in split:
             yield np.frombuffer(b"".join([words[p] for p in parts]), "<u4")
 
 
@@ -186,7 +219,7 @@ def pack(docs: DataFrame, vocabulary: str, eos: int, id_col: str = "doc_id", tex
             yield _rows(left, state["next"], True)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(vocabulary)
+        words = _words(vocabulary)
 
         def pieces():
             end = np.array([eos], "<u4")
