@@ -9,7 +9,8 @@ Features are which words (letters and digits, A-Z folded) a text has, which
 beginnings of 4, 5 and 6 bytes its words have, and the levels of its shape: shares of capitals, of marks, of repeated and of distinct
 words, and its length. They are hashed to ``2 ** BITS`` numbers. A feature
 gets a weight if at least ``LEAST_TEXTS`` training texts have it and its shares
-below and above some grade differ by ``LEAST_Z`` standard errors.
+below and above some grade differ by ``LEAST_Z`` standard errors (by fewer, but
+4 at least, the smaller the training sample is).
 
 Training uses a bounded sample of the rated texts (``SAMPLE`` rows, picked by a
 hash of the id), in one task. Scoring is a scan.
@@ -94,11 +95,12 @@ def _separates(column: np.ndarray, grade: np.ndarray, sizes: np.ndarray, size: i
     """Which features' shares below and above some grade differ significantly."""
     has = np.stack([np.bincount(column[grade == j], minlength=size) for j in range(len(sizes))])
     out = np.zeros(size, bool)
+    least = max(4.0, LEAST_Z * min(1.0, sizes.sum() / SAMPLE) ** 0.5)
     for j in range(1, len(sizes)):
         low, high = max(1, sizes[:j].sum()), max(1, sizes[j:].sum())
         x, y = has[:j].sum(axis=0), has[j:].sum(axis=0)
         p = (x + y) / (low + high)
-        out |= np.abs(x / low - y / high) >= LEAST_Z * np.sqrt(p * (1 - p) * (1 / low + 1 / high)) + 1e-12
+        out |= np.abs(x / low - y / high) >= least * np.sqrt(p * (1 - p) * (1 / low + 1 / high)) + 1e-12
     return out
 
 
