@@ -49,18 +49,24 @@ def test_peak_hour_tie_goes_to_earliest(spark):
 def test_best_adjacent_hours_empty_hours_and_hour_23(spark):
     rows = [(1, "2021-01-01", "00:30:00", "A", 5, "1.00"),
             (2, "2021-01-01", "22:30:00", "A", 4, "2.00"),
-            (3, "2021-01-01", "23:30:00", "A", 100, "1.00"),  # hour 23 is never summed
+            (3, "2021-01-01", "23:30:00", "A", 100, "1.00"),
             (4, "2021-01-01", None, "A", 50, "1.00"),         # NULL hour is dropped
             (5, "2021-01-01", "10:00:00", "A", 4, "2.00"),
             (6, "2021-01-01", "11:00:00", "A", 1, "1.00")]
-    out = ranking.best_adjacent_hours(sales(spark, rows)).collect()
+    out = ranking.best_adjacent_hours(sales(spark, rows), hi=22, last_start=22).collect()  # the original list
     # windows: 00-02 -> 5 (rev 5), 10-12 -> 5 (rev 9), 09-11 -> 4, 22-24 -> 4
     assert [(r.two_hour_window, r.total_quantity_sold, r.total_revenue) for r in out] == \
         [("10:00-12:00", 5, D("9.00"))]
-    full = ranking.best_adjacent_hours(sales(spark, rows), hi=23).collect()
+    full = ranking.best_adjacent_hours(sales(spark, rows)).collect()
     assert full[0].two_hour_window == "22:00-24:00" and full[0].total_quantity_sold == 104
 
 
+def test_best_adjacent_hours_late_evening_only(spark):
+    rows = [(1, "2021-01-01", "23:10:00", "A", 7, "1.00"), (2, "2021-01-01", "22:10:00", "A", -3, "1.00")]
+    out = ranking.best_adjacent_hours(sales(spark, rows)).collect()
+    assert [(r.two_hour_window, r.total_quantity_sold) for r in out] == [("22:00-24:00", 4)]
+
+
 def test_top_ticket_lines_and_price_breakdown(spark):
     rows = [(1, "2021-01-01", "10:00:00", "A", 2, "10.00"),
             (1, "2021-01-01", "10:00:00", "B", 1, "5.00"),

@@ -35,6 +35,38 @@ def test_truncate_mode_replaces_rows(spark):
     assert sorted(r.id for r in spark.table("t360.trunc").collect()) == [2, 3]
 
 
+def test_failed_swap_keeps_old_rows(spark, monkeypatch):
+    from tillroll import sinks
+    good = spark.createDataFrame([(1, "a", Decimal("1.00"))], "x long, y string, z decimal(10,2)")
+    refresh_table(spark, good, "t360.swap", DDL)
+    real = type(spark).sql
+
+    def sql(self, text, *a, **k):
+        if "__staging" in text.split(" RENAME TO ")[0] and " RENAME TO " in text:
+            raise RuntimeError("swap failed")
+        return real(self, text, *a, **k)
+
+    for mode in sinks.MODES:
+        monkeypatch.setattr(type(spark), "sql", sql)
+        with pytest.raises(RuntimeError):
+            refresh_table(spark, good.union(good), "t360.swap", DDL, mode=mode)
+        monkeypatch.undo()
+        assert spark.table("t360.swap").count() == 1
+    assert [t.name for t in spark.catalog.listTables("t360") if "swap__" in t.name] == []
+
+
+def test_truncate_keeps_a_narrower_definition(spark):
+    refresh_table(spark, spark.createDataFrame([("abc",)], "x string"), "t360.narrow", "name VARCHAR(3)")
+    with pytest.raises(Exception):
+        refresh_table(spark, spark.createDataFrame([("abcdef",)], "x string"), "t360.narrow", "name VARCHAR(255)", mode="truncate")
+    assert [r.name for r in spark.table("t360.narrow").collect()] == ["abc"]
+
+
+def test_three_part_name(spark):
+    refresh_table(spark, spark.createDataFrame([(1,)], "x int"), "spark_catalog.t360.three", "x INT")
+    assert spark.table("spark_catalog.t360.three").count() == 1
+
+
 def test_snapshot_is_frozen(spark):
     src = spark.createDataFrame([(1,)], "x int")
     snap = snapshot(src, "snap_view")

@@ -76,3 +76,11 @@ def test_value_counts_highest_first_nulls_first(spark):
 def test_summary_stats_on_zero_rows(spark):
     r = stats.summary_stats(spark.createDataFrame([], "q int"), "q").first()
     assert (r.non_null_rows, r.total_rows, r.total_q, r.avg_q, r.median_q) == (0, 0, None, None, None)
+
+
+def test_histogram_of_the_full_integer_ranges(spark):
+    from tillroll.operators import stats
+    for kind, top in (("int", 2 ** 31 - 1), ("long", 2 ** 63 - 1)):
+        rows = [(-top - 1,), (0,), (top // 2,), (top,)]
+        out = stats.equi_width_histogram(spark.createDataFrame(rows, f"x {kind}"), "x", bins=4).collect()
+        assert [(r.bucket, r.row_count) for r in out] == [(1, 1), (3, 2), (5, 1)]

@@ -11,7 +11,6 @@ Modules:
     operators  -- the reports: ranking, quality, stats, pricing, grain, lifetime
     plans      -- multi-step jobs (session pipelines, the full-refresh lifetime table)
     sinks      -- typed result tables, staged refresh, snapshots
-    streaming  -- nothing: the scripts contain no stream processing
 """
 
 __version__ = "0.1.0"

@@ -5,8 +5,9 @@ Scale notes. ``grain_violations`` is a distinct count: Spark expands it
 into a dedupe on (key, value) and a count per key, both with map-side
 combining, so a hot key costs one row per distinct value. ``orphan_rows``
 is a left-anti join (NULL keys are orphans, as with LEFT JOIN ... IS NULL).
-``first_week_mismatch`` joins the bounded date dimension by broadcast and
-aggregates per customer before the final join.
+``first_week_mismatch`` reduces orders to one row per order number before the
+join, and to one row per customer after it; the planner decides whether the
+dates are small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -38,23 +39,26 @@ def orphan_rows(left: DataFrame, right: DataFrame, on: str,
                 cols: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``left`` whose ``on`` value is not in ``right`` (NULL
     values included)."""
-    out = left.join(right.select(on), on=on, how="left_anti")
+    # One row a key on the right: a repeated key there would not be split.
+    out = left.join(right.select(on).distinct(), on=on, how="left_anti")
     return out.select(*cols) if cols else out
 
 
 def first_week_mismatch(conversions: DataFrame, orders: DataFrame, dates: DataFrame) -> DataFrame:
     """Customers whose first conversion week differs from the first week of
     their conversions' orders, or who have no such order week."""
-    dd = F.broadcast(dates.select("sk_date", "year_week"))  # one row per day: bounded
+    dd = dates.select("sk_date", "year_week")  # broadcast by the planner if it is small
     conv = conversions.select("fk_customer", "fk_conversion_date", "order_number")
     first_conv = (
         conv.join(dd, conv.fk_conversion_date == dd.sk_date, "left")
         .groupBy("fk_customer").agg(F.min("year_week").alias("first_conversion_week"))
     )
     o = orders.select("order_number", "fk_order_date")
+    # First week per order number before the join: one row a key on its right side.
+    order_week = (o.join(dd, F.col("fk_order_date") == dd.sk_date)
+                  .groupBy("order_number").agg(F.min("year_week").alias("year_week")))
     first_order = (
-        conv.join(o, "order_number", "left")
-        .join(dd, F.col("fk_order_date") == dd.sk_date, "left")
+        conv.join(order_week, "order_number", "left")
         .groupBy("fk_customer").agg(F.min("year_week").alias("first_order_week"))
     )
     # Equality join: the NULL customer group never matches and is reported.

@@ -33,7 +33,7 @@ def rows_sharing_key(df: DataFrame, key: str, condition: Column) -> DataFrame:
     """All rows whose ``key`` also occurs on a row meeting ``condition``
     (e.g. every line of the tickets that have a line without a price).
     NULL keys never match."""
-    keys = df.where(condition).select(key)
+    keys = df.where(condition).select(key).distinct()  # a repeated key here would not be split
     out = df.join(keys, on=key, how="left_semi")
     return out.orderBy(*total_order(out, [key]))
 

@@ -83,12 +83,12 @@ def peak_hour(sales: DataFrame, item: str, month: int, time_col: str = "sale_tim
     )
 
 
-def best_adjacent_hours(sales: DataFrame, width: int = 2, lo: int = 0, hi: int = 22,
-                        time_col: str = "sale_time") -> DataFrame:
+def best_adjacent_hours(sales: DataFrame, width: int = 2, lo: int = 0, hi: int = 23,
+                        time_col: str = "sale_time", last_start: int | None = None) -> DataFrame:
     """Best window of ``width`` adjacent hours by units, then revenue, then
-    start hour. Hours lo..hi are listed (empty ones count as 0); a window
-    starting at hour h sums hours h..h+width-1 that are on the list. With
-    the default hi=22, hour 23 is never summed, as in the original."""
+    start hour. Hours lo..hi are listed (empty ones count as 0); windows start
+    at lo..hi - width + 1, so none passes the last hour. ``hi=22,
+    last_start=22`` gives the original list, which leaves hour 23 out."""
     hourly = sales.groupBy(hour_of(sales, time_col).alias("hour_of_day")).agg(
         F.sum("quantity").alias("hourly_quantity"),
         F.sum(_revenue()).alias("hourly_revenue"),
@@ -108,7 +108,8 @@ def best_adjacent_hours(sales: DataFrame, width: int = 2, lo: int = 0, hi: int =
         F.sum("hourly_quantity").over(w).alias("total_quantity_sold"),
         F.sum("hourly_revenue").over(w).alias("total_revenue"),
     )
-    best = windows.orderBy(pg_desc("total_quantity_sold"), pg_desc("total_revenue"),
+    latest = hi - width + 1 if last_start is None else last_start
+    best = windows.where(F.col("start_hour") <= latest).orderBy(pg_desc("total_quantity_sold"), pg_desc("total_revenue"),
                            pg_asc("start_hour")).limit(1)
     return best.select(
         hour_window_label("start_hour", "end_hour").alias("two_hour_window"),

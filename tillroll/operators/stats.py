@@ -134,8 +134,12 @@ def _bucket_expr(dtype: T.DataType, bins: int):
     """width_bucket(_x, _lo, _hi, bins) for _lo <= _x <= _hi; a constant
     column (lo = hi, an error in PostgreSQL) goes to bucket 1."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
-        # (x - lo) * bins div (hi - lo): exact integer quotient, no rounding.
-        inner = f"((_x - _lo) * {bins}) div (_hi - _lo) + 1"
+        # (x - lo) * bins div (hi - lo): exact integer quotient, no rounding, in
+        # decimals so that neither the difference nor the product overflows.
+        scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+        wide = f"DECIMAL({min(38, 21 + scale)}, {scale})"
+        x, lo, hi = (f"CAST({c} AS {wide})" for c in ("_x", "_lo", "_hi"))
+        inner = f"CAST((({x} - {lo}) * CAST({bins} AS DECIMAL(10,0))) div ({hi} - {lo}) AS BIGINT) + 1"
     else:
         inner = f"CAST(floor((_x - _lo) * {bins} / (_hi - _lo)) AS BIGINT) + 1"
     return F.expr(f"CAST(CASE WHEN _hi = _lo THEN 1 WHEN _x >= _hi THEN {bins + 1} "

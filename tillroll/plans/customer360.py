@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators.grain import first_week_mismatch, grain_violations, orphan_rows
@@ -47,16 +49,29 @@ def failed_checks(checks: dict[str, DataFrame]) -> list[str]:
     return [name for name, df in checks.items() if not df.isEmpty()]
 
 
+def check_report(checks: dict[str, DataFrame], sample: int = 5) -> dict[str, dict]:
+    """Of every check that returns rows: their number and a few of them."""
+    report = {}
+    for name, df in checks.items():
+        rows = df.limit(sample).collect()
+        if rows:
+            report[name] = {"rows": df.count(), "sample": [r.asDict() for r in rows]}
+    return report
+
+
 def refresh_customer360(spark: SparkSession, customers: DataFrame, conversions: DataFrame,
                         orders: DataFrame, dates: DataFrame,
                         table: str = "customer360.full_360_view", variant: str = "capped",
                         mode: str = "recreate", as_of=None, strict: bool = False,
                         order_products: DataFrame | None = None) -> DataFrame:
-    checks = grain_checks(conversions, orders, dates, order_products)
-    if strict:
-        bad = failed_checks(checks)
-        if bad:
-            raise ValueError(f"grain checks failed: {', '.join(bad)}")
+    """Runs the grain checks, refreshes the table, and returns the totals per
+    customer read from the table. Failed checks are logged with their counts
+    and sample rows; with ``strict`` they stop the refresh."""
+    report = check_report(grain_checks(conversions, orders, dates, order_products))
+    if report and strict:
+        raise ValueError(f"grain checks failed: {report}")
+    if report:
+        logging.getLogger(__name__).warning("grain checks failed: %s", report)
     view = customer_weekly_lifetime(customers, conversions, orders, dates, as_of, variant)
     refresh_table(spark, view, table, SINK_DDL, SINK_COLUMNS, mode=mode)
     return reconcile(spark.table(table))

@@ -10,6 +10,8 @@ places. The library functions themselves return the native types.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 
 from tillroll.operators import grain, lifetime, pricing, quality, ranking, stats
 from tillroll.plans.price_history import price_history
-from tillroll.sinks import snapshot
+from tillroll.sinks import create_table, refresh_table, snapshot
 from tillroll.sources import views
 
 # Fixed arguments of the registered queries (FIXTURES.md "Fixed arguments"
@@ -194,7 +196,24 @@ def build() -> dict[str, Query]:
     q["lifetime_reconcile"] = lambda s, b: lifetime.reconcile(_lifetime("capped")(s, b))
     q["lifetime_open_reconcile"] = lambda s, b: lifetime.reconcile(_lifetime("open")(s, b))
 
-    nullable_ids = {"conversion_base", "weekly_spine", "lifetime_capped", "lifetime_open"}
+    def stored(variant: str, mode: str, read):
+        """Writes the lifetime table to the session's warehouse and returns
+        what ``read`` gets from it, kept when the table is dropped again."""
+        def run(s: SparkSession, b: str) -> DataFrame:
+            name = f"tillroll_reports.full_360_{uuid.uuid4().hex}"
+            if mode == "truncate":
+                create_table(s, name, lifetime.SINK_DDL)
+            refresh_table(s, _lifetime(variant)(s, b), name, lifetime.SINK_DDL, lifetime.SINK_COLUMNS, mode=mode)
+            out = read(s.table(name)).checkpoint(eager=True)
+            s.sql(f"DROP TABLE {name}")
+            return out
+        return run
+
+    q["refresh_capped_reconcile"] = stored("capped", "recreate", lifetime.reconcile)
+    q["refresh_open_reconcile"] = stored("open", "truncate", lifetime.reconcile)
+    q["refresh_stored_rows"] = stored("capped", "recreate", lambda t: t)
+
+    nullable_ids = {"conversion_base", "weekly_spine", "lifetime_capped", "lifetime_open", "refresh_stored_rows"}
     return {name: _presented(fn, NULLABLE_INT_COLS if name in nullable_ids else ())
             for name, fn in q.items()}
 

@@ -62,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not (allow_local and sc.master.startswith("local")):
+    if not (allow_local and sc.master.startswith("local[")):
         raise RuntimeError(
             "no checkpoint directory: set spark.checkpoint.dir to a shared folder")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))

@@ -1,10 +1,13 @@
 """Result tables.
 
 ``refresh_table`` replaces the PostgreSQL sequence CREATE SCHEMA / DROP or
-TRUNCATE / CREATE TABLE / INSERT INTO ... SELECT. The new rows are first
-written to a staging table; only when that write has succeeded is the
-target swapped, so a failed run leaves the previous table readable (the
-scripts had no transaction around their refresh).
+TRUNCATE / CREATE TABLE / INSERT INTO ... SELECT. The new rows are written
+once, to a staging table of the target's definition; only when that write has
+succeeded are the tables swapped by renaming: target to backup, staging to
+target, and the backup is dropped last. A failed write leaves the target as it
+was; a failed swap renames the backup back. (The scripts had no transaction
+around their refresh.) Staging and backup names carry a run id, so refreshes
+do not drop each other's tables.
 
 Rows are inserted by position with ANSI store assignment
 (``spark.sql.storeAssignmentPolicy=ANSI``, the default): decimals are
@@ -18,6 +21,7 @@ the rows as they were, without recomputing the lineage.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,48 +31,65 @@ from tillroll.session import ensure_checkpoint_dir
 MODES = ("recreate", "truncate")
 
 
-def _split(name: str) -> tuple[str | None, str]:
-    parts = name.split(".")
-    return (parts[0], parts[1]) if len(parts) == 2 else (None, parts[-1])
+def _split(name: str) -> tuple[str, str]:
+    """(prefix with its dot or empty, table) of a table name of one to three parts."""
+    prefix, dot, table = name.rpartition(".")
+    return prefix + dot, table
 
 
 def create_table(spark: SparkSession, name: str, ddl_columns: str, if_not_exists: bool = True) -> None:
-    schema, _ = _split(name)
-    if schema:
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    prefix, _ = _split(name)
+    if prefix:
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {prefix.rstrip('.')}")
     clause = "IF NOT EXISTS " if if_not_exists else ""
     spark.sql(f"CREATE TABLE {clause}{name} ({ddl_columns}) USING parquet")
 
 
+def _in_catalog(name: str) -> str:
+    """A rename stays in its catalog: its target has no catalog part."""
+    return ".".join(name.split(".")[-2:])
+
+
+def _swap(spark: SparkSession, staging: str, name: str, backup: str) -> None:
+    had_rows = spark.catalog.tableExists(name)
+    if had_rows:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {_in_catalog(backup)}")
+    try:
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {_in_catalog(name)}")
+    except Exception:
+        if had_rows:
+            spark.sql(f"ALTER TABLE {backup} RENAME TO {_in_catalog(name)}")
+        raise
+    if had_rows:
+        spark.sql(f"DROP TABLE {backup}")
+
+
 def refresh_table(spark: SparkSession, df: DataFrame, name: str, ddl_columns: str,
                   columns: Sequence[str] | None = None, mode: str = "recreate") -> None:
-    """Replace the rows of table ``name`` (declared by ``ddl_columns``)
-    with ``df``, inserted by position.
+    """Replace the rows of table ``name`` with ``df``, inserted by position.
 
-    mode='recreate': drop and create the table with the declared schema
-    (the first script). mode='truncate': create it only if absent and
-    replace its rows (the second script); an existing table keeps its
-    definition.
+    mode='recreate': the table gets the declared definition (the first
+    script). mode='truncate': an existing table keeps its definition, which the
+    rows must then fit; it is created from ``ddl_columns`` only if absent (the
+    second script). Runs Spark jobs when called.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     rows = df.select(*columns) if columns else df
-    schema, table = _split(name)
-    staging = f"{schema + '.' if schema else ''}{table}__staging"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    create_table(spark, staging, ddl_columns, if_not_exists=False)
+    name = name.removeprefix("spark_catalog.") if name.count(".") == 2 else name  # the session's own catalog
+    prefix, table = _split(name)
+    run = uuid.uuid4().hex[:12]
+    staging, backup = f"{prefix}{table}__staging_{run}", f"{prefix}{table}__backup_{run}"
+    if mode == "truncate" and spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {staging} LIKE {name}")
+    else:
+        create_table(spark, staging, ddl_columns, if_not_exists=False)
     try:
         rows.write.insertInto(staging, overwrite=True)
+        _swap(spark, staging, name, backup)
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {staging}")
         raise
-    if mode == "recreate":
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
-    else:
-        create_table(spark, name, ddl_columns, if_not_exists=True)
-        spark.table(staging).write.insertInto(name, overwrite=True)
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
 
 
 def snapshot(df: DataFrame, view_name: str) -> DataFrame:
