@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .runtime import prepare, saved
 
 WINDOW, OPEN, LEAST_PIECE, FAN_IN = 2048, 16, 16, 8
-SEEN_WORDS = 400_000
+SEEN_WORDS = 150_000
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -106,10 +106,15 @@ def _separates(column: np.ndarray, grade: np.ndarray, sizes: np.ndarray, size: i
 
 def fit_ordinal(f: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature numbers, weights, thresholds) by maximum penalised likelihood (Adam, full batch)."""
-    known, column, seen = np.unique(f, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(grade)), np.diff(off))
-    use = (seen >= LEAST_TEXTS) & _separates(column, grade[row], np.bincount(grade, minlength=grades), len(known))
-    number = np.cumsum(use) - 1
+    known, seen = np.unique(f, return_counts=True)
+    known = known[seen >= LEAST_TEXTS]
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(off))
+    column = np.searchsorted(known, f).astype(np.int32)
+    kept = column < len(known)
+    kept[kept] = known[column[kept]] == f[kept]
+    row, column = row[kept], column[kept]
+    use = _separates(column, grade[row], np.bincount(grade, minlength=grades), len(known))
+    number = np.cumsum(use, dtype=np.int32) - 1
     kept = use[column]
     row, column = row[kept], number[column[kept]]
     known, size = known[use], int(use.sum())

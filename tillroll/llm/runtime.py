@@ -12,7 +12,7 @@ from tillroll.session import ensure_checkpoint_dir
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bounds of an Arrow batch handed to a Python task.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
