@@ -80,6 +80,25 @@ def best_segmentation(part: str, automaton, unknown: float, byte_pieces: bool) -
     return score[n], count[n]
 
 
+class _Seen(dict):
+    """(score, tokens) of parts; a worker keeps it over its tasks."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.vocabulary = _vocabulary(path)
+
+    def __missing__(self, part: str) -> tuple[float, int]:
+        if len(self) >= SEEN_PARTS:
+            self.clear()
+        self[part] = found = best_segmentation(part, *self.vocabulary)
+        return found
+
+
+@lru_cache(maxsize=1)
+def _seen(path: str) -> _Seen:
+    return _Seen(path)
+
+
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -96,16 +115,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, unknown, byte_pieces = _vocabulary(vocabulary)
-
-        class Seen(dict):
-            def __missing__(self, part: str):
-                if len(self) >= SEEN_PARTS:
-                    self.clear()
-                self[part] = found = best_segmentation(part, automaton, unknown, byte_pieces)
-                return found
-
-        seen = Seen()
+        seen = _seen(vocabulary)
         for batch in batches:
             tokens, scores = [], []
             for text in batch.column(1).to_pylist():
