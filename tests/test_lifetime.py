@@ -8,6 +8,7 @@ from decimal import Decimal
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.operators import lifetime
 from tillroll.plans import oracle
@@ -137,6 +138,30 @@ def test_conversion_number_ties_and_next_week(spark):
         [(1101, 1, "2021-W05"), (1102, 2, None)]
 
 
+def test_default_cap_is_the_current_iso_week(spark):
+    today = dt.datetime.now(dt.timezone.utc).date()
+    began = today - dt.timedelta(days=28)
+    dates = date_dimension(spark, began.isoformat(), (today + dt.timedelta(days=14)).isoformat())
+    customers, conversions, orders, _ = _frames(spark)
+    one = spark.createDataFrame([(1, 1, _key(began.isoformat()), began, "T", "CH", 1)], conversions.schema)
+    out = lifetime.customer_weekly_lifetime(customers.where("sk_customer = 1"), one, orders.where("false"), dates)
+    weeks = {(began + dt.timedelta(days=7 * i)).isocalendar()[:2] for i in range(4)}
+    assert sorted(r.order_week for r in out.collect()) == sorted(f"{y}-W{w:02d}" for y, w in weeks)
+
+
+def test_hot_customer_and_customers_without_conversions(spark):
+    """A customer with most conversions, customers with none, a null key on both sides."""
+    customers, conversions, _, dates = _frames(spark)
+    customers = customers.union(spark.createDataFrame([(None, 13, "F13", "L13")], customers.schema))
+    day = _day("2021-01-05")
+    many = spark.createDataFrame([(5000 + i, 2 if i else None, _key("2021-01-05"), day, "T", "CH", i) for i in range(200)], conversions.schema)
+    base = lifetime.conversion_base(customers, many, dates)
+    got = {r.customer_id: (r.n, r.last, r.known) for r in base.groupBy("customer_id").agg(
+        F.count("*").alias("n"), F.max("conversion_number").alias("last"), F.count("conversion_id").alias("known")).collect()}
+    alone = {c: (1, 1, 0) for c in (1, 3, 4, 5, 6, 7, 8, 11, 12, 13)}
+    assert got == {**alone, 2: (199, 199, 199), 9: (2, 2, 0)}
+
+
 def test_refresh_customer360_writes_typed_table_and_reconciles(spark):
     from tillroll.plans.customer360 import failed_checks, grain_checks, refresh_customer360
 

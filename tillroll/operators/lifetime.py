@@ -111,7 +111,12 @@ def conversion_base(customers: DataFrame, conversions: DataFrame, dates: DataFra
         "conversion_type", "conversion_channel", "order_number")
     cw = dw.select(F.col("sk_date").alias("_cd"), F.col("year_week").alias("conversion_week"),
                    F.col("week_ord").alias("conversion_ord"))
-    j = (cust.join(conv, cust.sk_customer == conv.fk_customer, "left")
+    # Inner join plus the customers without a conversion: in an outer join the
+    # conversions of a hot customer could not be split over tasks.
+    known = cust.join(conv, cust.sk_customer == conv.fk_customer)
+    buyers = conv.select(F.col("fk_customer").alias("_buyer")).distinct()
+    alone = cust.join(buyers, F.col("sk_customer") == F.col("_buyer"), "left_anti")
+    j = (known.unionByName(alone, allowMissingColumns=True)
          .join(cw, F.col("fk_conversion_date") == F.col("_cd"), "left")
          .drop("_cd", "fk_customer", "fk_conversion_date"))
     numbered = group_row_number(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.fmt import year_month_label
-from tillroll.functions.order import pg_asc
+from tillroll.functions.order import pg_asc, total_order
 
 
 def price_changes(sales: DataFrame, ts_col: str = "sale_datetime") -> DataFrame:
@@ -42,4 +42,5 @@ def price_effective_months(top: DataFrame, changes: DataFrame) -> DataFrame:
     ch = changes.select(
         F.col("article").alias("_article"), F.col("month_price").alias("_price"), "year_month")
     j = top.join(ch, (top.article == ch._article) & (top.unit_price == ch._price), "left")
-    return j.select(*top.columns, "year_month").orderBy(pg_asc("ranking"), pg_asc("year_month"))
+    out = j.select(*top.columns, "year_month")
+    return out.orderBy(*total_order(out, [pg_asc("ranking"), pg_asc("year_month")]))

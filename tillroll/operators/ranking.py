@@ -66,7 +66,7 @@ def tickets_with_min_items(sales: DataFrame, start, end, min_items: int = 5) ->
         in_range.groupBy(F.col("ticket_number").alias("ticket_id"))
         .agg(F.countDistinct("article").alias("number_of_unique_items"))
         .where(F.col("number_of_unique_items") >= min_items)
-        .orderBy(pg_desc("number_of_unique_items"))
+        .orderBy(pg_desc("number_of_unique_items"), pg_asc("ticket_id"))
     )
 
 
