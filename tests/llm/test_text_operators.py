@@ -153,6 +153,30 @@ def test_repeated_passages_leave_the_first(spark):
     assert passages.without_repeats(docs, found).columns == docs.columns
 
 
+def test_exact_repeats_beside_a_part_of_the_passage(spark):
+    rows = []
+    for g in range(40):
+        passage = prose(3000 + g, 55)
+        part = " ".join(passage.split()[:40])
+        for j, body in enumerate((part, passage, passage)):
+            rows.append((3 * g + j, f"{prose(4000 + 3 * g + j, 30)} é {body} {prose(5000 + 3 * g + j, 30)}"))
+    found = passages.repeated_passages(table(spark, rows)).collect()
+    texts = dict(rows)
+    for g in range(40):
+        spans = [range(r.start, r.end) for r in found if r.doc_id == 3 * g + 2]
+        at = texts[3 * g + 2].index(prose(3000 + g, 55))
+        assert set(range(at, at + len(prose(3000 + g, 55)))) <= set().union(*spans)
+    assert {(r.doc_id, r.first_id) for r in found} == {(3 * g + 2, 3 * g + 1) for g in range(40)}
+
+
+def test_run_hashes_against_definition():
+    values = np.array([random.Random(i % 60).getrandbits(64) for i in range(200)], np.uint64)
+    for length in (1, 6, 46, 201):
+        runs = [tuple(values[i:i + length].tolist()) for i in range(200 - length + 1)]
+        h = passages.run_hashes(values, length).tolist()
+        assert len(h) == len(runs) and len(set(h)) == len(set(runs)) == len(set(zip(h, runs, strict=True)))
+
+
 def test_leaks_verbatim_template_and_slots(spark):
     question = ("Here Anna has 12 kg apples and Boris eats 3 of them then Anna buys 12 more pears while Boris "
                 "sells 5 plums so how many kg does Anna keep")
