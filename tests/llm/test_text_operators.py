@@ -195,6 +195,15 @@ def test_leaks_verbatim_template_and_slots(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6]
 
 
+def test_leaks_of_numbers_and_names_verbatim(spark):
+    sums = "12 15 27 9 8 17 100 250 350 41 42 83 7 6 13 90"
+    short = "5 kg 10 kg 15 kg"
+    rows = [(1, prose(1, 40) + ". " + sums), (2, prose(2, 40) + ". " + short + " " + prose(3, 10)), (3, prose(4, 60) + " 12 15 27 9 8 17 100 1")]
+    items = spark.createDataFrame([(10, sums), (11, short)], "item_id long, text string")
+    found = decontaminate.leaks(table(spark, rows), items).collect()
+    assert {(r.doc_id, r.item_id, r.form, r.covered) for r in found} == {(1, 10, "verbatim", 16), (2, 11, "verbatim", 6)}
+
+
 def test_fingerprints_against_definition(spark):
     texts = {1: "abcdefgh", 4: None, 7: "añb" * 50, 9: "añb" * 50, 12: "x", 20: prose(1, 300)}
     order = sorted(texts)

@@ -136,11 +136,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int], known=No
                 if len(h) < k:
                     continue
                 plain, template, literals = _window_hashes(h, slot, k)
-                ok = (row[:len(plain)] == row[k - 1:]) & (literals >= min(LITERALS, k - 1))
+                ok = row[:len(plain)] == row[k - 1:]
                 if whole and k != WINDOW:
                     ok &= count[row[:len(plain)]] == k
                 for form, v in (("verbatim", plain), ("template", template)):
-                    use = ok if form == "verbatim" else ok & (literals < k)
+                    use = ok if form == "verbatim" else ok & (literals < k) & (literals >= min(LITERALS, k - 1))
                     at = np.flatnonzero(use)
                     if known is not None and len(at):
                         at = at[sieve.passes(known, v[at].view(np.int64))]
