@@ -204,6 +204,18 @@ def test_leaks_of_numbers_and_names_verbatim(spark):
     assert {(r.doc_id, r.item_id, r.form, r.covered) for r in found} == {(1, 10, "verbatim", 16), (2, 11, "verbatim", 6)}
 
 
+def test_leaks_with_names_at_sentence_starts(spark):
+    question = "Tom has 5 apples. Sara gives him 3 more. Tom eats 2 of them. How many apples does Tom have left?"
+    other = question.replace("Tom", "Élise").replace("Sara", "Zoé").replace("5", "8").replace("3", "6")
+    torn = other.replace("Élise eats", "Paul eats").replace("does Élise", "does Anton")
+    rows = [(1, prose(1, 40) + ". " + other), (2, prose(2, 40) + ". " + torn), (3, prose(3, 80)),
+            (4, prose(4, 40) + ", " + other.replace("Zoé", "then Zoé").replace("then ", "", 1))]
+    items = spark.createDataFrame([(10, question)], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.leaks(table(spark, rows), items).collect()}
+    assert sorted(found) == [1, 4] and found[1].covered == found[1].item_tokens == 21
+    assert "tom -> Élise" in found[1].slots and "sara -> zoé" in found[1].slots
+
+
 def test_fingerprints_against_definition(spark):
     texts = {1: "abcdefgh", 4: None, 7: "añb" * 50, 9: "añb" * 50, 12: "x", 20: prose(1, 300)}
     order = sorted(texts)

@@ -6,7 +6,9 @@ numbers, names and units of measure are replaced by typed placeholders:
 
 * number: a token that starts with a digit and has no letter, or a number word;
 * unit: a known unit right after a number;
-* name: a capitalised word that does not start a sentence.
+* name: a word of two letters or more of which only the first is a capital, of
+  any script. At the start of a sentence it is read both ways, as a name and as
+  written, in every combination a window allows.
 
 Windows of ``WINDOW`` tokens of both forms (as written, and as template) are
 joined by hash with those of the benchmark items. Joined windows on one
@@ -36,6 +38,8 @@ from .textarrays import FOLD, chunks, mix64, seeded, span_hashes, utf8
 
 WINDOW, RUN, COVER, LITERALS = 8, 13, 0.6, 4
 NUMBER, UNIT, NAME = 1, 2, 3
+#: Windows looked at together.
+STEP = 1 << 16
 
 #: English words for numbers and usual units of measure.
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
@@ -49,6 +53,8 @@ _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _TOKEN = _DIGIT | _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+#: Capital letters by code point.
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x20000)])
 _INNER = (_BYTES == 44) | (_BYTES == 46)
 _STOP = np.zeros(256, bool)
 _STOP[[*b".!?:;\n|"]] = True
@@ -62,17 +68,31 @@ def _known(words: list[str]) -> np.ndarray:
 _NUMBER_WORDS, _UNITS = _known(NUMBER_WORDS), _known(UNITS)
 
 
+def _capitals(data: np.ndarray) -> np.ndarray:
+    """Which bytes begin a capital letter."""
+    out = _UPPER[data]
+    for low, high, mask, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0xF8, 0x07, 3)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[at < len(data) - more]
+        point = data[at].astype(np.int64) & mask
+        for j in range(1, more + 1):
+            point = point << 6 | (data[at + j] & 0x3F)
+        out[at] = _CAPITAL[np.minimum(point, len(_CAPITAL) - 1)]
+    return out
+
+
 def _isin(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
     return known[at] == x
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, end, hash, slot type) of every token of a chunk; type 0 is a literal."""
+    """(row, start, end, hash, slot type, either) of every token of a chunk; type 0
+    is a literal. either: a literal that may also be a name."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, bool)
     inside = _TOKEN[data]
     digit = _DIGIT[data]
     bridge = np.zeros(n, bool)
@@ -90,32 +110,46 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     row = np.searchsorted(offsets, start, "right") - 1
     h = span_hashes(data, start, end)
     letters = np.concatenate([[0], np.cumsum(inside & ~digit & ~bridge)])
-    uppers = np.concatenate([[0], np.cumsum(_UPPER[data])])
+    capital = _capitals(data)
+    uppers = np.concatenate([[0], np.cumsum(capital)])
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     number = (digit[start] & (letters[end] == letters[start])) | _isin(h, _NUMBER_WORDS)
     # A sentence starts at the text's start or when a stop stands between a token and the one before.
     stops = np.concatenate([[0], np.cumsum(_STOP[data] & ~bridge)])
     opens = np.ones(len(start), bool)
     same = row[1:] == row[:-1]
     opens[1:] = ~same | (stops[start[1:]] > stops[end[:-1]])
-    name = _UPPER[data[start]] & (uppers[end] - uppers[start] == 1) & (end - start > 1) & ~opens & ~number
+    named = capital[start] & (uppers[end] - uppers[start] == 1) & (points[end] - points[start] > 1) & ~number
     unit = np.zeros(len(start), bool)
     unit[1:] = same & number[:-1] & _isin(h[1:], _UNITS) & ~number[1:]
-    slot = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0))).astype(np.uint8)
-    return row, start, end, h, slot
-
-
-def _window_hashes(h: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the k tokens from each place: hash as written, hash as template, number of literals."""
-    t = np.where(slot > 0, seeded(slot.astype(np.uint64), 3), h)
-    m = len(h) - k + 1
-    out = []
-    for v in (h, t):
-        acc = np.full(m, k, np.uint64)
-        for j in range(k):
-            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + v[j:m + j])
-        out.append(acc)
-    literal = np.concatenate([[0], np.cumsum(slot == 0)])
-    return out[0], seeded(out[1], 12), literal[k:] - literal[:-k]
+    slot = np.where(number, NUMBER, np.where(unit, UNIT, np.where(named & ~opens, NAME, 0))).astype(np.uint8)
+    return row, start, end, h, slot, named & opens & ~unit
+
+
+def _hashes(values: np.ndarray) -> np.ndarray:
+    """Of each row of k values: its hash."""
+    acc = np.full(len(values), values.shape[1], np.uint64)
+    for v in values.T:
+        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + v)
+    return acc
+
+
+def _readings(h: np.ndarray, slot: np.ndarray, either: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, hashes, slots) of the template windows of k tokens from the
+    places ``at``, one reading of the words that may be names after the other."""
+    span = at[:, None] + np.arange(k)
+    maybe = either[span]
+    rank = np.cumsum(maybe, axis=1) - 1
+    choices = maybe.sum(axis=1)
+    for n in range(1 << int(choices.max(initial=0))):
+        use = np.flatnonzero((1 << choices) > n)
+        s = np.where(maybe[use] & (n >> np.maximum(rank[use], 0) & 1 == 1), np.uint8(NAME), slot[span[use]])
+        literals = (s == 0).sum(axis=1)
+        ok = (literals >= min(LITERALS, k - 1)) & (literals < k)
+        use, s = use[ok], s[ok]
+        if len(use):
+            values = np.where(s > 0, seeded(s.astype(np.uint64).reshape(-1), 3).reshape(s.shape), h[span[use]])
+            yield at[use], seeded(_hashes(values), 12), s
 
 
 _SCHEMA = "id long, n int, key long, form string, pos int, tokens array<string>, slots array<tinyint>"
@@ -129,29 +163,32 @@ def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int], known=No
         ids = batch.column(0)
         for a, b in chunks(off):
             part, o = data[off[a]:off[b]], off[a:b + 1] - off[a]
-            row, start, end, h, slot = canonical(part, o)
+            row, start, end, h, slot, either = canonical(part, o)
             count = np.bincount(row, minlength=b - a) if len(row) else np.zeros(b - a, np.int64)
             first = np.concatenate([[0], np.cumsum(count)])
             for k in lengths:
                 if len(h) < k:
                     continue
-                plain, template, literals = _window_hashes(h, slot, k)
-                ok = row[:len(plain)] == row[k - 1:]
+                ok = row[:len(h) - k + 1] == row[k - 1:]
                 if whole and k != WINDOW:
-                    ok &= count[row[:len(plain)]] == k
-                for form, v in (("verbatim", plain), ("template", template)):
-                    use = ok if form == "verbatim" else ok & (literals < k) & (literals >= min(LITERALS, k - 1))
-                    at = np.flatnonzero(use)
-                    if known is not None and len(at):
-                        at = at[sieve.passes(known, v[at].view(np.int64))]
-                    if not len(at):
-                        continue
-                    tokens = [[FOLD[part[start[i + j]:end[i + j]]].tobytes().decode("utf-8", "replace") for j in range(k)] for i in at]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(a + row[at])).cast(pa.int64()), pa.array(count[row[at]], pa.int32()), pa.array(v[at].view(np.int64)),
-                         pa.array([form] * len(at)), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(tokens, pa.list_(pa.string())),
-                         pa.array([slot[i:i + k].tolist() for i in at], pa.list_(pa.int8()))],
-                        ["id", "n", "key", "form", "pos", "tokens", "slots"])
+                    ok &= count[row[:len(ok)]] == k
+                for begin in range(0, len(ok), STEP):
+                    here = begin + np.flatnonzero(ok[begin:begin + STEP])
+                    span = here[:, None] + np.arange(k)
+                    forms = [("verbatim", here, _hashes(h[span]), slot[span])]
+                    forms += [("template", *r) for r in _readings(h, slot, either, here, k)]
+                    for form, at, v, s in forms:
+                        if known is not None and len(at):
+                            use = sieve.passes(known, v.view(np.int64))
+                            at, v, s = at[use], v[use], s[use]
+                        if not len(at):
+                            continue
+                        tokens = [[FOLD[part[start[i + j]:end[i + j]]].tobytes().decode("utf-8", "replace") for j in range(k)] for i in at]
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(a + row[at])).cast(pa.int64()), pa.array(count[row[at]], pa.int32()), pa.array(v.view(np.int64)),
+                             pa.array([form] * len(at)), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(tokens, pa.list_(pa.string())),
+                             pa.array(s.tolist(), pa.list_(pa.int8()))],
+                            ["id", "n", "key", "form", "pos", "tokens", "slots"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -191,7 +228,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     joined = found.drop("n").join(right, ["key", "form"]).where(same_shape)
     fills = F.filter(F.arrays_zip("item_slots", "item_values", "tokens"), lambda x: x["item_slots"] > 0)
     steps = (joined.select("id", "item", "item_tokens", "form", "item_pos", "pos", F.size("tokens").alias("k"), (F.col("pos") - F.col("item_pos")).alias("diagonal"),
-                           F.transform(fills, lambda x: F.struct(x["item_values"].alias("was"), x["tokens"].alias("now"))).alias("fills")).distinct())
+                           F.transform(fills, lambda x: F.struct(x["item_values"].alias("was"), x["tokens"].alias("now"))).alias("fills"))
+             # Of the readings that match, the one that takes fewest words for names.
+             .groupBy("id", "item", "item_tokens", "form", "item_pos", "pos", "k", "diagonal")
+             .agg(F.min(F.struct(F.size("fills").alias("n"), "fills"))["fills"].alias("fills")))
     line = W.partitionBy("id", "item", "item_tokens", "form", "diagonal").orderBy("pos")
     steps = steps.withColumn("run", F.col("pos") - F.row_number().over(line))
     runs = (steps.groupBy("id", "item", "item_tokens", "form", "diagonal", "run")
