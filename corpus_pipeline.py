@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import decontaminate, jaccard_join, packing, passages, quality
 from tillroll.llm.queries import vocabulary
-from tillroll.llm.runtime import prepare
+from tillroll.llm.runtime import prepare, saved
 from tillroll.sources.tables import read_table
 
 #: Near-duplicate stages: five-word shingles, similarity 0.8.
@@ -30,10 +30,24 @@ def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the least id stays;
-    of rows that are equal in id and text one stays. Rows with a null id stay."""
+    of its rows that are equal or near copies of each other the one with the
+    least text hash stays. Rows with a null id stay."""
     found = jaccard_join.similar_components(docs, k=SHINGLE, percent=PERCENT)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    several = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_several")).count().where("count > 1"))
+    if not several.head(1):
+        return left
+    again = F.col("doc_id") == F.col("_several")
+    rows = saved(left.join(several, again, "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    parts = (jaccard_join.similar_components(rows.select(F.col("_row").alias("doc_id"), "text"), k=SHINGLE, percent=PERCENT)
+             .select(F.col("doc_id").alias("_part_row"), "n_shingles", "component_id"))
+    # Texts without words are no copies of each other unless they are equal.
+    group = ["doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")), F.when(F.col("n_shingles") == 0, F.struct("text"))]
+    kept = (rows.join(parts, F.col("_row") == F.col("_part_row")).groupBy(*group)
+            .agg(F.min(F.struct(F.xxhash64("text"), "_row"))["_row"].alias("_kept")).select("_kept"))
+    one = rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return left.join(several, again, "left_anti").union(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

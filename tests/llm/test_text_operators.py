@@ -399,6 +399,38 @@ def test_language_on_held_out_rows(spark):
     assert {r.lang_pred for r in language.identify(table(spark, [(1, None), (2, "12 3!")]), language.learn(table(spark, [(1, "abc")]))).collect()} == {"und"}
 
 
+def test_near_duplicate_stage_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(None, prose(1, 30)), (None, prose(1, 30)), (90, ""), (90, ""), (90, None), (91, prose(2, 40)), (91, prose(2, 40)), (91, prose(3, 40))]
+    for g in range(12):
+        base = prose(700 + g, 100).split()
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            rows.append((rng.choice((g, g, 20 + g)), " ".join(w)))
+    sets = [frozenset(zip(*(w[j:] for j in range(5)), strict=False)) for w in ((t or "").split() for _, t in rows)]
+    near = [[bool(a) and len(a & b) * 100 >= 80 * len(a | b) for b in sets] for a in sets]
+
+    def groups(members, linked):
+        out = []
+        for m in members:
+            met = [g for g in out if any(linked(m, x) for x in g)]
+            out = [g for g in out if g not in met] + [sum(met, [m])]
+        return out
+
+    with_id = [i for i, (d, _) in enumerate(rows) if d is not None]
+    stay = {rows[i][0] for g in groups(with_id, lambda i, j: near[i][j] or rows[i][0] == rows[j][0]) for i in [min(g, key=lambda x: rows[x][0])]}
+    expected = {None: 2}
+    for d in stay:
+        expected[d] = len(groups([i for i in with_id if rows[i][0] == d], lambda i, j: near[i][j] or rows[i][1] == rows[j][1]))
+    got = corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()
+    assert {d: sum(r.doc_id == d for r in got) for d in {r.doc_id for r in got}} == expected
+    assert expected[90] == expected[91] == 2 and {(r.doc_id, r.text) for r in got} <= set(rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
