@@ -88,3 +88,27 @@ best AS (
 SELECT doc_id, b.name AS license, round(b.dice, 6) AS dice, CAST(coalesce(n, 0) AS BIGINT) AS n_matches
 FROM (SELECT row_number() OVER () AS row_no, doc_id FROM documents) d LEFT JOIN best b USING (row_no)
 """
+
+
+def crc32_sql(binary: str) -> str:
+    """CRC-32 of a blob; the query must offer ``crc_step``, the 256 steps of ``CRC_STEPS``."""
+    return (f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex({binary}), '..'), "
+            "lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1), "
+            "lambda c, b: xor(c // 256, crc_step[xor(c, b) % 256 + 1])))")
+
+
+CRC_STEPS = ("SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), "
+             "lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS crc_step")
+
+
+def shard_sql(shards: int) -> str:
+    return f"""
+WITH steps AS ({CRC_STEPS}),
+sized AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS digest, octet_length(encode(coalesce(text, ''))) + 16 AS size FROM documents),
+ends AS (
+  SELECT *, sum(size) OVER (ORDER BY digest, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS until, sum(size) OVER () AS total FROM sized),
+dealt AS (SELECT *, CAST(least({shards - 1}, (2 * until - size) * {shards} // (2 * total)) AS INT) AS shard FROM ends)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({crc32_sql("encode(t)")} AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS DOUBLE) AS grown_shard
+FROM dealt, steps
+"""
