@@ -42,6 +42,7 @@ SEGMENT_BITS, BLOCK = 12, 16
 SPACE, ENDS = " \t\n\x0b\x0c\r", ".!?"
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 LEGAL_PAIRS = ("su", "ua", "au")
+EMPTY_HASH = hashlib.sha256(b"").hexdigest()
 
 #: Nodes of a layer: nothing yet, after the system row, after a user, after an assistant.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -384,10 +385,8 @@ def repair(conversations: DataFrame, segment_bits: int = SEGMENT_BITS) -> tuple[
                     F.array_join(F.col("_parts.audit"), "").alias("audit")))
     # One row a conversation from each part; null ids group, though they do not join.
     every = gaps.unionByName(sums, allowMissingColumns=True).unionByName(hashes, allowMissingColumns=True)
-    return rows, found, every.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in every.columns[1:]])
-
-
-EMPTY_HASH = hashlib.sha256(b"").hexdigest()
+    report = every.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in every.columns[1:]])
+    return rows, found, report.fillna({"repaired_sha256": EMPTY_HASH})  # without a row left
 
 
 def completed(report: DataFrame, ids: DataFrame) -> DataFrame:

@@ -112,3 +112,65 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({crc32_sql("encode(t)")} AS BI
        row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS DOUBLE) AS grown_shard
 FROM dealt, steps
 """
+
+
+#: By node of the lattice: the node after an insertion or reroling; (initial, node) of the rows that it keeps.
+_NEXT = ("v2", "v2", "v3", "v2")
+_KEEP = (("s", "v1"), ("u", "v2")), (("u", "v2"),), (("a", "v3"),), (("u", "v2"),)
+
+
+def _value(cost: int | str, edit: str, line: str | None, node: str) -> str:
+    text = f"list_concat([{line}], {node}.t)" if line else f"{node}.t"
+    return f"{{'c': {cost} + {node}.c, 'a': '{edit}' || {node}.a, 't': {text}}}"
+
+
+def _least(options: list[str]) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _layer(s: int) -> str:
+    name = "'assistant:'" if s == 2 else "'user:'"
+    out = [_value(3, "D", None, f"v{s}")]
+    for initial, node in _KEEP[s]:
+        out.append(f"CASE WHEN initial = '{initial}' AND NOT gone THEN {_value('extra', 'K', 'line', node)} END")
+    out.append(f"CASE WHEN NOT gone THEN {_value('2 + extra', 'R', name + ' || text', _NEXT[s])} END")
+    return _least(out)
+
+
+def repair_sql() -> str:
+    """The least (cost, edits, repaired lines) from each node, row by row from the last one."""
+    return f"""
+WITH RECURSIVE steps AS ({CRC_STEPS}),
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations, steps),
+harmed AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+ordered AS (
+  SELECT *, role || ':' || text AS line, substr(role, 1, 1) AS initial, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS shown,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM harmed),
+copied AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy FROM ordered),
+marked AS (
+  SELECT *, shown = '' OR copy > 1 AS gone, CASE WHEN shown <> '' AND copy = 1 AND right(shown, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS extra,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM copied),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (shown = '') AS blank,
+         count(*) FILTER (shown <> '' AND copy > 1) AS duplicate, sum(extra) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM marked GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, n + 1 AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS v0, {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}} AS v1,
+         {{'c': 2, 'a': 'I', 't': ['assistant:']}} AS v2, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS v3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_least(["r0", _value(2, "I", "'user:'", "w2")])}, {_least(["r1", _value(2, "I", "'user:'", "w2")])}, w2, w3
+  FROM (SELECT *, {_least(["r2", _value(2, "I", "'assistant:'", "r3")])} AS w2, {_least(["r3", _value(2, "I", "'user:'", "r2")])} AS w3
+        FROM (SELECT p.conv_id, m.i, {', '.join(f"{_layer(s)} AS r{s}" for s in range(4))}
+              FROM paths p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i - 1))),
+best AS (SELECT conv_id, v0 FROM paths WHERE i = 1)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v0.c, 0) AS BIGINT) AS cost,
+       coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+     LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id
+"""

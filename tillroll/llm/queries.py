@@ -24,7 +24,7 @@ from . import (
     url_reputation,
     whitening,
 )
-from .oracle import license_sql, shard_sql, url_sql
+from .oracle import license_sql, repair_sql, shard_sql, url_sql
 
 #: (verdict, host, path) of op3.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -120,4 +120,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_sql(URL_RULES), "op4_license_scan": license_sql(), "op12_sharding": shard_sql(SHARDS)}
+    return {"op3_url_filter": url_sql(URL_RULES), "op4_license_scan": license_sql(), "op12_sharding": shard_sql(SHARDS),
+            "op13_conversation_repair": repair_sql()}

@@ -83,7 +83,8 @@ def shard(docs: DataFrame, shards: int = 40, carry: list[str] | None = None, ran
     kept = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     # Pinned once, since the random part of the key must not change.
-    rows = saved(docs.select(*[F.col(f"`{c}`") for c in kept], size_of(text).alias("_size"), _sort_key(text, doc_id).alias("_key")))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)
+    rows = saved(docs.select(row.alias("_row"), size_of(text).alias("_size"), _sort_key(text, doc_id).alias("_key")))
     total = rows.agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")).first()
     total_bytes, n = total.bytes or 1, total.rows
     ranges = max(shards * ranges_per_shard, math.ceil(n / range_rows))
@@ -109,16 +110,16 @@ def shard(docs: DataFrame, shards: int = 40, carry: list[str] | None = None, ran
     offsets = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_offset"))
     in_part = Window.partitionBy("_part").orderBy("_key")
     placed = (dealt.join(offsets, F.col("_part") == F.col("_of"))
-              .withColumn("_row", F.row_number().over(in_part))
+              .withColumn("_number", F.row_number().over(in_part))
               .withColumn("_end", F.col("_offset") + F.sum("_size").over(in_part.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("_shard", F.expr(f"CAST(least({shards - 1}, (2 * _end - _size) * {shards} div (2 * {total_bytes})) AS INT)")))
     cells = placed.groupBy(F.col("_part").alias("_p"), F.col("_shard").alias("_s")).agg(
-        F.count("*").alias("_count"), F.min("_row").alias("_first"))
+        F.count("*").alias("_count"), F.min("_number").alias("_first"))
     before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0)))
     return placed.join(cells, (F.col("_part") == F.col("_p")) & (F.col("_shard") == F.col("_s"))).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), F.col("_shard").alias("shard"),
-        (F.col("_before") + F.col("_row") - F.col("_first")).cast("long").alias("slot"), F.col("_part").alias("part"))
+        *[F.col("_row")[c].alias(c) for c in kept], F.col("_size").alias("size"), F.col("_shard").alias("shard"),
+        (F.col("_before") + F.col("_number") - F.col("_first")).cast("long").alias("slot"), F.col("_part").alias("part"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:

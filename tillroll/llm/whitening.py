@@ -245,7 +245,7 @@ def _identity_error(distinct: DataFrame, model: Whitening) -> float:
 
 def whiten(vectors: DataFrame, model: Whitening, column: str = "embedding") -> DataFrame:
     """The rows of ``usable(vectors)`` of the model's dimension, with ``deviation``
-    (decimal(38,0), the sum of (n x - S)^2, exact) and ``whitened`` (one number a
+    (decimal(38,0), the sum of (n x - S)^2, exact; null if it has more digits) and ``whitened`` (one number a
     component). Columns of ``vectors`` with these names give way."""
     prepare(vectors.sparkSession)
     kept = [c for c in vectors.columns if c not in ("deviation", "whitened")]
