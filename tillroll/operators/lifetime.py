@@ -19,29 +19,36 @@ Two variants of the original scripts:
             running sums keep NULLs.
 
 Plan, and why it scales:
-    1. Week labels get a dense ordinal (bounded: about 53 a year) and the
-       day->week map is broadcast (bounded by the number of days).
+    1. Week labels get a dense ordinal (bounded: about 53 a year). The
+       day->week map is broadcast if the dates have at most
+       ``calendar.DAY_BROADCAST_LIMIT`` rows; beyond, the planner decides.
     2. conversion_number is a skew-safe ROW_NUMBER per customer
        (``group_row_number``) and the next conversion's week comes from an
        equi-join on (customer_id, conversion_number + 1): no window ever
        holds one customer's conversions in one task.
-    3. The spine is ``posexplode_outer(sequence(lo, hi))`` over week
-       ordinals: linear in output rows, no nested-loop range join.
-       week_counter is the position in the sequence.
-    4. Spine rows with a week are at most (#weeks x fan-out) per customer,
-       so the running sums over them are ordinary windows. The conversions
-       with weeks are hashed by customer before the explode; the spine is
-       generated there, hash-joined with the co-partitioned weekly orders,
-       windowed on narrow rows, and hash-joined with the text attributes
-       (no shuffle of the spine with
-       ``spark.sql.requireAllClusterKeysForCoPartition=false``). Rows
-       without a week (unbounded per customer) never enter a window or a
-       customer-hashed table: their running sums are constants or the
-       customer's total, joined by customer (AQE splits a hot key).
-    5. Weekly order totals are aggregated per (customer key, week) before
-       the join to the customer dimension.
-    6. The per-conversion table is checkpointed once (it feeds four
-       branches) in ``spark.checkpoint.dir``.
+    3. ``prepare`` computes, once for both variants, the conversions with their
+       weeks and first orders, and the weekly orders: aggregated per (customer
+       key, week) before the join to the customer dimension. With ``store`` the
+       conversions that can have weeks and the weekly orders are written as
+       tables bucketed by customer, so that no later step moves them; without,
+       they are kept in ``spark.checkpoint.dir`` and hashed by customer.
+    4. The spine is ``explode(sequence(lo, hi))`` over week ordinals: linear in
+       output rows, no nested-loop range join, one explode. It is made where
+       the customer's conversions lie, joined with the weekly orders by a sort
+       merge join, which spills, and summed by windows there, without a shuffle
+       with ``spark.sql.requireAllClusterKeysForCoPartition=false``. Only narrow
+       rows are sorted; text attributes are joined to the finished rows.
+       Intervals of one customer do not overlap, so a customer has at most
+       #weeks x fan-out such rows.
+    5. Repeated keys (a conversion id on several rows of a customer, several
+       keys or rows without a conversion under one customer): dated rows are
+       numbered by (week, conversion_number) within (customer, conversion).
+       Rows without a week come after all dated rows of their group. They are
+       unbounded per customer and never enter a window: counts and sums per
+       interval, from a join of weekly orders to intervals by customer, add up
+       to each group's and customer's totals, and the place among the rows
+       without a week comes from ``group_row_number``, run only for groups that
+       have several.
 
     The per-customer bound in 4 rests on conversion intervals not
     overlapping. They can overlap only when a conversion whose date key is
@@ -51,14 +58,16 @@ Plan, and why it scales:
 
 Deliberate differences from the original scripts:
     * Conversions of a customer are ordered by (conversion_date,
-      conversion_id); ties were arbitrary.
+      conversion_id, customer key, order number); ties were arbitrary.
     * week_counter and the per-conversion running sum are partitioned by
       (customer_id, conversion_id), so customers without a conversion
-      (conversion_id NULL) get week_counter 1 instead of one shared counter.
+      (conversion_id NULL) do not share one counter.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +75,8 @@ from tillroll.functions.fmt import iso_week_label
 from tillroll.functions.order import pg_asc
 from tillroll.operators.numbering import group_row_number
 from tillroll.session import ensure_checkpoint_dir
-from tillroll.sources.calendar import day_weeks, week_list
+from tillroll.sources.calendar import week_tables
+from tillroll.sources.tables import materialize
 
 VARIANTS = ("capped", "open")
 
@@ -96,21 +106,31 @@ SINK_DDL = """
 SINK_COLUMNS = [line.split()[0] for line in SINK_DDL.strip().splitlines()]
 
 
-def _weeks(dates: DataFrame):
-    weeks = F.broadcast(week_list(dates))  # distinct week labels: bounded
-    return weeks, day_weeks(dates, weeks)
+# The customer key of rows whose customer_id is NULL: outside the INT range.
+NO_CUSTOMER = -(2**40)
+
+ATTRIBUTES = ["first_name", "last_name", "conversion_type", "conversion_date", "conversion_week",
+              "next_conversion_week", "conversion_channel", "first_order_week", "first_order_total_paid"]
+AMOUNTS = ["orders_count", "total_before_discounts", "total_discounts", "total_paid_in_week"]
+
+
+def _customer_key() -> F.Column:
+    return F.coalesce(F.col("customer_id").cast("long"), F.lit(NO_CUSTOMER)).alias("_ck")
 
 
 def conversion_base(customers: DataFrame, conversions: DataFrame, dates: DataFrame) -> DataFrame:
     """Every customer (one NULL row when without conversion) x conversion,
     with conversion_number, conversion week and next conversion week."""
-    weeks, dw = _weeks(dates)
+    return _base(customers, conversions, week_tables(dates)[1])
+
+
+def _base(customers: DataFrame, conversions: DataFrame, days: DataFrame) -> DataFrame:
     cust = customers.select("sk_customer", "customer_id", "first_name", "last_name")
     conv = conversions.select(
         "conversion_id", "fk_customer", "fk_conversion_date", "conversion_date",
         "conversion_type", "conversion_channel", "order_number")
-    cw = dw.select(F.col("sk_date").alias("_cd"), F.col("year_week").alias("conversion_week"),
-                   F.col("week_ord").alias("conversion_ord"))
+    cw = days.select(F.col("sk_date").alias("_cd"), F.col("year_week").alias("conversion_week"),
+                     F.col("week_ord").alias("conversion_ord"))
     # Inner join plus the customers without a conversion: in an outer join the
     # conversions of a hot customer could not be split over tasks.
     known = cust.join(conv, cust.sk_customer == conv.fk_customer)
@@ -120,7 +140,7 @@ def conversion_base(customers: DataFrame, conversions: DataFrame, dates: DataFra
          .join(cw, F.col("fk_conversion_date") == F.col("_cd"), "left")
          .drop("_cd", "fk_customer", "fk_conversion_date"))
     numbered = group_row_number(
-        j, ["customer_id"], [pg_asc("conversion_date"), pg_asc("conversion_id")],
+        j, ["customer_id"], [pg_asc(c) for c in ("conversion_date", "conversion_id", "sk_customer", "order_number")],
         out="conversion_number")
     nxt = numbered.select(
         F.col("customer_id").alias("_nc"),
@@ -134,12 +154,15 @@ def conversion_base(customers: DataFrame, conversions: DataFrame, dates: DataFra
 def conversion_order(customers: DataFrame, conversions: DataFrame, orders: DataFrame,
                      dates: DataFrame) -> DataFrame:
     """Per conversion (of a known customer): its order's week and paid amount."""
-    _, dw = _weeks(dates)
+    return _conversion_order(customers, conversions, orders, week_tables(dates)[1])
+
+
+def _conversion_order(customers: DataFrame, conversions: DataFrame, orders: DataFrame, days: DataFrame) -> DataFrame:
     pairs = conversions.select("conversion_id", "fk_customer", "order_number").join(
         customers.select("sk_customer"), F.col("fk_customer") == F.col("sk_customer"))
     o = orders.select("order_number", "fk_order_date", "price_paid")
     j = (pairs.join(o, "order_number")
-         .join(dw, F.col("fk_order_date") == F.col("sk_date")))
+         .join(days, F.col("fk_order_date") == F.col("sk_date")))
     return j.select("conversion_id", "order_number", F.col("year_week").alias("order_week"),
                     F.col("price_paid").alias("order_total_paid"))
 
@@ -150,11 +173,14 @@ def weekly_orders(orders: DataFrame, dates: DataFrame, customers: DataFrame) ->
     Aggregated per (fk_customer, week) first, then joined to the customer
     dimension: the same groups as grouping after the join, with the
     fact shrunk before the second shuffle."""
-    _, dw = _weeks(dates)
+    return _weekly_orders(orders, week_tables(dates)[1], customers)
+
+
+def _weekly_orders(orders: DataFrame, days: DataFrame, customers: DataFrame) -> DataFrame:
     o = orders.select("order_number", "fk_customer", "fk_order_date", "unit_price",
                       "discount_value", "price_paid")
     per_key = (
-        o.join(dw, F.col("fk_order_date") == F.col("sk_date"), "left")
+        o.join(days, F.col("fk_order_date") == F.col("sk_date"), "left")
         .groupBy("fk_customer", F.col("year_week").alias("order_week"), F.col("week_ord").alias("order_ord"))
         .agg(F.count("order_number").alias("orders_count"),
              F.sum("unit_price").alias("total_before_discounts"),
@@ -163,18 +189,17 @@ def weekly_orders(orders: DataFrame, dates: DataFrame, customers: DataFrame) ->
     )
     cust = customers.select("sk_customer", "customer_id")
     j = per_key.join(cust, F.col("fk_customer") == F.col("sk_customer"), "left")
-    return j.select("fk_customer", "customer_id", "order_week", "order_ord", "orders_count",
-                    "total_before_discounts", "total_discounts", "total_paid_in_week")
+    return j.select("fk_customer", "customer_id", "order_week", "order_ord", *AMOUNTS)
 
 
-def _bounds(weeks: DataFrame, as_of) -> DataFrame:
-    """One row: number of week labels before the cap, and the last ordinal."""
+def _ends(weeks: DataFrame, as_of) -> tuple[int, int]:
+    """Number of week labels before the cap, and the last ordinal."""
     cap = F.lit(as_of) if as_of is not None else iso_week_label(F.current_date())
-    return weeks.agg(F.count_if(F.col("year_week") < cap).alias("_cap_hi"),
-                     F.max("week_ord").alias("_max_ord"))
+    row = weeks.agg(F.count_if(F.col("year_week") < cap).alias("cap"), F.max("week_ord").alias("last")).first()
+    return row.cap, row.last or 0
 
 
-def _intervals(base: DataFrame, weeks: DataFrame, as_of, variant: str) -> DataFrame:
+def _spans(base: DataFrame, ends: tuple[int, int], variant: str) -> DataFrame:
     """``base`` plus the interval of week ordinals each row covers
     (``_lo``..``_hi``, inclusive) and ``_has_weeks``; ``_keep`` says whether
     a row without weeks still yields one NULL-week row."""
@@ -182,31 +207,99 @@ def _intervals(base: DataFrame, weeks: DataFrame, as_of, variant: str) -> DataFr
         raise ValueError(f"variant must be one of {VARIANTS}")
     lo = F.col("conversion_ord")
     has_next = F.col("next_conversion_week").isNotNull()
-    last = F.col("_cap_hi") if variant == "capped" else F.col("_max_ord")
-    hi = F.when(has_next, F.col("next_ord") - 1).otherwise(last)
-    with_bounds = base.crossJoin(F.broadcast(_bounds(weeks, as_of)))  # one-row side
-    has_weeks = lo.isNotNull() & hi.isNotNull() & (lo <= hi)
+    hi = F.when(has_next, F.col("next_ord") - 1).otherwise(F.lit(ends[0] if variant == "capped" else ends[1]))
+    has_weeks = F.coalesce(lo <= hi, F.lit(False))
     # capped: the bound is part of the join, so an empty interval keeps one
     # NULL-week row; open: the bound filters after the join, so only a row
     # without a next conversion survives as a NULL-week row.
     keep = F.lit(True) if variant == "capped" else ~has_next
-    return with_bounds.select(
-        "*", lo.alias("_lo"), hi.alias("_hi"), has_weeks.alias("_has_weeks"), keep.alias("_keep"),
-    ).drop("_cap_hi", "_max_ord")
+    return base.select("*", lo.alias("_lo"), hi.alias("_hi"), has_weeks.alias("_has_weeks"), keep.alias("_keep"))
+
+
+def _places(undated: DataFrame) -> DataFrame | None:
+    """(_pk, _pn, _place): the place of a row without a week among those of its
+    (customer, conversion), for groups that have several; None if none has."""
+    rows = undated.select("_ck", "conversion_id", "conversion_number").distinct()
+    several = rows.groupBy(F.col("_ck").alias("_sk"), F.col("conversion_id").alias("_si")).count().where("count > 1")
+    if several.isEmpty():
+        return None
+    members = rows.join(several, (F.col("_ck") == F.col("_sk")) & F.col("conversion_id").eqNullSafe(F.col("_si")), "left_semi")
+    numbered = group_row_number(members, ["_ck", "conversion_id"], ["conversion_number"], out="_place")
+    return numbered.select(F.col("_ck").alias("_pk"), F.col("conversion_number").alias("_pn"), "_place")
+
+
+def _with_place(undated: DataFrame) -> DataFrame:
+    places = _places(undated)
+    if places is None:
+        return undated.withColumn("_place", F.lit(1).cast("long"))
+    found = undated.join(places, (F.col("_ck") == F.col("_pk")) & (F.col("conversion_number") == F.col("_pn")), "left")
+    return found.withColumn("_place", F.coalesce("_place", F.lit(1).cast("long"))).drop("_pk", "_pn")
 
 
 def weekly_spine(base: DataFrame, dates: DataFrame, as_of=None, variant: str = "capped") -> DataFrame:
-    """``base`` rows exploded to one row per week of their interval:
-    adds order_week, order_ord and week_counter (1-based)."""
-    weeks, _ = _weeks(dates)
-    iv = _intervals(base, weeks, as_of, variant)
-    seq = F.when(F.col("_has_weeks"), F.sequence("_lo", "_hi"))
-    exploded = iv.where(F.col("_has_weeks") | F.col("_keep")).select(
-        "*", F.posexplode_outer(seq).alias("_pos", "order_ord"))
+    """``base`` rows exploded to one row per week of their interval: adds
+    order_week, order_ord and week_counter (from 1 within customer and
+    conversion, by week; rows without a week last)."""
+    weeks, _ = week_tables(dates)
+    spans = _spans(base, _ends(weeks, as_of), variant).withColumn("_ck", _customer_key())
     labels = weeks.select(F.col("week_ord").alias("_wo"), F.col("year_week").alias("order_week"))
-    spine = exploded.join(labels, F.col("order_ord") == F.col("_wo"), "left")
-    return spine.withColumn("week_counter", F.coalesce(F.col("_pos") + 1, F.lit(1)).cast("int")).drop(
-        "_pos", "_wo", "_lo", "_hi", "_has_weeks", "_keep")
+    by_week = Window.partitionBy("_ck", "conversion_id").orderBy("order_ord", "conversion_number")
+    dated = (spans.where("_has_weeks").withColumn("order_ord", F.explode(F.sequence("_lo", "_hi")))
+             .withColumn("week_counter", F.row_number().over(by_week))
+             .join(labels, F.col("order_ord") == F.col("_wo"), "left").drop("_wo"))
+    before = (spans.where("_has_weeks").groupBy(F.col("_ck").alias("_bk"), F.col("conversion_id").alias("_bi"))
+              .agg(F.sum(F.col("_hi") - F.col("_lo") + 1).alias("_before")))
+    undated = _with_place(spans.where("NOT _has_weeks AND _keep")).join(
+        before, (F.col("_ck") == F.col("_bk")) & F.col("conversion_id").eqNullSafe(F.col("_bi")), "left")
+    undated = undated.withColumn("week_counter", F.coalesce("_before", F.lit(0)) + F.col("_place")).drop("_bk", "_bi", "_before", "_place")
+    both = dated.unionByName(undated, allowMissingColumns=True)
+    return both.withColumn("week_counter", F.col("week_counter").cast("int")).drop("_lo", "_hi", "_has_weeks", "_keep", "_ck")
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """What both variants are built from. ``dated``: conversions that can have
+    weeks, with attributes and first order, a row for each order that matches;
+    ``undated``: the other rows of the base; ``weekly``: orders by customer and
+    week. ``dated`` and ``weekly`` lie by ``_ck`` in ``partitions`` partitions."""
+
+    dated: DataFrame
+    undated: DataFrame
+    weekly: DataFrame
+    weeks: DataFrame
+    partitions: int
+
+
+def prepare(customers: DataFrame, conversions: DataFrame, orders: DataFrame, dates: DataFrame,
+            store: str | None = None, partitions: int | None = None) -> Prepared:
+    """Runs the joins that both variants share.
+
+    store: a table name; ``{store}_dated`` and ``{store}_weekly`` are written as
+    tables bucketed by customer (the caller drops them). Without it the frames
+    are kept in the checkpoint folder.
+    """
+    spark = customers.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    weeks, days = week_tables(dates)
+    first = _conversion_order(customers, conversions, orders, days).select(
+        F.col("conversion_id").alias("_fc"), F.col("order_week").alias("first_order_week"),
+        F.col("order_total_paid").alias("first_order_total_paid"))
+    rows = (_base(customers, conversions, days).join(first, F.col("conversion_id") == F.col("_fc"), "left")
+            .select("*", _customer_key()).drop("_fc", "sk_customer", "order_number").checkpoint(eager=True))
+    # Same week as the next conversion, or no known week: no variant has weeks
+    # for it, and a customer may have any number of such rows.
+    can_have_weeks = F.coalesce(F.col("conversion_ord") < F.col("next_ord"), F.col("conversion_ord").isNotNull() & F.col("next_conversion_week").isNull())
+    dated, undated = rows.where(can_have_weeks), rows.where(~can_have_weeks)
+    weekly = (_weekly_orders(orders, days, customers).where("customer_id IS NOT NULL AND order_ord IS NOT NULL")
+              .select(_customer_key(), F.col("order_ord"), *AMOUNTS))
+    if store:
+        dated = materialize(dated, f"{store}_dated", "_ck", n, "conversion_number")
+        weekly = materialize(weekly, f"{store}_weekly", "_ck", n, "order_ord")
+    else:
+        dated = dated.repartition(n, "_ck")
+        weekly = weekly.checkpoint(eager=True).repartition(n, "_ck")
+    return Prepared(dated, undated, weekly, weeks, n)
 
 
 def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, orders: DataFrame,
@@ -216,103 +309,60 @@ def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, order
 
     ``as_of`` is the cap week label ('YYYY-Www') of the capped variant;
     None means the ISO week of the current date.
-
-    The spine is generated inside partitions hashed by customer_id and is
-    never shuffled when the session has
-    ``spark.sql.requireAllClusterKeysForCoPartition=false``: the weekly
-    orders and the per-conversion attributes are co-partitioned by
-    customer and hash-joined, and both running windows are partitioned by
-    customer. With Spark's default the result is the same but the spine is
-    shuffled for the joins. Only narrow rows (keys, week, amounts) are
-    sorted for the windows; text attributes are joined afterwards.
     """
-    spark = customers.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    weeks, _ = _weeks(dates)
+    return lifetime_rows(prepare(customers, conversions, orders, dates, partitions=partitions), as_of, variant)
+
+
+def lifetime_rows(prepared: Prepared, as_of=None, variant: str = "capped") -> DataFrame:
+    """The weekly lifetime table from ``prepare``d frames."""
     capped = variant == "capped"
     zero = F.lit(0).cast("decimal(18,2)")
-
-    base = conversion_base(customers, conversions, dates)
-    iv = _intervals(base, weeks, as_of, variant)
-    first = conversion_order(customers, conversions, orders, dates).select(
-        F.col("conversion_id").alias("_fc"), F.col("order_week").alias("first_order_week"),
-        F.col("order_total_paid").alias("first_order_total_paid"))
-    # A conversion matching k orders appears k times in the original (the
-    # join comes before the running sums), so its amounts count k times.
-    fanout = first.groupBy("_fc").agg(F.count(F.lit(1)).alias("_k"))
-    # NULL customer ids form one group (as in PARTITION BY); a non-null key
-    # pair keeps every join and window on plain equalities of _cv, which the
-    # hash partitioning by _cv satisfies.
-    iv = iv.withColumn("_cv", F.coalesce("customer_id", F.lit(0))).withColumn("_cn", F.col("customer_id").isNull())
-    # One row per (customer, conversion): read by four branches below, so it
-    # is materialised once in the checkpoint directory (also cuts lineage).
-    ensure_checkpoint_dir(spark)
-    iv = iv.checkpoint(eager=True)
-    keys = ["_cv", "_cn", "customer_id", "conversion_id", "conversion_number"]
-    narrow = (iv.select(*keys, "_lo", "_hi", "_has_weeks", "_keep")
-              .join(fanout, F.col("conversion_id") == F.col("_fc"), "left")
-              .withColumn("_k", F.coalesce("_k", F.lit(1)).cast("decimal(10,0)")))
-
-    # Rows with weeks. Their intervals do not overlap within a customer, so
-    # a customer has at most #weeks of them: hashing them by customer is
-    # safe even for a customer with a third of all conversions.
-    dated = (narrow.where(F.col("_has_weeks")).repartition(n, "_cv")
-             .select(*keys, "_k", F.posexplode(F.sequence("_lo", "_hi")).alias("_pos", "order_ord")))
-    weekly = weekly_orders(orders, dates, customers).select(
-        F.col("customer_id").alias("_wc"), F.col("order_ord").alias("_wo"),
-        "orders_count", "total_before_discounts", "total_discounts", "total_paid_in_week",
-    ).repartition(n, "_wc")
-    # Hash join: the co-partitioned spine is neither moved nor sorted.
-    dated = dated.join(weekly.hint("shuffle_hash"),
-                       (F.col("_cv") == F.col("_wc")) & (F.col("order_ord") == F.col("_wo")) & ~F.col("_cn"),
-                       "left")
+    ends = _ends(prepared.weeks, as_of)
+    candidates = _spans(prepared.dated, ends, variant)
+    weekly = prepared.weekly.select(F.col("_ck").alias("_wk"), F.col("order_ord").alias("_wo"), *AMOUNTS)
+
+    # A conversion matching k orders appears k times in the original (the join
+    # comes before the running sums), so its amounts count k times.
+    intervals = (candidates.where("_has_weeks").groupBy("_ck", "conversion_number")
+                 .agg(F.first("customer_id").alias("customer_id"), F.first("conversion_id").alias("conversion_id"),
+                      F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.count("*").cast("decimal(10,0)").alias("_k")))
+    spine = intervals.select("_ck", "customer_id", "conversion_id", "conversion_number", "_k",
+                             F.explode(F.sequence("_lo", "_hi")).alias("order_ord"))
+    joined = spine.join(weekly, (F.col("_ck") == F.col("_wk")) & (F.col("order_ord") == F.col("_wo")), "left")
     paid = F.coalesce("total_paid_in_week", zero) if capped else F.col("total_paid_in_week")
-    dated = dated.withColumn("_paid", paid * F.col("_k"))
-    by_conv = (Window.partitionBy("_cv", "_cn", "conversion_id").orderBy(pg_asc("order_ord"))
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    by_cust = (Window.partitionBy("_cv", "_cn").orderBy(pg_asc("order_ord"))
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    windowed = (dated.withColumn("conversion_cumulative_revenue", F.sum("_paid").over(by_conv))
-                .withColumn("lifetime_cumulative_revenue", F.sum("_paid").over(by_cust))
-                .withColumn("week_counter", (F.col("_pos") + 1).cast("int")))
-
-    # Per-conversion text attributes and the first order (with its fan-out),
-    # for conversions with weeks only (bounded per customer), co-partitioned
-    # by customer and hash-joined onto the finished rows.
-    attr_cols = ["first_name", "last_name", "conversion_type", "conversion_date",
-                 "conversion_week", "next_conversion_week", "conversion_channel"]
-    attrs = (iv.where(F.col("_has_weeks"))
-             .select(F.col("_cv").alias("_ac"), F.col("_cn").alias("_an0"),
-                     F.col("conversion_number").alias("_an"), F.col("conversion_id").alias("_aid"),
-                     *attr_cols)
-             .join(first, F.col("_aid") == F.col("_fc"), "left")
-             .repartition(n, "_ac"))
-    labels = weeks.select(F.col("week_ord").alias("_wo2"), F.col("year_week").alias("order_week"))
-    dated_out = (windowed.join(attrs.hint("shuffle_hash"),
-                               (F.col("_cv") == F.col("_ac")) & (F.col("_cn") == F.col("_an0"))
-                               & (F.col("conversion_number") == F.col("_an")))
-                 .join(labels, F.col("order_ord") == F.col("_wo2"), "left"))
-
-    # Rows without weeks (unbounded per customer) come straight from the
-    # per-conversion rows, which already hold every attribute; they never
-    # enter a window or a customer-hashed hash table. NULL weeks sort last,
-    # so their customer frame is the whole customer: the running sum is the
-    # customer's total (joined per customer; AQE splits a hot key).
-    totals = dated.groupBy(F.col("_cv").alias("_tv"), F.col("_cn").alias("_tn")).agg(
-        F.sum("_paid").alias("_total"))
-    undated = (iv.where(~F.col("_has_weeks") & F.col("_keep"))
-               .join(first, F.col("conversion_id") == F.col("_fc"), "left")
-               .join(totals, (F.col("_cv") == F.col("_tv")) & (F.col("_cn") == F.col("_tn")), "left")
-               .select("*",
-                       F.lit(None).cast("string").alias("order_week"),
-                       F.lit(1).alias("week_counter"),
-                       F.lit(None).cast("bigint").alias("orders_count"),
-                       *[F.lit(None).cast("decimal(28,2)").alias(c) for c in
-                         ("total_before_discounts", "total_discounts", "total_paid_in_week")],
-                       (zero if capped else F.lit(None).cast("decimal(18,2)"))
-                       .cast("decimal(38,2)").alias("conversion_cumulative_revenue"),
-                       (F.coalesce("_total", zero) if capped else F.col("_total"))
-                       .cast("decimal(38,2)").alias("lifetime_cumulative_revenue")))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    by_customer = Window.partitionBy("_ck").orderBy("order_ord").rangeBetween(*upto)
+    by_conversion = Window.partitionBy("_ck", "conversion_id")
+    windowed = (joined.withColumn("_paid", paid * F.col("_k"))
+                .withColumn("lifetime_cumulative_revenue", F.sum("_paid").over(by_customer))
+                # Equal ranks are the copies of one spine row by several weekly rows.
+                .withColumn("week_counter", F.dense_rank().over(by_conversion.orderBy("order_ord", "conversion_number")))
+                .withColumn("conversion_cumulative_revenue", F.sum("_paid").over(by_conversion.orderBy("order_ord").rangeBetween(*upto))))
+    attributes = candidates.where("_has_weeks").select(
+        F.col("_ck").alias("_ak"), F.col("conversion_number").alias("_an"), *ATTRIBUTES)
+    labels = prepared.weeks.select(F.col("week_ord").alias("_lo"), F.col("year_week").alias("order_week"))
+    dated = (windowed.join(attributes, (F.col("_ck") == F.col("_ak")) & (F.col("conversion_number") == F.col("_an")))
+             .join(labels, F.col("order_ord") == F.col("_lo"), "left"))
+
+    # Rows without a week. NULL weeks sort last, so their frames are their whole
+    # customer and their whole (customer, conversion).
+    sums = (intervals.join(weekly, (F.col("_ck") == F.col("_wk")) & F.col("_wo").between(F.col("_lo"), F.col("_hi")), "left")
+            .groupBy("_ck", "conversion_number").agg(
+                F.first("conversion_id").alias("conversion_id"), F.first(F.col("_hi") - F.col("_lo") + 1).alias("_weeks"),
+                F.sum(F.col("total_paid_in_week") * F.col("_k")).alias("_paid")))
+    groups = sums.groupBy(F.col("_ck").alias("_gk"), F.col("conversion_id").alias("_gi")).agg(
+        F.sum("_weeks").alias("_weeks"), F.sum("_paid").alias("_group_paid"))
+    totals = sums.groupBy(F.col("_ck").alias("_tk")).agg(F.sum("_paid").alias("_total_paid"))
+    rest = candidates.unionByName(_spans(prepared.undated, ends, variant)).where("NOT _has_weeks AND _keep")
+    running = lambda c: (F.coalesce(c, zero) if capped else F.col(c)).cast("decimal(38,2)")
+    undated = (_with_place(rest)
+               .join(groups, (F.col("_ck") == F.col("_gk")) & F.col("conversion_id").eqNullSafe(F.col("_gi")), "left")
+               .join(totals, F.col("_ck") == F.col("_tk"), "left")
+               .select("*", F.lit(None).cast("string").alias("order_week"),
+                       (F.coalesce("_weeks", F.lit(0)) + F.col("_place")).alias("week_counter"),
+                       *[F.lit(None).cast("bigint" if c == "orders_count" else "decimal(28,2)").alias(c) for c in AMOUNTS],
+                       running("_group_paid").alias("conversion_cumulative_revenue"),
+                       running("_total_paid").alias("lifetime_cumulative_revenue")))
 
     def finish(df: DataFrame) -> DataFrame:
         return df.select(
@@ -330,7 +380,7 @@ def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, order
             F.col("lifetime_cumulative_revenue").cast("decimal(38,2)").alias("lifetime_cumulative_revenue"),
         )
 
-    return finish(dated_out).unionByName(finish(undated))
+    return finish(dated).unionByName(finish(undated))
 
 
 def reconcile(view: DataFrame) -> DataFrame:

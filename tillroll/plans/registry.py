@@ -35,6 +35,7 @@ ITEM = "hot ring"
 HISTORY_ITEM = "blue rod"
 HIGH_PRICE = 100000
 DUPLICATE_COLS = ["ticket_number", "sale_date", "article"]
+SIX_COLS = ["ticket_number", "sale_date", "sale_time", "article", "quantity", "unit_price"]
 PROFILE_COLS = ["ticket_number", "sale_date", "sale_datetime", "article", "quantity", "unit_price"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,10 +83,16 @@ def _star(spark, base):
             views.orders_fact(spark, base), views.calendar(spark))
 
 
-def _lifetime(variant):
+def _dirty_star(spark, base):
+    """The star with repeated and missing keys."""
+    return (views.customers_shared(spark, base), views.conversions_repeated(spark, base),
+            views.orders_renumbered(spark, base), views.calendar(spark))
+
+
+def _lifetime(variant, star=_star, as_of=AS_OF_WEEK):
     def run(spark, base):
-        c, cv, o, d = _star(spark, base)
-        return lifetime.customer_weekly_lifetime(c, cv, o, d, as_of=AS_OF_WEEK, variant=variant)
+        c, cv, o, d = star(spark, base)
+        return lifetime.customer_weekly_lifetime(c, cv, o, d, as_of=as_of, variant=variant)
     return run
 
 
@@ -111,6 +118,8 @@ def build() -> dict[str, Query]:
     q["null_price_context"] = lambda s, b: quality.rows_sharing_key(
         _dirty(s, b), "ticket_number", F.col("unit_price").isNull())
     q["duplicate_lines"] = lambda s, b: quality.duplicate_groups(_sales(s, b), DUPLICATE_COLS)
+    q["null_profile_timed"] = lambda s, b: quality.null_profile(views.timed_dirty(s, b), SIX_COLS)
+    q["duplicate_rows"] = lambda s, b: quality.duplicate_groups(views.timed_dirty(s, b), SIX_COLS)
     q["ticket_lines"] = lambda s, b: quality.drill_down(
         _sales(s, b), F.col("ticket_number") == TICKET, ["article"])
     q["negative_qty"] = lambda s, b: quality.drill_down(_sales(s, b), F.col("quantity") < 0)
@@ -180,8 +189,8 @@ def build() -> dict[str, Query]:
         c, _, o, d = _star(s, b)
         return lifetime.weekly_orders(o, d, c).drop("order_ord")
 
-    def spine_q(s, b):
-        c, cv, _, d = _star(s, b)
+    def spine_q(s, b, star=_star):
+        c, cv, _, d = star(s, b)
         base = lifetime.conversion_base(c, cv, d)
         return lifetime.weekly_spine(base, d, AS_OF_WEEK, "capped").select(
             "customer_id", "conversion_id", "conversion_week", "next_conversion_week",
@@ -193,6 +202,11 @@ def build() -> dict[str, Query]:
     q["weekly_spine"] = spine_q
     q["lifetime_capped"] = _lifetime("capped")
     q["lifetime_open"] = _lifetime("open")
+    q["lifetime_dirty_capped"] = _lifetime("capped", _dirty_star)
+    q["lifetime_dirty_open"] = _lifetime("open", _dirty_star)
+    q["weekly_spine_dirty"] = lambda s, b: spine_q(s, b, _dirty_star)
+    # The cap of the scripts: the current week.
+    q["lifetime_today_reconcile"] = lambda s, b: lifetime.reconcile(_lifetime("capped", as_of=None)(s, b))
     q["lifetime_reconcile"] = lambda s, b: lifetime.reconcile(_lifetime("capped")(s, b))
     q["lifetime_open_reconcile"] = lambda s, b: lifetime.reconcile(_lifetime("open")(s, b))
 
@@ -213,9 +227,10 @@ def build() -> dict[str, Query]:
     q["refresh_open_reconcile"] = stored("open", "truncate", lifetime.reconcile)
     q["refresh_stored_rows"] = stored("capped", "recreate", lambda t: t)
 
-    nullable_ids = {"conversion_base", "weekly_spine", "lifetime_capped", "lifetime_open", "refresh_stored_rows"}
-    return {name: _presented(fn, NULLABLE_INT_COLS if name in nullable_ids else ())
-            for name, fn in q.items()}
+    nullable = dict.fromkeys(("conversion_base", "weekly_spine", "lifetime_capped", "lifetime_open", "refresh_stored_rows"), NULLABLE_INT_COLS)
+    nullable |= dict.fromkeys(("lifetime_dirty_capped", "lifetime_dirty_open", "weekly_spine_dirty"), (*NULLABLE_INT_COLS, "customer_id"))
+    nullable["duplicate_rows"] = ("quantity",)
+    return {name: _presented(fn, nullable.get(name, ())) for name, fn in q.items()}
 
 
 def _presented(fn: Query, double_cols: tuple[str, ...] = ()) -> Query:

@@ -2,7 +2,9 @@
 
 The date dimension has one row per day, so its size is fixed by its two
 end dates (about 366 rows a year) and never grows with the facts. That
-bound is what makes it safe to broadcast; ``DAY_BROADCAST_LIMIT`` checks it.
+bound is what makes it safe to broadcast. The built-in calendar knows its
+number of days; of a table that is passed in, ``within_limit`` counts the rows,
+as far as ``DAY_BROADCAST_LIMIT``, and beyond it the planner decides.
 """
 
 from __future__ import annotations
@@ -52,5 +54,18 @@ def week_list(dates: DataFrame) -> DataFrame:
 
 def day_weeks(dates: DataFrame, weeks: DataFrame) -> DataFrame:
     """sk_date -> (year_week, week_ord); bounded by the number of days."""
-    j = dates.select("sk_date", "year_week").join(weeks, "year_week", "left")
-    return F.broadcast(j.select("sk_date", "year_week", "week_ord"))
+    return (dates.select("sk_date", "year_week").join(weeks, "year_week", "left")
+            .select("sk_date", "year_week", "week_ord"))
+
+
+def within_limit(dates: DataFrame, limit: int = DAY_BROADCAST_LIMIT) -> bool:
+    """Whether ``dates`` has at most ``limit`` rows; counts no further than that."""
+    return dates.select("sk_date").limit(limit + 1).count() <= limit
+
+
+def week_tables(dates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``week_list``, ``day_weeks``), broadcast if the dates are ``within_limit``.
+    Runs a small Spark job."""
+    weeks = week_list(dates)
+    days = day_weeks(dates, weeks)
+    return (F.broadcast(weeks), F.broadcast(days)) if within_limit(dates) else (weeks, days)

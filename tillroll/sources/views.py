@@ -24,6 +24,12 @@ MOVED_TIME_MODULUS = 100    # event_id % 100 = 0: sale_time one hour later than
 ORPHAN_MODULUS = 97         # o_orderkey % 97 = 0: conversion order number negated
 SECOND_ORDER_MODULUS = 89   # conversion_id % 89 = 0: extra conversion row with order_number + 1
 ORDER_DATE_SHIFT = 5        # order date key moved o_orderkey % 5 days
+SHARED_MODULUS = 40         # customers_shared: c_custkey % 40 = 0 has the id of the key before it
+NO_ID_MODULUS = 401         # customers_shared: c_custkey % 401 = 0 has no id
+REPEAT_MODULI = (53, 59, 61)  # conversions_repeated: second date, equal row, unknown date key
+RENUMBER_MODULUS = 67       # orders_renumbered: o_orderkey % 67 = 0 has the order number before its own
+TIMED_DIRT_MODULUS = 300    # timed_dirty: event_id % 300: 0 -> article '.', price NULL; 1 -> time NULL; 2 -> date NULL
+COPIES = ((250, 5), (50, 2))  # timed_dirty: event_id % 250 = 0 appears five times, else % 50 = 0 twice
 CONVERSION_PRIORITY = "1-URGENT"
 CALENDAR_START, CALENDAR_END = "1995-01-01", "2001-12-31"
 
@@ -83,6 +89,23 @@ def timed_sales(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def timed_dirty(spark: SparkSession, base: str) -> DataFrame:
+    """timed_sales (all six columns of a sales line) with missing values and with
+    rows that repeat in full, twice or five times."""
+    e = read_table(spark, base, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    copies = F.when(F.col("event_id") % COPIES[0][0] == 0, COPIES[0][1]).when(F.col("event_id") % COPIES[1][0] == 0, COPIES[1][1]).otherwise(1)
+    e = e.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("_copy")
+    m = F.col("event_id") % TIMED_DIRT_MODULUS
+    return e.select(
+        F.col("user_id").alias("ticket_number"),
+        F.when(m != 2, F.col("ts").cast("date")).alias("sale_date"),
+        F.when(m != 1, F.date_format("ts", "HH:mm:ss")).alias("sale_time"),
+        F.when(m == 0, ".").otherwise(F.col("event_type")).alias("article"),
+        F.get_json_object("props", "$.k").cast("int").alias("quantity"),
+        F.when(m != 0, F.col("value").cast("decimal(12,2)")).alias("unit_price"),
+    )
+
+
 def customer_dimension(spark: SparkSession, base: str) -> DataFrame:
     c = read_table(spark, base, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return c.select(
@@ -120,6 +143,31 @@ def conversions_dirty(spark: SparkSession, base: str) -> DataFrame:
     return c.unionByName(extra)
 
 
+def customers_shared(spark: SparkSession, base: str) -> DataFrame:
+    """customer_dimension where some customer ids have two keys and some keys no id."""
+    key = F.col("sk_customer")
+    shared = F.when(key % NO_ID_MODULUS == 0, F.lit(None)).when(key % SHARED_MODULUS == 0, key - 1).otherwise(key)
+    return customer_dimension(spark, base).withColumn("customer_id", shared.cast("int"))
+
+
+def conversions_repeated(spark: SparkSession, base: str) -> DataFrame:
+    """conversions with ids on two dates, rows that repeat, and unknown date keys."""
+    twice, equal, unknown = REPEAT_MODULI
+    c = conversions(spark, base)
+    c = c.withColumn("fk_conversion_date", F.when(F.col("conversion_id") % unknown == 0, F.lit(19000101).cast("long"))
+                     .otherwise(F.col("fk_conversion_date")))
+    later = F.date_add("conversion_date", 45)
+    again = (c.where(F.col("conversion_id") % twice == 0)
+             .withColumns({"conversion_date": later, "fk_conversion_date": date_key(later), "order_number": F.col("order_number") + 1}))
+    return c.unionByName(again).unionByName(c.where(F.col("conversion_id") % equal == 0))
+
+
+def orders_renumbered(spark: SparkSession, base: str) -> DataFrame:
+    """orders_fact where some order numbers belong to two orders."""
+    n = F.col("order_number")
+    return orders_fact(spark, base).withColumn("order_number", F.when(n % RENUMBER_MODULUS == 0, n - 1).otherwise(n))
+
+
 def orders_fact(spark: SparkSession, base: str) -> DataFrame:
     o = read_table(spark, base, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
