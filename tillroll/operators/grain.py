@@ -44,6 +44,16 @@ def orphan_rows(left: DataFrame, right: DataFrame, on: str,
     return out.select(*cols) if cols else out
 
 
+def first_week_mismatch_of_pairs(paired: DataFrame) -> DataFrame:
+    """``first_week_mismatch`` from ``lifetime.pair_orders``: one grouped minimum."""
+    firsts = paired.groupBy("fk_customer").agg(
+        F.min("conversion_week").alias("first_conversion_week"), F.min("order_week").alias("first_order_week"))
+    # The scripts join the two sides on the customer: a NULL key finds no orders.
+    known = F.when(F.col("fk_customer").isNotNull(), F.col("first_order_week"))
+    return firsts.withColumn("first_order_week", known).where(
+        "first_conversion_week != first_order_week OR first_order_week IS NULL")
+
+
 def first_week_mismatch(conversions: DataFrame, orders: DataFrame, dates: DataFrame) -> DataFrame:
     """Customers whose first conversion week differs from the first week of
     their conversions' orders, or who have no such order week."""

@@ -68,7 +68,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.fmt import iso_week_label
@@ -154,10 +154,7 @@ def _base(customers: DataFrame, conversions: DataFrame, days: DataFrame) -> Data
 def conversion_order(customers: DataFrame, conversions: DataFrame, orders: DataFrame,
                      dates: DataFrame) -> DataFrame:
     """Per conversion (of a known customer): its order's week and paid amount."""
-    return _conversion_order(customers, conversions, orders, week_tables(dates)[1])
-
-
-def _conversion_order(customers: DataFrame, conversions: DataFrame, orders: DataFrame, days: DataFrame) -> DataFrame:
+    days = week_tables(dates)[1]
     pairs = conversions.select("conversion_id", "fk_customer", "order_number").join(
         customers.select("sk_customer"), F.col("fk_customer") == F.col("sk_customer"))
     o = orders.select("order_number", "fk_order_date", "price_paid")
@@ -236,6 +233,24 @@ def _with_place(undated: DataFrame) -> DataFrame:
     return found.withColumn("_place", F.coalesce("_place", F.lit(1).cast("long"))).drop("_pk", "_pn")
 
 
+def _counted_weeks(intervals: DataFrame) -> DataFrame:
+    """``intervals`` exploded to weeks, with order_ord and week_counter.
+
+    A scan over the intervals of a (customer, conversion), few rows, gives how
+    many weeks the earlier ones have; a week's counter is that and its place in
+    its own interval. Only groups whose intervals overlap number their weeks."""
+    group = Window.partitionBy("_ck", "conversion_id")
+    earlier = group.orderBy("_lo", "conversion_number").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = (intervals.withColumn("_before", F.coalesce(F.sum(F.col("_hi") - F.col("_lo") + 1).over(earlier), F.lit(0)))
+               .withColumn("_meets", F.coalesce(F.max("_hi").over(earlier) >= F.col("_lo"), F.lit(False)))
+               .withColumn("_meets", F.max("_meets").over(group)))
+    apart = scanned.where("NOT _meets").select("*", F.posexplode(F.sequence("_lo", "_hi")).alias("_pos", "order_ord"))
+    apart = apart.withColumn("week_counter", F.col("_before") + F.col("_pos") + 1).drop("_pos")
+    meeting = scanned.where("_meets").withColumn("order_ord", F.explode(F.sequence("_lo", "_hi")))
+    meeting = meeting.withColumn("week_counter", F.row_number().over(group.orderBy("order_ord", "conversion_number")).cast("long"))
+    return apart.unionByName(meeting).drop("_before", "_meets")
+
+
 def weekly_spine(base: DataFrame, dates: DataFrame, as_of=None, variant: str = "capped") -> DataFrame:
     """``base`` rows exploded to one row per week of their interval: adds
     order_week, order_ord and week_counter (from 1 within customer and
@@ -243,10 +258,7 @@ def weekly_spine(base: DataFrame, dates: DataFrame, as_of=None, variant: str = "
     weeks, _ = week_tables(dates)
     spans = _spans(base, _ends(weeks, as_of), variant).withColumn("_ck", _customer_key())
     labels = weeks.select(F.col("week_ord").alias("_wo"), F.col("year_week").alias("order_week"))
-    by_week = Window.partitionBy("_ck", "conversion_id").orderBy("order_ord", "conversion_number")
-    dated = (spans.where("_has_weeks").withColumn("order_ord", F.explode(F.sequence("_lo", "_hi")))
-             .withColumn("week_counter", F.row_number().over(by_week))
-             .join(labels, F.col("order_ord") == F.col("_wo"), "left").drop("_wo"))
+    dated = _counted_weeks(spans.where("_has_weeks")).join(labels, F.col("order_ord") == F.col("_wo"), "left").drop("_wo")
     before = (spans.where("_has_weeks").groupBy(F.col("_ck").alias("_bk"), F.col("conversion_id").alias("_bi"))
               .agg(F.sum(F.col("_hi") - F.col("_lo") + 1).alias("_before")))
     undated = _with_place(spans.where("NOT _has_weeks AND _keep")).join(
@@ -258,11 +270,15 @@ def weekly_spine(base: DataFrame, dates: DataFrame, as_of=None, variant: str = "
 
 @dataclass(frozen=True)
 class Prepared:
-    """What both variants are built from. ``dated``: conversions that can have
-    weeks, with attributes and first order, a row for each order that matches;
-    ``undated``: the other rows of the base; ``weekly``: orders by customer and
-    week. ``dated`` and ``weekly`` lie by ``_ck`` in ``partitions`` partitions."""
-
+    """What both variants are built from. ``paired``: conversions with each order
+    that they match (``pair_orders``), ``orphans``: how many match none, counted
+    while that was written. ``dated``: conversions that can have weeks, with
+    attributes and first order, a row for each order that matches; ``undated``:
+    the other rows of the base; ``weekly``: orders by customer and week. ``dated``
+    and ``weekly`` lie by ``_ck`` in ``partitions`` partitions."""
+
+    paired: DataFrame
+    orphans: int
     dated: DataFrame
     undated: DataFrame
     weekly: DataFrame
@@ -270,6 +286,21 @@ class Prepared:
     partitions: int
 
 
+def pair_orders(conversions: DataFrame, orders: DataFrame, days: DataFrame) -> DataFrame:
+    """Every conversion with each order of its number: conversion_id, fk_customer,
+    order_number, conversion_week, found (an order has the number), dated (and its
+    date is known), order_week, price_paid. What the grain checks and the lifetime
+    table need of the two facts together."""
+    week_of = lambda key, week, known: days.select(F.col("sk_date").alias(key), F.col("year_week").alias(week), F.lit(True).alias(known))
+    conv = conversions.select("conversion_id", "fk_customer", "fk_conversion_date", "order_number").join(
+        week_of("_cd", "conversion_week", "_c"), F.col("fk_conversion_date") == F.col("_cd"), "left")
+    o = orders.select(F.col("order_number").alias("_on"), "fk_order_date", "price_paid", F.lit(True).alias("_f")).join(
+        week_of("_od", "order_week", "_d"), F.col("fk_order_date") == F.col("_od"), "left")
+    return conv.join(o, F.col("order_number") == F.col("_on"), "left").select(
+        "conversion_id", "fk_customer", "order_number", "conversion_week", F.col("_f").isNotNull().alias("found"),
+        F.col("_d").isNotNull().alias("dated"), "order_week", "price_paid")
+
+
 def prepare(customers: DataFrame, conversions: DataFrame, orders: DataFrame, dates: DataFrame,
             store: str | None = None, partitions: int | None = None) -> Prepared:
     """Runs the joins that both variants share.
@@ -282,9 +313,14 @@ def prepare(customers: DataFrame, conversions: DataFrame, orders: DataFrame, dat
     ensure_checkpoint_dir(spark)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     weeks, days = week_tables(dates)
-    first = _conversion_order(customers, conversions, orders, days).select(
+    # Both facts are joined once; the checks read the result, and the orders that
+    # are missing are counted while it is written.
+    counted = Observation()
+    paired = pair_orders(conversions, orders, days).observe(counted, F.count_if(~F.col("found")).alias("orphans")).checkpoint(eager=True)
+    first = paired.where("dated").join(
+        customers.select("sk_customer"), F.col("fk_customer") == F.col("sk_customer"), "left_semi").select(
         F.col("conversion_id").alias("_fc"), F.col("order_week").alias("first_order_week"),
-        F.col("order_total_paid").alias("first_order_total_paid"))
+        F.col("price_paid").alias("first_order_total_paid"))
     rows = (_base(customers, conversions, days).join(first, F.col("conversion_id") == F.col("_fc"), "left")
             .select("*", _customer_key()).drop("_fc", "sk_customer", "order_number").checkpoint(eager=True))
     # Same week as the next conversion, or no known week: no variant has weeks
@@ -299,7 +335,7 @@ def prepare(customers: DataFrame, conversions: DataFrame, orders: DataFrame, dat
     else:
         dated = dated.repartition(n, "_ck")
         weekly = weekly.checkpoint(eager=True).repartition(n, "_ck")
-    return Prepared(dated, undated, weekly, weeks, n)
+    return Prepared(paired, counted.get["orphans"], dated, undated, weekly, weeks, n)
 
 
 def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, orders: DataFrame,
@@ -383,6 +419,12 @@ def lifetime_rows(prepared: Prepared, as_of=None, variant: str = "capped") -> Da
     return finish(dated).unionByName(finish(undated))
 
 
+def reconcilable(view: DataFrame) -> DataFrame:
+    """The columns of the table that identify and measure a row."""
+    return view.select("customer_id", "conversion_id", "conversion_number", "order_week", "week_counter", "orders_placed",
+                       "total_paid_in_week", "conversion_cumulative_revenue", "lifetime_cumulative_revenue")
+
+
 def reconcile(view: DataFrame) -> DataFrame:
     """Per customer: row count and the highest lifetime running total."""
     return (view.groupBy("customer_id")

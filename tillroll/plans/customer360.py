@@ -1,40 +1,55 @@
 """Full refresh of the weekly customer lifetime table.
 
-    1. grain checks (each an empty DataFrame when the assumption holds);
-       ``strict=True`` raises with the failing check names,
-    2. build the table (``variant`` 'capped' or 'open'),
-    3. staged write and swap into ``table`` (``mode`` 'recreate' drops and
-       recreates, 'truncate' keeps an existing definition),
-    4. return the reconciliation (rows and final lifetime revenue per
+    1. conversions and orders are joined once and written (``lifetime.prepare``);
+       the grain checks on conversions read that result instead of the facts,
+       and the count of missing orders comes with its write,
+    2. ``strict=True`` raises with the failing checks, before anything is built,
+    3. build the table (``variant`` 'capped' or 'open') from frames bucketed by
+       customer,
+    4. write a new version and put it behind the table's name (``mode``
+       'recreate' declares the table anew, 'truncate' keeps its definition),
+    5. return the reconciliation (rows and final lifetime revenue per
        customer) read back from the written table.
 """
 
 from __future__ import annotations
 
 import logging
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.operators.grain import first_week_mismatch, grain_violations, orphan_rows
+from tillroll.functions.order import total_order
+from tillroll.operators.grain import (
+    first_week_mismatch_of_pairs,
+    grain_violations,
+)
 from tillroll.operators.lifetime import (
     SINK_COLUMNS,
     SINK_DDL,
-    customer_weekly_lifetime,
+    Prepared,
+    lifetime_rows,
+    pair_orders,
+    prepare,
     reconcile,
 )
 from tillroll.sinks import refresh_table
+from tillroll.sources.calendar import week_tables
 
 
-def grain_checks(conversions: DataFrame, orders: DataFrame, dates: DataFrame,
-                 order_products: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The assumption checks of the script, by name."""
-    checks = {
-        "conversion_has_one_order": grain_violations(
-            conversions, "conversion_id", "order_number", 1, "unique_orders"),
-        "conversion_order_exists": orphan_rows(
-            conversions, orders, "order_number", ["conversion_id", "order_number"]),
-        "first_order_in_first_conversion_week": first_week_mismatch(conversions, orders, dates),
+def pair_checks(paired: DataFrame) -> dict[str, DataFrame]:
+    """The checks on conversions, from ``lifetime.pair_orders``."""
+    return {
+        "conversion_has_one_order": grain_violations(paired, "conversion_id", "order_number", 1, "unique_orders"),
+        "conversion_order_exists": paired.where("NOT found").select("conversion_id", "order_number"),
+        "first_order_in_first_conversion_week": first_week_mismatch_of_pairs(paired),
     }
+
+
+def order_checks(orders: DataFrame, order_products: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The checks on orders alone."""
+    checks = {}
     if "order_id" in orders.columns:
         checks["order_id_has_one_number"] = grain_violations(
             orders, "order_id", "order_number", 1, "unique_order_number_count")
@@ -44,21 +59,40 @@ def grain_checks(conversions: DataFrame, orders: DataFrame, dates: DataFrame,
     return checks
 
 
+def grain_checks(conversions: DataFrame, orders: DataFrame, dates: DataFrame,
+                 order_products: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The assumption checks of the script, by name."""
+    return pair_checks(pair_orders(conversions, orders, week_tables(dates)[1])) | order_checks(orders, order_products)
+
+
 def failed_checks(checks: dict[str, DataFrame]) -> list[str]:
     """Names of checks that return at least one row (one small job each)."""
     return [name for name, df in checks.items() if not df.isEmpty()]
 
 
 def check_report(checks: dict[str, DataFrame], sample: int = 5) -> dict[str, dict]:
-    """Of every check that returns rows: their number and a few of them."""
+    """Of every check that returns rows: their number and the first few of them.
+    One job a check: the rows are counted on their way into the top few."""
     report = {}
     for name, df in checks.items():
-        rows = df.limit(sample).collect()
+        counted = Observation()
+        seen = df.observe(counted, F.count(F.lit(1)).alias("rows"))
+        rows = seen.orderBy(*total_order(seen, [])).limit(sample).collect()
         if rows:
-            report[name] = {"rows": df.count(), "sample": [r.asDict() for r in rows]}
+            report[name] = {"rows": counted.get["rows"], "sample": [r.asDict() for r in rows]}
     return report
 
 
+def gate_report(prepared: Prepared, orders: DataFrame, order_products: DataFrame | None = None,
+                sample: int = 5) -> dict[str, dict]:
+    """``check_report`` of a prepared build: no check on conversions reads a fact,
+    and the one on missing orders runs only if the write counted some."""
+    checks = pair_checks(prepared.paired)
+    if not prepared.orphans:
+        del checks["conversion_order_exists"]
+    return check_report(checks | order_checks(orders, order_products), sample)
+
+
 def refresh_customer360(spark: SparkSession, customers: DataFrame, conversions: DataFrame,
                         orders: DataFrame, dates: DataFrame,
                         table: str = "customer360.full_360_view", variant: str = "capped",
@@ -67,11 +101,19 @@ def refresh_customer360(spark: SparkSession, customers: DataFrame, conversions:
     """Runs the grain checks, refreshes the table, and returns the totals per
     customer read from the table. Failed checks are logged with their counts
     and sample rows; with ``strict`` they stop the refresh."""
-    report = check_report(grain_checks(conversions, orders, dates, order_products))
-    if report and strict:
-        raise ValueError(f"grain checks failed: {report}")
-    if report:
-        logging.getLogger(__name__).warning("grain checks failed: %s", report)
-    view = customer_weekly_lifetime(customers, conversions, orders, dates, as_of, variant)
-    refresh_table(spark, view, table, SINK_DDL, SINK_COLUMNS, mode=mode)
+    schema = table.rpartition(".")[0]
+    if schema:
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    work = f"{table.removeprefix('spark_catalog.')}__work_{uuid.uuid4().hex[:12]}"
+    try:
+        prepared = prepare(customers, conversions, orders, dates, store=work)
+        report = gate_report(prepared, orders, order_products)
+        if report and strict:
+            raise ValueError(f"grain checks failed: {report}")
+        if report:
+            logging.getLogger(__name__).warning("grain checks failed: %s", report)
+        refresh_table(spark, lifetime_rows(prepared, as_of, variant), table, SINK_DDL, SINK_COLUMNS, mode=mode)
+    finally:
+        for part in ("dated", "weekly"):
+            spark.sql(f"DROP TABLE IF EXISTS {work}_{part}")
     return reconcile(spark.table(table))
