@@ -6,8 +6,8 @@ global aggregate each (partial counts per task, one tiny merge).
 ``duplicate_groups`` is a grouped count: a row repeated a billion times is
 one hash-map entry per task before the shuffle. ``rows_sharing_key`` is a
 left-semi join; a hot key on the probe side is split by AQE's skew-join
-handling, and the key side is broadcast by AQE only when its measured
-size is small.
+handling, the key side holds keys only and is broadcast by AQE only when its
+measured size is small.
 """
 
 from __future__ import annotations
@@ -29,11 +29,19 @@ def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def rows_sharing_key(df: DataFrame, key: str, condition: Column) -> DataFrame:
+def rows_sharing_key(df: DataFrame, key: str, condition: Column, distinct_keys: bool = False) -> DataFrame:
     """All rows whose ``key`` also occurs on a row meeting ``condition``
     (e.g. every line of the tickets that have a line without a price).
-    NULL keys never match."""
-    keys = df.where(condition).select(key).distinct()  # a repeated key here would not be split
+    NULL keys never match.
+
+    The key side is a plain filter of the fact, from which Spark can make a
+    runtime Bloom filter that cuts the fact down before its shuffle (from
+    ``spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold``
+    on). ``distinct_keys`` reduces it to one row a key first, which Spark makes no
+    such filter from: for conditions that a hot key meets on very many rows."""
+    # The comparison says the same again: Spark makes a filter of comparisons, not of IS NULL.
+    keys = df.where(condition & (condition > F.lit(False))).select(key)
+    keys = keys.distinct() if distinct_keys else keys
     out = df.join(keys, on=key, how="left_semi")
     return out.orderBy(*total_order(out, [key]))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.operators import diff, grain, lifetime, pricing, quality, ranking, stats
+from tillroll.operators import diff, grain, lifetime, mergeable, pricing, quality, rangejoin, ranking, stats
 from tillroll.plans import customer360
 from tillroll.plans.price_history import price_history
 from tillroll.sinks import create_table, drop_result, refresh_table, snapshot
@@ -35,6 +35,8 @@ TICKET_RANGE = (1000, 1010)
 ITEM = "hot ring"
 HISTORY_ITEM = "blue rod"
 HIGH_PRICE = 100000
+LAST_DAY = 11688  # spine_by_dates: 2002-01-01, the day after the calendar, in days since 1970
+SKETCH_ERROR = 0.05  # sketches_by_quarter: the error that the figures are held to
 MOVED_MODULUS = 97  # lifetime_diff: customers with faults in the second table
 DUPLICATE_COLS = ["ticket_number", "sale_date", "article"]
 SIX_COLS = ["ticket_number", "sale_date", "sale_time", "article", "quantity", "unit_price"]
@@ -146,6 +148,36 @@ def build() -> dict[str, Query]:
         _sales(s, b), "unit_price", 20, count_name="record_count")
     q["price_counts"] = lambda s, b: stats.value_counts(_dirty(s, b), "unit_price")
 
+    # --- distinct counts and quantiles kept by month ------------------------
+    month, quarter = F.trunc("sale_date", "month"), F.trunc("month", "quarter")
+
+    def tickets_q(s, b, coarse: bool):
+        sets = mergeable.distinct_sets(_sales(s, b), [month.alias("month"), "article"], "ticket_number")
+        if coarse:  # from the months' sets, not from the sales
+            sets = mergeable.union_sets(sets, [quarter.alias("month"), "article"])
+        return mergeable.set_sizes(sets, ["month", "article"], "unique_tickets").withColumnRenamed("month", "period_start")
+
+    q["distinct_tickets_by_month"] = lambda s, b: tickets_q(s, b, False)
+    q["distinct_tickets_by_quarter"] = lambda s, b: tickets_q(s, b, True)
+
+    def sketch_q(s, b):
+        """Quarters from months' sketches, beside the exact figures."""
+        sales = _sales(s, b).where("unit_price IS NOT NULL")
+        kept = mergeable.sketches(sales, [month.alias("month")], "ticket_number", "unit_price")
+        found = mergeable.estimates(mergeable.merge_sketches(kept, [quarter.alias("period_start")]), ["period_start"], [0.5])
+        exact = mergeable.set_sizes(mergeable.union_sets(
+            mergeable.distinct_sets(sales, [month.alias("month")], "ticket_number"), [quarter.alias("period_start")]), ["period_start"], "unique_tickets")
+        # The share of prices up to the estimated median, which should be one half.
+        median = found.select(F.col("period_start").alias("_q"), F.col("quantiles")[0].alias("_median"))
+        below = (sales.join(median, F.trunc("sale_date", "quarter") == F.col("_q")).groupBy("_q")
+                 .agg(F.avg((F.col("unit_price").cast("double") <= F.col("_median")).cast("int")).alias("_below")))
+        return (exact.join(found, "period_start").join(below, F.col("period_start") == F.col("_q"))
+                .select("period_start", "unique_tickets",
+                        (F.abs(F.col("distinct_estimate") / F.col("unique_tickets") - 1) < SKETCH_ERROR).alias("count_within_bound"),
+                        (F.abs(F.col("_below") - 0.5) < SKETCH_ERROR).alias("median_within_bound")))
+
+    q["sketches_by_quarter"] = sketch_q
+
     # --- sales script: pricing -------------------------------------------
     q["price_changes"] = lambda s, b: pricing.price_changes(_sales(s, b))
     q["price_effective_months"] = lambda s, b: price_history(_sales(s, b), n=20)
@@ -252,6 +284,22 @@ def build() -> dict[str, Query]:
 
     q["lifetime_diff"] = diff_q
 
+    def spine_dates_q(s, b):
+        """Weeks of each conversion by their first day, a join on dates."""
+        c, cv, _, d = _star(s, b)
+        days = F.datediff(F.col("conversion_date"), F.lit("1970-01-01"))
+        base = lifetime.conversion_base(c, cv, d).where("conversion_date IS NOT NULL").withColumn("from_day", days)
+        nxt = base.select(F.col("customer_id").alias("_c"), (F.col("conversion_number") - 1).alias("_n"), F.col("from_day").alias("until_day"))
+        spans = (base.join(nxt, (F.col("customer_id") == F.col("_c")) & (F.col("conversion_number") == F.col("_n")), "left")
+                 .select("customer_id", "conversion_id", "from_day", F.coalesce("until_day", F.lit(LAST_DAY)).alias("until_day")))
+        weeks = d.groupBy("year_week").agg(F.min("d").alias("first_day")).select(
+            "year_week", F.datediff("first_day", F.lit("1970-01-01")).alias("week_day"))
+        held = rangejoin.range_join(weeks, spans, "week_day", "from_day", "until_day")
+        return held.groupBy("customer_id", "conversion_id").agg(
+            F.count("*").alias("weeks"), F.min("year_week").alias("first_week"), F.max("year_week").alias("last_week"))
+
+    q["spine_by_dates"] = spine_dates_q
+
     def gate_q(s, b):
         """The grain checks from one join of the facts: violations of each."""
         _, cv, o, d = _dirty_star(s, b)
