@@ -195,6 +195,52 @@ def test_leaks_verbatim_template_and_slots(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6]
 
 
+def test_leaks_with_slots_that_contradict_each_other(spark):
+    """A name replaced by one name in the first run and by another in the second."""
+    item = "Anna walks slowly along the very long river with her old dog every single morning and then Anna reads the whole paper before work starts"
+    torn = item.replace("with her old", "with his young").replace("Anna walks", "Maria walks").replace("then Anna", "then Boris")
+    kept = item.replace("with her old", "with his young").replace("Anna", "Maria")
+    rows = [(1, "Once " + torn + " " + prose(1, 30)), (2, "Once " + kept + " " + prose(2, 30))]
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.leaks(table(spark, rows), items).collect() if r.form == "template"}
+    # The second text fills the slot alike in both runs, the first does not.
+    assert found[2].slots == "anna -> maria" and found[2].covered > found[2].longest_run
+    assert 1 not in found or (found[1].covered == found[1].longest_run and "; " not in found[1].slots)
+
+
+def test_leaks_of_slot_heavy_and_very_short_items(spark):
+    heavy = "12 kg 7 km 3 apples 5 kg 9 km 2 apples 8 kg 14 km 6 apples"
+    other = "10 kg 21 km 30 apples 51 kg 90 km 22 apples 80 kg 41 km 60 apples"
+    rows = [(1, prose(1, 40) + ". " + other), (2, "Not  SURE, yet"), (3, "Not sure, yet " + prose(2, 10)), (4, "yes"), (5, "No."), (6, None), (7, "")]
+    items = spark.createDataFrame([(10, heavy), (11, "not sure yet"), (12, "Yes!"), (13, ""), (14, None)], "item_id long, text string")
+    found = decontaminate.leaks(table(spark, rows), items).collect()
+    assert {(r.doc_id, r.item_id, r.form) for r in found} == {(1, 10, "template"), (2, 11, "verbatim"), (4, 12, "verbatim")}
+
+
+def test_template_windows_against_definition():
+    """Hashes of all windows, both forms and all readings, against windows made one by one."""
+    text = "Tom has 5 kg. Sara gave Ben 3 more and then Rex ate 2 of the 17 red plums. Ann left"
+    data = np.frombuffer(text.encode(), np.uint8)
+    row, start, end, h, slot, either = decontaminate.canonical(data, np.array([0, len(data)]))
+    for k in (5, 7, 8):
+        ok = np.ones(len(h) - k + 1, bool)
+        got = sorted((form, int(at), int(v)) for form, places, values, _ in decontaminate._forms(h, slot, either, ok, k) for at, v in zip(places, values))
+        want = []
+        for i in range(len(ok)):
+            want.append(("verbatim", i, int(decontaminate._hashes(h[None, i:i + k])[0])))
+            maybe = [j for j in range(i, i + k) if either[j]]
+            for n in range(1 << len(maybe)):
+                s = slot.copy()
+                for b, j in enumerate(maybe):
+                    s[j] = decontaminate.NAME if n >> b & 1 else s[j]
+                own = s[i:i + k]
+                least = decontaminate.LITERALS if k == decontaminate.WINDOW else min(decontaminate.SHORT_LITERALS, k - 1)
+                if least <= (own == 0).sum() < k:
+                    values = decontaminate._typed(h[i:i + k], own)
+                    want.append(("template", i, int(decontaminate.seeded(decontaminate._hashes(values[None]), 12)[0])))
+        assert got == sorted(want)
+
+
 def test_leaks_of_numbers_and_names_verbatim(spark):
     sums = "12 15 27 9 8 17 100 250 350 41 42 83 7 6 13 90"
     short = "5 kg 10 kg 15 kg"
@@ -360,6 +406,36 @@ def test_packing_round_trip(spark):
     assert max(lengths) <= 2048 and padding < 0.02 * sum(lengths)
 
 
+def test_ids_of_every_vocabulary(spark):
+    from tokenizers import Tokenizer
+    texts = ["Plain words, it's 5 o'clock!! And\tmore\n\nlines", "", None, "ñandú İstanbul ½ ² Ⅷ\u00a0x\u2028y", "e\u0301 a <|endoftext|> b <|ENDOFTEXT|>",
+             " " * 50, "x" * 30_000 + " end", prose(1, 5000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary(name)
+        encoder, known = Tokenizer.from_file(path), packing._Ids(path)
+        assert known.by_parts == (name == "word_bpe_49k.json")
+        import pyarrow as pa
+        for _ in range(2):  # learned, then known
+            got = [x.tolist() for x in known.of(pa.array(texts))]
+            assert got == [encoder.encode(t or "", add_special_tokens=False).ids for t in texts]
+        known.forget()
+        assert [x.tolist() for x in known.of(pa.array(texts[::-1]))] == got[::-1]
+
+
+def test_und_is_for_texts_without_letters(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["½ ² 3", "Ⅷ", "①", "12 !", "a", "ʰ", "字", ""])], "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.learn(docs.where("doc_id = 4"))).collect()}
+    assert {i for i, (lang, _) in found.items() if lang == "und"} == {0, 1, 2, 3, 7}
+    assert all(score == 0 for lang, score in found.values() if lang == "und")
+
+
+def test_quality_without_ratings_keeps_every_text(spark):
+    docs = table(spark, EDGE)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, quality.grades_of_labels(labels), grades=3)
+    assert all(r.selected and r.tail > 0.99 for r in quality.rate(docs, model).collect())
+
+
 def test_code_lengths_against_direct_ppm():
     alphabet = np.zeros(256, np.uint8)
     alphabet[[*b"abc"]] = [1, 2, 3]

@@ -14,8 +14,9 @@ Windows of ``WINDOW`` tokens of both forms (as written, and as template) are
 joined by hash with those of the benchmark items. Joined windows on one
 diagonal make runs. A run counts if its slots are consistent: whatever fills a
 slot of the item is replaced by the same thing wherever the item repeats it.
-A document leaks an item when a consistent run reaches ``min(RUN, item)``
-tokens, or all its runs cover ``COVER`` of the item.
+Runs count together only if they are consistent with each other; of two that
+are not, the shorter is dropped. A document leaks an item when a consistent run
+reaches ``min(RUN, item)`` tokens, or its runs cover ``COVER`` of the item.
 
 The benchmark's windows pass a sieve of fixed size to every task, so only
 windows that can match leave the scan of the documents. The join itself is an
@@ -36,7 +37,11 @@ from . import sieve
 from .runtime import prepare
 from .textarrays import FOLD, chunks, mix64, seeded, span_hashes, utf8
 
-WINDOW, RUN, COVER, LITERALS = 8, 13, 0.6, 4
+WINDOW, RUN, COVER = 8, 13, 0.6
+#: Literals that a template window has at least, and one that is a whole short item.
+LITERALS, SHORT_LITERALS = 1, 4
+#: Shorter items match only documents that consist of them, as written.
+LEAST_TEMPLATE = 5
 NUMBER, UNIT, NAME = 1, 2, 3
 #: Windows looked at together.
 STEP = 1 << 16
@@ -134,22 +139,60 @@ def _hashes(values: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _rolling(values: np.ndarray, k: int) -> np.ndarray:
+    """``_hashes`` of all windows of k neighbours, without copying the windows."""
+    n = len(values) - k + 1
+    acc = np.full(n, k, np.uint64)
+    for j in range(k):
+        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + values[j:n + j])
+    return acc
+
+
+def _in_windows(flags: np.ndarray, k: int) -> np.ndarray:
+    """How many flags each window of k neighbours has."""
+    run = np.concatenate([[0], np.cumsum(flags)])
+    return run[k:] - run[:-k]
+
+
+def _typed(h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return np.where(slot > 0, seeded(slot.astype(np.uint64), 3), h)
+
+
 def _readings(h: np.ndarray, slot: np.ndarray, either: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, hashes, slots) of the template windows of k tokens from the
-    places ``at``, one reading of the words that may be names after the other."""
+    """(places, hashes, slots) of the template windows of k tokens from the places
+    ``at`` that read some of the words that may be names as names, one reading after
+    the other."""
     span = at[:, None] + np.arange(k)
     maybe = either[span]
     rank = np.cumsum(maybe, axis=1) - 1
     choices = maybe.sum(axis=1)
-    for n in range(1 << int(choices.max(initial=0))):
+    for n in range(1, 1 << int(choices.max(initial=0))):
         use = np.flatnonzero((1 << choices) > n)
         s = np.where(maybe[use] & (n >> np.maximum(rank[use], 0) & 1 == 1), np.uint8(NAME), slot[span[use]])
-        literals = (s == 0).sum(axis=1)
-        ok = (literals >= min(LITERALS, k - 1)) & (literals < k)
+        ok = _enough((s == 0).sum(axis=1), k)
         use, s = use[ok], s[ok]
         if len(use):
-            values = np.where(s > 0, seeded(s.astype(np.uint64).reshape(-1), 3).reshape(s.shape), h[span[use]])
-            yield at[use], seeded(_hashes(values), 12), s
+            yield at[use], seeded(_hashes(_typed(h[span[use]].reshape(-1), s.reshape(-1)).reshape(s.shape)), 12), s
+
+
+def _enough(literals: np.ndarray, k: int) -> np.ndarray:
+    """Whether a template window has a slot and enough literals: one among
+    ``WINDOW`` tokens, for the rest of an item must match too; ``SHORT_LITERALS``
+    in an item that is shorter than a window."""
+    return (literals >= (LITERALS if k == WINDOW else min(SHORT_LITERALS, k - 1))) & (literals < k)
+
+
+def _forms(h: np.ndarray, slot: np.ndarray, either: np.ndarray, ok: np.ndarray, k: int) -> Iterator[tuple]:
+    """(form, places, hashes, slots or None) of all windows of k tokens at ``ok``."""
+    yield "verbatim", np.flatnonzero(ok), _rolling(h, k)[ok], None
+    if k < LEAST_TEMPLATE:
+        return
+    typed = ok & _enough(_in_windows(slot == 0, k), k)
+    yield "template", np.flatnonzero(typed), seeded(_rolling(_typed(h, slot), k)[typed], 12), None
+    several = np.flatnonzero(ok & (_in_windows(either, k) > 0))
+    for begin in range(0, len(several), STEP):
+        for at, v, s in _readings(h, slot, either, several[begin:begin + STEP], k):
+            yield "template", at, v, s
 
 
 _SCHEMA = "id long, n int, key long, form string, pos int, tokens array<string>, slots array<tinyint>"
@@ -157,7 +200,8 @@ _SCHEMA = "id long, n int, key long, form string, pos int, tokens array<string>,
 
 def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int], known=None, whole: bool = False) -> Iterator[pa.RecordBatch]:
     """Windows of texts (id, text) as rows; with a sieve, those it lets through.
-    whole: a text shorter than the window is one window of its own length."""
+    whole: a text shorter than the window is one window of its own length, as any
+    text shorter than ``LEAST_TEMPLATE`` tokens is."""
     for batch in batches:
         data, off = utf8(batch.column(1))
         ids = batch.column(0)
@@ -170,19 +214,14 @@ def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int], known=No
                 if len(h) < k:
                     continue
                 ok = row[:len(h) - k + 1] == row[k - 1:]
-                if whole and k != WINDOW:
+                if k < LEAST_TEMPLATE or whole and k != WINDOW:
                     ok &= count[row[:len(ok)]] == k
-                for begin in range(0, len(ok), STEP):
-                    here = begin + np.flatnonzero(ok[begin:begin + STEP])
-                    span = here[:, None] + np.arange(k)
-                    forms = [("verbatim", here, _hashes(h[span]), slot[span])]
-                    forms += [("template", *r) for r in _readings(h, slot, either, here, k)]
-                    for form, at, v, s in forms:
-                        if known is not None and len(at):
-                            use = sieve.passes(known, v.view(np.int64))
-                            at, v, s = at[use], v[use], s[use]
-                        if not len(at):
-                            continue
+                for form, at, v, s in _forms(h, slot, either, ok, k):
+                    if known is not None and len(at):
+                        use = sieve.passes(known, v.view(np.int64))
+                        at, v, s = at[use], v[use], None if s is None else s[use]
+                    if len(at):
+                        s = slot[at[:, None] + np.arange(k)] if s is None else s
                         tokens = [[FOLD[part[start[i + j]:end[i + j]]].tobytes().decode("utf-8", "replace") for j in range(k)] for i in at]
                         yield pa.RecordBatch.from_arrays(
                             [ids.take(pa.array(a + row[at])).cast(pa.int64()), pa.array(count[row[at]], pa.int32()), pa.array(v.view(np.int64)),
@@ -200,8 +239,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     consistent runs, longest_run the longest of them; slots lists
     ``item value -> document value`` of the slots, sorted.
 
-    Null texts count as empty. Items of fewer than 5 tokens are no evidence
-    and match nothing; items of 5 to 7 tokens match as a whole. Rows that
+    Null texts count as empty; items without tokens match nothing. Items of fewer
+    than 5 tokens match documents that consist of them, as written; items of 5 to 7
+    tokens match as a whole, anywhere. Rows that
     repeat an id add up to one document or item; rows with a null id are a
     document (or item) with id null. Other columns are ignored. An empty table
     gives an empty result. Windows of very long texts are all looked at.
@@ -209,13 +249,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     prepare(docs.sparkSession)
     items = benchmark.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lengths = [5, 6, 7, WINDOW]
+    lengths = list(range(1, WINDOW + 1))
 
     def item_windows(batches):
         yield from _window_rows(batches, lengths, whole=True)
 
     wanted = items.mapInArrow(item_windows, _SCHEMA)
-    used = sorted(r.k for r in wanted.select(F.size("tokens").alias("k")).distinct().collect())  # at most four lengths
+    used = sorted(r.k for r in wanted.select(F.size("tokens").alias("k")).distinct().collect())  # at most WINDOW lengths
     known = sieve.build(wanted.select("key").distinct(), "key")
 
     def document_windows(batches):
@@ -238,11 +278,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             .agg((F.count("*") - 1 + F.max("k")).alias("length"), F.min("item_pos").alias("from"),
                  F.array_distinct(F.flatten(F.collect_list("fills"))).alias("fills")))
     steady = runs.where(F.size("fills") == F.size(F.array_distinct(F.transform("fills", lambda x: x["was"]))))
-    whole = (steady.groupBy("id", "item", "item_tokens", "form")
-             .agg(F.max("length").alias("longest_run"),
-                  F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("from"), (F.col("from") + F.col("length") - 1).cast("int")))))).alias("covered"),
-                  F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(
-                      "fills", lambda x: F.concat(x["was"], F.lit(" -> "), x["now"])))))).alias("slots")))
+
+    def added(kept, run):
+        """``kept`` with a run whose slots agree with all before, else ``kept`` alone."""
+        fills = F.array_distinct(F.concat(kept["fills"], run["fills"]))
+        agrees = F.size(fills) == F.size(F.array_distinct(F.transform(fills, lambda x: x["was"])))
+        places = F.array_union(kept["places"], F.sequence(run["from"], (run["from"] + run["length"] - 1).cast("int")))
+        return F.when(agrees, F.struct(fills.alias("fills"), places.alias("places"))).otherwise(kept)
+
+    # The longest run stands; of the others, longer ones first, those that fill the
+    # item's slots alike. Runs of equal length go by their place in the item.
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("rank"), "from", "diagonal", "run", "length", "fills")))
+    none = F.struct(F.array().cast("array<struct<was:string,now:string>>").alias("fills"), F.array().cast("array<int>").alias("places"))
+    whole = (steady.groupBy("id", "item", "item_tokens", "form").agg(F.max("length").alias("longest_run"), ranked.alias("runs"))
+             .withColumn("kept", F.aggregate("runs", none, added))
+             .select("id", "item", "item_tokens", "form", "longest_run", F.size("kept.places").alias("covered"),
+                     F.array_sort(F.transform("kept.fills", lambda x: F.concat(x["was"], F.lit(" -> "), x["now"]))).alias("slots")))
     return (whole.where((F.col("longest_run") >= F.least(F.lit(RUN), "item_tokens"))
                         | (F.col("covered") >= F.greatest(F.lit(WINDOW), F.lit(COVER) * F.col("item_tokens"))))
             .select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "form", F.col("covered").cast("long"),

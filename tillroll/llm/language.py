@@ -18,11 +18,11 @@ of table entries, one lookup a byte for all languages together.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ from .textarrays import FOLD, chunks, utf8
 ORDER, SYMBOLS, UNIT = 3, 64, 256
 #: Texts a language from which statistics are learned, about.
 SAMPLE = 400
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def code_table(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:

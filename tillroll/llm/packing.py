@@ -16,7 +16,7 @@ take no padding.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import prepare, saved
+from .textarrays import chunks, span_hashes, utf8, words
 
 WINDOW, OPEN, LEAST_PIECE, FAN_IN = 2048, 16, 16, 8
-SEEN_WORDS = 150_000
+#: Parts of texts whose ids a worker keeps.
+SEEN_PARTS = 400_000
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,62 +47,82 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Texts of these characters alone are already normal but for their case, and
-#: the tokenizer's own pattern, in the narrower classes, splits them as it does.
-_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+#: Normaliser and splitter of a vocabulary file under which a text's
+#: ids are those of its parts between white space, one after the other: lower case,
+#: white space dropped, and no piece across it.
+_NORMALISER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+             "behavior": "Removed", "invert": True}
 
 
-class _Words(dict):
-    """Token ids of the pieces of texts that this tokenizer never joins with
-    their neighbours; cleared when it is full."""
+def parts_at_spaces(config: dict) -> bool:
+    """Whether the tokenizer of this file is known to work between white space."""
+    splitters = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    return (config.get("normalizer") == _NORMALISER and splitters[0] == _SPLITTER
+            and (config.get("model") or {}).get("end_of_word_suffix") == "</w>")
+
+
+class _Ids:
+    """Token ids of texts. Of a vocabulary that works between white space the ids of
+    the parts are kept, by their hash, and forgotten when they are too many; texts of
+    other vocabularies, and texts with special tokens, are encoded whole."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.encoder = _tokenizer(path)
-        self.last = np.zeros(self.encoder.get_vocab_size(), bool)
-        for token, i in self.encoder.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
-
-    def learn(self, plain: set[str], other: set[str]) -> None:
-        if len(self) + len(plain) + len(other) > SEEN_WORDS:
-            self.clear()
-        new = [p for p in plain if p not in self]
-        # A plain piece's tokens end with the one that ends a word: all pieces in one text.
-        ids = np.array(self.encoder.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(new):
-            raw = ids.tobytes()
-            for p, x, y in zip(new, np.concatenate([[0], ends]).tolist(), ends.tolist(), strict=False):
-                self[p] = raw[4 * x:4 * y]
-        else:
-            other = other | set(new)
-        new = [p for p in other if p not in self]
-        for p, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as file:
+            self.by_parts = parts_at_spaces(json.load(file))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, "<u4")
+        self.start, self.length, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _learn(self, hashes: list[int], parts: list[str]) -> None:
+        for h, e in zip(hashes, self.encoder.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            k, ids = len(self.known), e.ids
+            if k == len(self.start):
+                self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, self.flat])
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.start[k], self.length[k] = self.used, len(ids)
+            self.known[h], self.used = k, self.used + len(ids)
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as ``Tokenizer.encode`` gives them; a null is empty."""
+        data, off = utf8(texts)
+        for a, b in chunks(off):
+            part, o = data[off[a]:off[b]], off[a:b + 1] - off[a]
+            raw = part.tobytes()
+            if not self.by_parts or b"<|" in raw:
+                whole = [raw[x:y].decode() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+                for e in self.encoder.encode_batch_fast(whole, add_special_tokens=False):
+                    yield np.array(e.ids, "<u4")
+                continue
+            row, start, end = words(part, o)
+            h, first, place = np.unique(span_hashes(part, start, end), return_index=True, return_inverse=True)
+            if len(self.known) + len(h) > SEEN_PARTS:
+                self.forget()
+            found = [self.known.get(x) for x in h.tolist()]
+            new = [i for i, k in enumerate(found) if k is None]
+            if new:
+                at = first[new]
+                self._learn(h[new].tolist(), [raw[x:y].decode() for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+                found = [self.known[x] for x in h.tolist()]
+            k = np.array(found, np.int64)[place]
+            size = self.length[k]
+            until = np.concatenate([[0], np.cumsum(size)])
+            ids = self.flat[np.repeat(self.start[k] - until[:-1], size) + np.arange(until[-1])]
+            bounds = until[np.searchsorted(row, np.arange(b - a + 1))]
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield ids[x:y]
 
 
 @lru_cache(maxsize=1)
-def _words(path: str) -> _Words:
-    return _Words(path)
-
-
-def token_ids(texts: list[str | None], words: _Words) -> Iterator[np.ndarray]:
-    """The ids of each text, as ``Tokenizer.encode`` gives them."""
-    for a in range(0, len(texts), 100):
-        split, plain, other = [], set(), set()
-        for t in texts[a:a + 100]:
-            if not t:
-                split.append([])
-            elif _PLAIN.fullmatch(t) and "<|" not in t:
-                split.append(_PIECE.findall(t.lower()))
-                plain.update(split[-1])
-            else:  # any other text is encoded by the parts between spaces and line feeds
-                split.append([p for p in t.replace("\n", " ").split(" ") if p])
-                other.update(split[-1])
-        words.learn(plain, other)
-        for parts in split:
-            yield np.frombuffer(b"".join([words[p] for p in parts]), "<u4")
+def _ids(path: str) -> _Ids:
+    return _Ids(path)
 
 
 class _Packer:
@@ -186,7 +208,7 @@ def pack(docs: DataFrame, vocabulary: str, eos: int, id_col: str = "doc_id", tex
     have a power of two.
 
     ``vocabulary`` is the path of a ``tokenizers`` file which every executor
-    can read and whose pre-tokenizer drops white space. A null text counts as
+    can read. A null text counts as
     empty: one piece, the eos alone. Rows that repeat an id and rows with a
     null id are documents of their own. Very long texts are cut over several
     sequences. An empty table gives an empty result; other columns are ignored.
@@ -219,13 +241,13 @@ def pack(docs: DataFrame, vocabulary: str, eos: int, id_col: str = "doc_id", tex
             yield _rows(left, state["next"], True)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(vocabulary)
+        known = _ids(vocabulary)
 
         def pieces():
             end = np.array([eos], "<u4")
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for doc, own in zip(ids, token_ids(batch.column(1).to_pylist(), words), strict=True):
+                for doc, own in zip(ids, known.of(batch.column(1)), strict=True):
                     yield doc, 0, len(own) + 1, np.concatenate([own, end])
 
         yield from packed(pieces(), 0, False)

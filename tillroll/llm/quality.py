@@ -9,8 +9,8 @@ Features are which words (letters and digits, A-Z folded) a text has, which
 beginnings of 4, 5 and 6 bytes its words have, and the levels of its shape: shares of capitals, of marks, of repeated and of distinct
 words, and its length. They are hashed to ``2 ** BITS`` numbers. A feature
 gets a weight if at least ``LEAST_TEXTS`` training texts have it and its shares
-below and above some grade differ by ``LEAST_Z`` standard errors (by fewer, but
-4 at least, the smaller the training sample is).
+below and above some grade differ by ``LEAST_Z`` standard errors, whatever the
+size of the training sample.
 
 Training uses a bounded sample of the rated texts (``SAMPLE`` rows, picked by a
 hash of the id), in one task. Scoring is a scan.
@@ -27,7 +27,7 @@ from pyspark.sql.functions import arrow_udf
 from .runtime import prepare
 from .textarrays import SPACE, chunks, seeded, span_hashes, utf8, words
 
-BITS, SAMPLE, LEAST_TEXTS, LEAST_Z = 30, 8000, 4, 7.0
+BITS, SAMPLE, LEAST_TEXTS, LEAST_Z = 30, 8000, 4, 5.0
 EPOCHS, RATE, DECAY = 300, 0.05, 1e-5
 #: The probability of the highest grade from which a text is selected.
 LEAST_TAIL = 0.7
@@ -95,12 +95,11 @@ def _separates(column: np.ndarray, grade: np.ndarray, sizes: np.ndarray, size: i
     """Which features' shares below and above some grade differ significantly."""
     has = np.stack([np.bincount(column[grade == j], minlength=size) for j in range(len(sizes))])
     out = np.zeros(size, bool)
-    least = max(4.0, LEAST_Z * min(1.0, sizes.sum() / SAMPLE) ** 0.5)
     for j in range(1, len(sizes)):
         low, high = max(1, sizes[:j].sum()), max(1, sizes[j:].sum())
         x, y = has[:j].sum(axis=0), has[j:].sum(axis=0)
         p = (x + y) / (low + high)
-        out |= np.abs(x / low - y / high) >= least * np.sqrt(p * (1 - p) * (1 / low + 1 / high)) + 1e-12
+        out |= np.abs(x / low - y / high) >= LEAST_Z * np.sqrt(p * (1 - p) * (1 / low + 1 / high)) + 1e-12
     return out
 
 
@@ -156,16 +155,17 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
 
     About ``sample`` rated ids are used, picked by a hash of the id. Several
     ratings of an id count as the lowest. Null ids, grades and texts, and
-    grades outside 0 .. grades - 1, teach nothing. Without any rating the
-    model has no weights and even thresholds. Runs Spark jobs when called.
+    grades outside 0 .. grades - 1, teach nothing. Without any rating there is
+    nothing to reject a text by: the model gives every text the highest grade.
+    Runs Spark jobs when called.
     """
     spark = prepare(docs.sparkSession)
     rated = (ratings.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade"))
              .where(f"id is not null and grade between 0 and {grades - 1}"))
     n = rated.agg(F.count("*")).first()[0]
-    even = {"features": np.zeros(0, np.int32), "weights": np.zeros(0), "thresholds": np.arange(1, grades) - grades / 2, "grades": grades}
+    unrated = {"features": np.zeros(0, np.int32), "weights": np.zeros(0), "thresholds": np.full(grades - 1, -60.0), "grades": grades}
     if not n:
-        return even
+        return unrated
     picked = (rated.where(F.pmod(F.xxhash64("id", F.lit("rated")), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
               .groupBy("id").agg(F.min("grade").alias("grade")))
     chosen = spark.sparkContext.broadcast(dict(picked.collect()))  # about ``sample`` pairs of numbers at most
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
 
     out = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "f binary, w binary, t array<double>").collect()
     if not out:
-        return even
+        return unrated
     return {"features": np.frombuffer(out[0].f, np.int32), "weights": np.frombuffer(out[0].w), "thresholds": np.array(out[0].t), "grades": grades}
 
 

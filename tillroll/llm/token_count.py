@@ -33,6 +33,7 @@ from .runtime import prepare
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 SEEN_PARTS = 300_000
+_NONE = float("-inf")
 
 
 @lru_cache(maxsize=1)
@@ -58,25 +59,31 @@ def _vocabulary(path: str):
 def best_segmentation(part: str, automaton, unknown: float, byte_pieces: bool) -> tuple[float, int]:
     """(score, tokens) of the best segmentation of ``part``."""
     n = len(part)
-    score = [0.0] + [None] * n
-    count = [0] * (n + 1)
-    loose = [False] * (n + 1)  # the last piece is an unknown character
-    ends: list[list] = [[] for _ in range(n + 1)]
+    score, count = [0.0] * (n + 1), [0] * (n + 1)
+    at, best, pieces, single, loose = 1, _NONE, 0, False, False
+
+    def settle(to: int) -> None:
+        """Fixes the places before ``to``, of which no more matches come."""
+        nonlocal at, best, pieces, single, loose
+        while at < to:
+            from_unknown = False
+            if not single:
+                total = score[at - 1] + unknown
+                if total > best:
+                    size = len(part[at - 1].encode("utf-8", "surrogatepass")) if byte_pieces else int(not loose)
+                    best, pieces, from_unknown = total, count[at - 1] + size, True
+            score[at], count[at], loose = best, pieces, from_unknown  # loose: the last piece is an unknown character
+            at, best, pieces, single = at + 1, _NONE, 0, False
+
+    # Matches come by their end, of one end the longest (the earliest start) first.
     for end, (length, value) in automaton.iter(part):
-        ends[end + 1].append((length, value))
-    for e in range(1, n + 1):
-        best, pieces, from_unknown, single = None, 0, False, False
-        for length, value in sorted(ends[e], reverse=True):  # earlier starts first
-            single |= length == 1
-            total = score[e - length] + value
-            if best is None or total > best:
-                best, pieces, from_unknown = total, count[e - length] + 1, False
-        if not single:
-            total = score[e - 1] + unknown
-            if best is None or total > best:
-                size = len(part[e - 1].encode("utf-8", "surrogatepass")) if byte_pieces else int(not loose[e - 1])
-                best, pieces, from_unknown = total, count[e - 1] + size, True
-        score[e], count[e], loose[e] = best, pieces, from_unknown
+        if end >= at:
+            settle(end + 1)
+        total = score[at - length] + value
+        if total > best:
+            best, pieces = total, count[at - length] + 1
+        single |= length == 1
+    settle(n + 1)
     return score[n], count[n]
 
 
