@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import sieve
-from .runtime import prepare
+from .runtime import lean, prepare
 from .textarrays import FOLD, chunks, mix64, seeded, span_hashes, utf8
 
 WINDOW, RUN, COVER = 8, 13, 0.6
@@ -202,7 +202,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int], known=No
     """Windows of texts (id, text) as rows; with a sieve, those it lets through.
     whole: a text shorter than the window is one window of its own length, as any
     text shorter than ``LEAST_TEMPLATE`` tokens is."""
-    for batch in batches:
+    for batch in lean(batches):
         data, off = utf8(batch.column(1))
         ids = batch.column(0)
         for a, b in chunks(off):

@@ -35,7 +35,7 @@ from pyspark.sql.functions import arrow_udf
 
 from . import sieve
 from .components import connected_components
-from .runtime import prepare, saved
+from .runtime import lean, prepare, saved
 from .textarrays import seeded, text_sets
 
 COUNTER_BITS, BLOCK = 22, 4096
@@ -53,7 +53,7 @@ def token_classes(texts: DataFrame, k: int) -> bytes:
 
     def count(batches):
         table = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for batch in batches:
+        for batch in lean(batches):
             for _, _, tokens, _ in text_sets(batch.column(0), k):
                 slot, n = np.unique(_slots(tokens), return_counts=True)
                 table[slot] += n.astype(np.uint32)
@@ -142,7 +142,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sign(batches):
         levels = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in lean(batches):
             ids = batch.column(0)
             for a, b, tokens, bounds in text_sets(batch.column(1), k):
                 digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(tokens[x:y].tobytes()), np.int64)
@@ -164,7 +164,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def measure(batches):
         levels = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in lean(batches):
             for a, b, tokens, bounds in text_sets(batch.column(1), k):
                 packed = [tokens[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 more = [_lists(*_prefix(seeded(tokens, 5).astype(np.int32), _keys(tokens, levels, o), bounds, percent)[:2], pa.int32())

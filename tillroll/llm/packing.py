@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, saved
+from .runtime import lean, prepare, saved
 from .textarrays import chunks, span_hashes, utf8, words
 
 WINDOW, OPEN, LEAST_PIECE, FAN_IN = 2048, 16, 16, 8
@@ -245,7 +245,7 @@ def pack(docs: DataFrame, vocabulary: str, eos: int, id_col: str = "doc_id", tex
 
         def pieces():
             end = np.array([eos], "<u4")
-            for batch in batches:
+            for batch in lean(batches):
                 ids = batch.column(0).to_pylist()
                 for doc, own in zip(ids, known.of(batch.column(1)), strict=True):
                     yield doc, 0, len(own) + 1, np.concatenate([own, end])

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import sieve
-from .runtime import prepare, saved
+from .runtime import lean, prepare, saved
 from .textarrays import chunks, mix64, seeded, shingles, span_hashes, utf8, words
 
 SHINGLE, WIDTH, HASHES, AGREE = 5, 40, 8, 3
@@ -255,7 +255,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
          .where("id is not null and text is not null"))
 
     def keys(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for _, key, ids, *_ in _windows(batch, width):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], ["key", "id"])
 
@@ -264,7 +264,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     known = sieve.build(shared, "key")
 
     def joined(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for f, key, ids, left, _, right in _windows(batch, width):
                 ok = sieve.passes(known, key)
                 yield pa.RecordBatch.from_arrays(
@@ -316,7 +316,7 @@ def _exact_repeats(d: DataFrame, met: DataFrame, known: DataFrame, least: int) -
                  .select("id", "text_hash", free("windows", "spans").alias("free")).where("size(free) > 0"))
 
     def sought(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for i, text, digest, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data, off = utf8(pa.array([text]))
                 row, start, end = words(data, off)
@@ -338,7 +338,7 @@ def _exact_repeats(d: DataFrame, met: DataFrame, known: DataFrame, least: int) -
     asked = sieve.build(wanted, "key")
 
     def owners(batches):
-        for batch in batches:
+        for batch in lean(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, h, row in _word_hashes(batch.column(1)):
                 s, srow, _ = shingles(h, row, b - a, SHINGLE)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.session import ensure_checkpoint_dir
@@ -32,6 +35,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def rest() -> None:
+    """Gives back what the allocators hold of arrays that are gone. Python workers
+    live on between stages, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, with a ``rest`` after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        rest()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder."""
     prepare(df.sparkSession)
