@@ -349,31 +349,76 @@ def customer_weekly_lifetime(customers: DataFrame, conversions: DataFrame, order
     return lifetime_rows(prepare(customers, conversions, orders, dates, partitions=partitions), as_of, variant)
 
 
-def lifetime_rows(prepared: Prepared, as_of=None, variant: str = "capped") -> DataFrame:
-    """The weekly lifetime table from ``prepare``d frames."""
+def _intervals(candidates: DataFrame) -> DataFrame:
+    """A row for each conversion with weeks. A conversion matching k orders appears
+    k times in the original (the join comes before the running sums), so its
+    amounts count ``_k`` times."""
+    return (candidates.where("_has_weeks").groupBy("_ck", "conversion_number")
+            .agg(F.first("customer_id").alias("customer_id"), F.first("conversion_id").alias("conversion_id"),
+                 F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.count("*").cast("decimal(10,0)").alias("_k"),
+                 F.first(F.col("next_conversion_week").isNotNull()).alias("_followed")))
+
+
+def _group_totals(intervals: DataFrame, weekly: DataFrame) -> DataFrame:
+    """(_ck, conversion_id, _weeks, _paid): weeks and revenue of each (customer,
+    conversion), from sums per interval: one join by customer, no spine."""
+    per_interval = (intervals.join(weekly, (F.col("_ck") == F.col("_wk")) & F.col("_wo").between(F.col("_lo"), F.col("_hi")), "left")
+                    .groupBy("_ck", "conversion_number").agg(
+                        F.first("conversion_id").alias("conversion_id"), F.first(F.col("_hi") - F.col("_lo") + 1).alias("_weeks"),
+                        F.sum(F.col("total_paid_in_week") * F.col("_k")).alias("_paid")))
+    return per_interval.groupBy("_ck", "conversion_id").agg(F.sum("_weeks").alias("_weeks"), F.sum("_paid").alias("_paid"))
+
+
+def _weekly_keyed(prepared: Prepared) -> DataFrame:
+    return prepared.weekly.select(F.col("_ck").alias("_wk"), F.col("order_ord").alias("_wo"), *AMOUNTS)
+
+
+def group_totals(prepared: Prepared, as_of=None, variant: str = "capped") -> DataFrame:
+    """(_ck, conversion_id, _weeks, _paid) of every (customer, conversion) with weeks."""
+    candidates = _spans(prepared.dated, _ends(prepared.weeks, as_of), variant)
+    return _group_totals(_intervals(candidates), _weekly_keyed(prepared))
+
+
+def lifetime_rows(prepared: Prepared, as_of=None, variant: str = "capped", since: str | None = None,
+                  carried: DataFrame | None = None) -> DataFrame:
+    """The weekly lifetime table from ``prepare``d frames.
+
+    since: an earlier cap; only the weeks that the table does not have at that cap,
+    and the rows without a week. ``carried`` (``group_totals`` at that cap) is what
+    counters and sums go on from, which holds for customers whose intervals do not
+    overlap: all their new weeks come after the old ones.
+    """
     capped = variant == "capped"
     zero = F.lit(0).cast("decimal(18,2)")
     ends = _ends(prepared.weeks, as_of)
     candidates = _spans(prepared.dated, ends, variant)
-    weekly = prepared.weekly.select(F.col("_ck").alias("_wk"), F.col("order_ord").alias("_wo"), *AMOUNTS)
-
-    # A conversion matching k orders appears k times in the original (the join
-    # comes before the running sums), so its amounts count k times.
-    intervals = (candidates.where("_has_weeks").groupBy("_ck", "conversion_number")
-                 .agg(F.first("customer_id").alias("customer_id"), F.first("conversion_id").alias("conversion_id"),
-                      F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.count("*").cast("decimal(10,0)").alias("_k")))
-    spine = intervals.select("_ck", "customer_id", "conversion_id", "conversion_number", "_k",
-                             F.explode(F.sequence("_lo", "_hi")).alias("order_ord"))
+    weekly = _weekly_keyed(prepared)
+    intervals = _intervals(candidates)
+    nothing = F.lit(0).cast("decimal(38,2)")
+    if since is None:
+        shown = intervals.select("*", F.lit(0).cast("long").alias("_c_weeks"), nothing.alias("_c_paid"), nothing.alias("_c_total"))
+    else:
+        groups = carried.select(F.col("_ck").alias("_ek"), F.col("conversion_id").alias("_ei"),
+                                F.col("_weeks").alias("_c_weeks"), F.coalesce("_paid", nothing).alias("_c_paid"))
+        totals = carried.groupBy(F.col("_ck").alias("_fk")).agg(F.coalesce(F.sum("_paid"), nothing).alias("_c_total"))
+        # A conversion with a successor had all its weeks; the last one had those up to the cap.
+        new = F.greatest(F.col("_lo"), F.lit(_ends(prepared.weeks, since)[0] + 1))
+        shown = (intervals.where("NOT _followed").withColumn("_lo", new).where("_lo <= _hi")
+                 .join(groups, (F.col("_ck") == F.col("_ek")) & F.col("conversion_id").eqNullSafe(F.col("_ei")), "left")
+                 .join(totals, F.col("_ck") == F.col("_fk"), "left")
+                 .fillna({"_c_weeks": 0}).withColumns({c: F.coalesce(c, nothing) for c in ("_c_paid", "_c_total")}))
+    spine = shown.select("_ck", "customer_id", "conversion_id", "conversion_number", "_k", "_c_weeks", "_c_paid", "_c_total",
+                         F.explode(F.sequence("_lo", "_hi")).alias("order_ord"))
     joined = spine.join(weekly, (F.col("_ck") == F.col("_wk")) & (F.col("order_ord") == F.col("_wo")), "left")
     paid = F.coalesce("total_paid_in_week", zero) if capped else F.col("total_paid_in_week")
     upto = (Window.unboundedPreceding, Window.currentRow)
     by_customer = Window.partitionBy("_ck").orderBy("order_ord").rangeBetween(*upto)
     by_conversion = Window.partitionBy("_ck", "conversion_id")
     windowed = (joined.withColumn("_paid", paid * F.col("_k"))
-                .withColumn("lifetime_cumulative_revenue", F.sum("_paid").over(by_customer))
+                .withColumn("lifetime_cumulative_revenue", F.col("_c_total") + F.sum("_paid").over(by_customer))
                 # Equal ranks are the copies of one spine row by several weekly rows.
-                .withColumn("week_counter", F.dense_rank().over(by_conversion.orderBy("order_ord", "conversion_number")))
-                .withColumn("conversion_cumulative_revenue", F.sum("_paid").over(by_conversion.orderBy("order_ord").rangeBetween(*upto))))
+                .withColumn("week_counter", F.col("_c_weeks") + F.dense_rank().over(by_conversion.orderBy("order_ord", "conversion_number")))
+                .withColumn("conversion_cumulative_revenue", F.col("_c_paid") + F.sum("_paid").over(by_conversion.orderBy("order_ord").rangeBetween(*upto))))
     attributes = candidates.where("_has_weeks").select(
         F.col("_ck").alias("_ak"), F.col("conversion_number").alias("_an"), *ATTRIBUTES)
     labels = prepared.weeks.select(F.col("week_ord").alias("_lo"), F.col("year_week").alias("order_week"))
@@ -382,12 +427,8 @@ def lifetime_rows(prepared: Prepared, as_of=None, variant: str = "capped") -> Da
 
     # Rows without a week. NULL weeks sort last, so their frames are their whole
     # customer and their whole (customer, conversion).
-    sums = (intervals.join(weekly, (F.col("_ck") == F.col("_wk")) & F.col("_wo").between(F.col("_lo"), F.col("_hi")), "left")
-            .groupBy("_ck", "conversion_number").agg(
-                F.first("conversion_id").alias("conversion_id"), F.first(F.col("_hi") - F.col("_lo") + 1).alias("_weeks"),
-                F.sum(F.col("total_paid_in_week") * F.col("_k")).alias("_paid")))
-    groups = sums.groupBy(F.col("_ck").alias("_gk"), F.col("conversion_id").alias("_gi")).agg(
-        F.sum("_weeks").alias("_weeks"), F.sum("_paid").alias("_group_paid"))
+    sums = _group_totals(intervals, weekly)
+    groups = sums.select(F.col("_ck").alias("_gk"), F.col("conversion_id").alias("_gi"), "_weeks", F.col("_paid").alias("_group_paid"))
     totals = sums.groupBy(F.col("_ck").alias("_tk")).agg(F.sum("_paid").alias("_total_paid"))
     rest = candidates.unionByName(_spans(prepared.undated, ends, variant)).where("NOT _has_weeks AND _keep")
     running = lambda c: (F.coalesce(c, zero) if capped else F.col(c)).cast("decimal(38,2)")

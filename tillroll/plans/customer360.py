@@ -34,7 +34,8 @@ from tillroll.operators.lifetime import (
     prepare,
     reconcile,
 )
-from tillroll.sinks import refresh_table
+from tillroll.operators.advance import STATE_DDL, advance, state_of
+from tillroll.sinks import current_version, refresh_table
 from tillroll.sources.calendar import week_tables
 
 
@@ -93,6 +94,36 @@ def gate_report(prepared: Prepared, orders: DataFrame, order_products: DataFrame
     return check_report(checks | order_checks(orders, order_products), sample)
 
 
+def advance_customer360(spark: SparkSession, customers: DataFrame, conversions: DataFrame, orders: DataFrame,
+                        dates: DataFrame, table: str, as_of: str) -> DataFrame:
+    """The capped table with its cap moved to ``as_of``, and the totals per customer.
+
+    Needs the state that the last call kept in ``{table}__state``; without one, or
+    if it belongs to another version of the table (a refresh in between, a call that
+    stopped half-way), the table is built whole.
+    """
+    schema = table.rpartition(".")[0]
+    if schema:
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    states = f"{table}__state"
+    work = f"{table.removeprefix('spark_catalog.')}__work_{uuid.uuid4().hex[:12]}"
+    try:
+        prepared = prepare(customers, conversions, orders, dates, store=work)
+        now = current_version(spark, table)
+        kept = spark.table(states) if now and current_version(spark, states) else None
+        mark = kept.select("as_of", "version").first() if kept is not None else None
+        if mark and mark.version == now and mark.as_of <= as_of:
+            rows = advance(spark.table(table), kept, prepared, mark.as_of, as_of)
+        else:
+            rows = lifetime_rows(prepared, as_of)
+        refresh_table(spark, rows, table, SINK_DDL, SINK_COLUMNS, mode="truncate")
+        refresh_table(spark, state_of(prepared, as_of, current_version(spark, table)), states, STATE_DDL)
+    finally:
+        for part in ("dated", "weekly"):
+            spark.sql(f"DROP TABLE IF EXISTS {work}_{part}")
+    return reconcile(spark.table(table))
+
+
 def refresh_customer360(spark: SparkSession, customers: DataFrame, conversions: DataFrame,
                         orders: DataFrame, dates: DataFrame,
                         table: str = "customer360.full_360_view", variant: str = "capped",
