@@ -179,22 +179,30 @@ def top_items_price_breakdown(sales: DataFrame, n: int = 20, exclude=(".",)) ->
     joined back on the aggregate, not on the raw lines."""
     by_price = sales.groupBy("article", "unit_price").agg(
         F.sum("quantity").alias("_qty"), F.sum(_revenue()).alias("price_revenue"))
-    return breakdown_from_by_price(by_price, n, exclude)
+    ranked = rank_items(by_price, n, exclude)
+    return _by_revenue(by_price.join(F.broadcast(ranked), by_price.article == ranked.item_name))  # n rows
 
 
-def breakdown_from_by_price(by_price: DataFrame, n: int = 20, exclude=(".",)) -> DataFrame:
-    """``top_items_price_breakdown`` on (article, unit_price, _qty,
-    price_revenue) rows."""
-    per_item = _kept(by_price, exclude).groupBy(F.col("article").alias("item_name")).agg(
+def rank_items(sums: DataFrame, n: int = 20, exclude=(".",)) -> DataFrame:
+    """(item_name, ranking) of the top ``n`` items from partial sums: article,
+    _qty, price_revenue."""
+    per_item = _kept(sums, exclude).groupBy(F.col("article").alias("item_name")).agg(
         F.sum("_qty").alias("total_quantity_sold"),
         F.sum("price_revenue").alias("total_revenue"),
     )
-    ranked = _rank_items(per_item, n).select("item_name", "ranking")
-    j = by_price.join(F.broadcast(ranked), by_price.article == ranked.item_name)  # n rows
-    return (
-        j.select("article", "ranking", "unit_price", "price_revenue")
-        .orderBy(pg_desc("price_revenue"), pg_asc("article"), pg_asc("unit_price"))
-    )
+    return _rank_items(per_item, n).select("item_name", "ranking")
+
+
+def price_breakdown(sales: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Revenue per unit price of the items of ``ranked`` (item_name, ranking),
+    whose lines alone are grouped."""
+    theirs = sales.join(F.broadcast(ranked), sales.article == ranked.item_name)  # n rows
+    return _by_revenue(theirs.groupBy("article", "ranking", "unit_price").agg(F.sum(_revenue()).alias("price_revenue")))
+
+
+def _by_revenue(rows: DataFrame) -> DataFrame:
+    return rows.select("article", "ranking", "unit_price", "price_revenue").orderBy(
+        pg_desc("price_revenue"), pg_asc("article"), pg_asc("unit_price"))
 
 
 def _as_date(d):

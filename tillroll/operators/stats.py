@@ -133,7 +133,9 @@ def summary_stats(df: DataFrame, col: str, name: str | None = None) -> DataFrame
 def _bucket_expr(dtype: T.DataType, bins: int):
     """width_bucket(_x, _lo, _hi, bins) for _lo <= _x <= _hi; a constant
     column (lo = hi, an error in PostgreSQL) goes to bucket 1."""
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)) and bins < 1 << 30:
+        inner = f"(CAST(_x AS BIGINT) - _lo) * {bins} div (CAST(_hi AS BIGINT) - _lo) + 1"  # fits 63 bits
+    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
         # (x - lo) * bins div (hi - lo): exact integer quotient, no rounding, in
         # decimals so that neither the difference nor the product overflows.
         scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
@@ -149,15 +151,20 @@ def _bucket_expr(dtype: T.DataType, bins: int):
 def equi_width_histogram(df: DataFrame, col: str, bins: int = 20,
                          count_name: str = "row_count") -> DataFrame:
     """Equal-width histogram over [min, max] of the non-NULL values: bucket
-    (1..bins, the max in bins+1), bucket min, bucket max, rows."""
-    vals = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_x"))
-    bounds = vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    (1..bins, the max in bins+1), bucket min, bucket max, rows.
+
+    The input is read once: both the bounds and the buckets come from the number
+    of rows of each distinct value, whose exchange Spark makes once and reuses."""
+    vals = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_x"))
+            .agg(F.count(F.lit(1)).alias("_rows")))
+    # The sum makes the two uses of ``vals`` one plan, which they must be to be shared.
+    bounds = vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_rows").alias("_all")).where("_all > 0")
     j = vals.crossJoin(F.broadcast(bounds))  # one-row side
     bucket = _bucket_expr(df.schema[col].dataType, bins)
     return (
         j.groupBy(bucket.alias("bucket"))
         .agg(F.min("_x").alias("bucket_min"), F.max("_x").alias("bucket_max"),
-             F.count(F.lit(1)).alias(count_name))
+             F.sum("_rows").alias(count_name))
         .orderBy(pg_asc("bucket"))
     )
 

@@ -2,10 +2,12 @@
 are materialised once (the scripts' ``CREATE TEMP TABLE ... AS``), then
 joined on (item, price).
 
-The sales fact is aggregated once per (item, month, price); that aggregate
-and both tables are reliable checkpoints in ``spark.checkpoint.dir``, so the
-later steps read them without rescanning the sales fact, and a lost
-executor does not force the lineage to be replayed.
+The sales fact is read twice, each time into a small aggregate: first the highest
+price, units and revenue per item and month (the price table, and which items are
+the top ones), then units and revenue per price of the top items only. A cube over
+(item, month, price) that holds both would be nearly as large as the fact. The
+aggregate and both tables are reliable checkpoints in ``spark.checkpoint.dir``: a
+lost executor does not force the lineage to be replayed.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.pricing import changes_from_monthly, price_effective_months
-from tillroll.operators.ranking import breakdown_from_by_price
+from tillroll.operators.ranking import price_breakdown, rank_items
 from tillroll.sinks import snapshot
 
 
@@ -23,19 +25,12 @@ def price_history(sales: DataFrame, n: int = 20, ts_col: str = "sale_datetime",
                   top_view: str = "top20_table") -> DataFrame:
     """Top-``n`` items broken down by price, each price with the month(s)
     it began. Registers the two intermediate tables as temp views.
-
-    The sales fact is read once: one aggregate per (item, month, price)
-    holds everything both tables need -- the month's highest price per item,
-    and units and revenue per item and price (sums of exact partial sums).
     """
-    cube = snapshot(
-        sales.groupBy("article", F.trunc(F.col(ts_col), "month").alias("month_start"), "unit_price")
-        .agg(F.sum("quantity").alias("_qty"),
+    monthly = snapshot(
+        sales.groupBy("article", F.trunc(F.col(ts_col), "month").alias("month_start"))
+        .agg(F.max("unit_price").alias("month_price"), F.sum("quantity").alias("_qty"),
              F.sum(F.col("quantity") * F.col("unit_price")).alias("price_revenue")),
-        "_price_month_cube")
-    monthly = cube.groupBy("article", "month_start").agg(F.max("unit_price").alias("month_price"))
+        "_item_months")
     changes = snapshot(changes_from_monthly(monthly), price_view)
-    by_price = cube.groupBy("article", "unit_price").agg(
-        F.sum("_qty").alias("_qty"), F.sum("price_revenue").alias("price_revenue"))
-    top = snapshot(breakdown_from_by_price(by_price, n, exclude), top_view)
+    top = snapshot(price_breakdown(sales, rank_items(monthly, n, exclude)), top_view)
     return price_effective_months(top, changes)
