@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import lean, prepare, saved
-from .textarrays import chunks, span_hashes, utf8, words
+from .textarrays import SPACE, chunks, span_hashes, utf8, words
 
 WINDOW, OPEN, LEAST_PIECE, FAN_IN = 2048, 16, 16, 8
 #: Parts of texts whose ids a worker keeps.
@@ -63,6 +63,38 @@ def parts_at_spaces(config: dict) -> bool:
             and (config.get("model") or {}).get("end_of_word_suffix") == "</w>")
 
 
+#: Classes of bytes: white space, letters (with all of non-ASCII), digits, others.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_CLASS[SPACE] = 0
+
+
+def pieces(data: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, plain) of the pieces into which the splitter above divides
+    the words of a chunk: runs of letters, single digits, runs of other marks. Words
+    with an apostrophe, or with characters beyond Latin-1's letters, stay whole and
+    are not plain."""
+    after, before = np.zeros_like(data), np.zeros_like(data)
+    after[:-1], before[1:] = data[1:], data[:-1]
+    latin = ((data == 0xC3) & (after != 0x97) & (after != 0xB7)) | ((before == 0xC3) & (data != 0x97) & (data != 0xB7))
+    strange = np.concatenate([[0], np.cumsum((data == 39) | ((data >= 128) & ~latin))])
+    plain = strange[end] == strange[start]
+    kind = _CLASS[data]
+    inner = np.zeros(len(data), bool)
+    inner[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    size = end - start
+    inside = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))  # the words' bytes
+    first = inner[inside] & np.repeat(plain, size)
+    first[np.cumsum(size) - size] = True
+    at = np.flatnonzero(first)
+    begins = inside[at]
+    ends = inside[np.concatenate([at[1:], [len(inside)]]) - 1] + 1 if len(at) else begins
+    word = np.repeat(np.arange(len(start)), size)[at]
+    return row[word], begins, ends, plain[word]
+
+
 class _Ids:
     """Token ids of texts. Of a vocabulary that works between white space the ids of
     the parts are kept, by their hash, and forgotten when they are too many; texts of
@@ -72,6 +104,9 @@ class _Ids:
         self.encoder = _tokenizer(path)
         with open(path, encoding="utf-8") as file:
             self.by_parts = parts_at_spaces(json.load(file))
+        self.last = np.zeros(self.encoder.get_vocab_size(), bool)  # tokens that end a word
+        for token, i in self.encoder.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
@@ -79,16 +114,26 @@ class _Ids:
         self.flat = np.zeros(1 << 16, "<u4")
         self.start, self.length, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _learn(self, hashes: list[int], parts: list[str]) -> None:
-        for h, e in zip(hashes, self.encoder.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            k, ids = len(self.known), e.ids
-            if k == len(self.start):
-                self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.known[h], self.used = k, self.used + len(ids)
+    def _learn(self, hashes: list[int], parts: list[str], plain: bool) -> None:
+        if not parts:
+            return
+        ends = None
+        if plain:  # one word each: all in one text, divided behind the tokens that end a word
+            ids = np.array(self.encoder.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+        if ends is None or len(ends) != len(parts):
+            each = [e.ids for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
+            ids, ends = np.array([i for x in each for i in x], "<u4"), np.cumsum([len(x) for x in each])
+        k, n = len(self.known), len(parts)
+        while k + n > len(self.start):
+            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        begins = np.concatenate([[0], ends[:-1]])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.start[k:k + n], self.length[k:k + n] = self.used + begins, ends - begins
+        self.known.update(zip(hashes, range(k, k + n), strict=True))
+        self.used += len(ids)
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, as ``Tokenizer.encode`` gives them; a null is empty."""
@@ -101,15 +146,17 @@ class _Ids:
                 for e in self.encoder.encode_batch_fast(whole, add_special_tokens=False):
                     yield np.array(e.ids, "<u4")
                 continue
-            row, start, end = words(part, o)
+            row, start, end, plain = pieces(part, *words(part, o))
             h, first, place = np.unique(span_hashes(part, start, end), return_index=True, return_inverse=True)
             if len(self.known) + len(h) > SEEN_PARTS:
                 self.forget()
             found = [self.known.get(x) for x in h.tolist()]
-            new = [i for i, k in enumerate(found) if k is None]
-            if new:
-                at = first[new]
-                self._learn(h[new].tolist(), [raw[x:y].decode() for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            new = np.array([i for i, k in enumerate(found) if k is None], np.int64)
+            if len(new):
+                for kind in (True, False):
+                    own = new[plain[first[new]] == kind]
+                    at = first[own]
+                    self._learn(h[own].tolist(), [raw[x:y].decode() for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)], kind)
                 found = [self.known[x] for x in h.tolist()]
             k = np.array(found, np.int64)[place]
             size = self.length[k]
