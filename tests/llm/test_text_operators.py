@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import sys
 import zlib
 
@@ -325,6 +326,54 @@ def test_license_near_and_far(spark):
     assert got[2] == ("Apache-2.0", 1.0) and got[3] == (None, None) and got[4] == (None, None)
 
 
+def license_by_definition(text, threshold=0.8):
+    """Every unit and every window against every template, without bounds."""
+    def split_words(t):
+        return license_scan.template_words(t)
+
+    def grams(words):
+        return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+    text = text or ""
+    whole = split_words(text)
+    units = [grams(split_words(u)) for u in [*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text]]
+    hits = []
+    for name, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            own, k = grams(split_words(t)), len(split_words(t))
+            pieces = units + [grams(whole[i:i + k]) for i in range(len(whole) - 1) if " ".join(whole[i:i + 2]) in own]
+            best = max((2 * len(own & p) / (len(own) + len(p)) for p in pieces), default=0)
+            if best >= threshold:
+                hits.append((-best, name))
+    best = min(hits, default=(None, None))
+    return best[1], None if best[0] is None else round(-best[0], 6), len(hits)
+
+
+def test_licenses_against_definition(spark):
+    rng = random.Random(11)
+    listed = [(name, t) for name, texts in license_scan.TEMPLATES.items() for t in texts]
+    rows, names = list(EDGE), {}
+    for i, (name, t) in enumerate(listed):
+        words = t.split()
+        changed = [w if rng.random() > 0.04 else "other" for w in words]
+        broken = "".join(w + rng.choice([" ", " ", "\n"]) for w in words)
+        rows += [(100 + 4 * i, t), (101 + 4 * i, f"{prose(i, 40)} {t} {prose(i + 500, 40)}"),
+                 (102 + 4 * i, f"{prose(i, 9)}\n\n{' '.join(changed)}\n{prose(i, 7)}"), (103 + 4 * i, broken)]
+        names |= {100 + 4 * i: name, 101 + 4 * i: name, 103 + 4 * i: name}
+    rows += [(1000, " ".join([listed[0][1]] * 30)), (1001, "of the " * 5000)]
+    found = sorted((r.doc_id or -1, r.license, r.dice, r.n_matches) for r in license_scan.scan_licenses(table(spark, rows)).collect())
+    assert found == sorted((i or -1, *license_by_definition(t)) for i, t in rows)
+    by_id = {r[0]: r for r in found}
+    assert {i: by_id[i][1] for i in names} == names
+
+
+def test_gnu_versions_and_long_lines(spark):
+    v2 = license_scan.TEMPLATES["GPL-2.0"][2]
+    rows = [(1, v2), (2, f"/* foo.c: {v2} */ int main"), (3, f"{prose(1, 8)} released under the MIT license. {prose(2, 8)}")]
+    got = {r.doc_id: r.license for r in license_scan.scan_licenses(table(spark, rows)).collect()}
+    assert got == {1: "GPL-2.0", 2: "GPL-2.0", 3: "MIT"}
+
+
 def test_count_only_viterbi_against_all_segmentations():
     automaton, unknown, byte_pieces = token_count._vocabulary(vocabulary("piece_bpe_32k.model"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import TEMPLATES, bounds, template_bigrams
+from .license_scan import TEMPLATES, bounds, template_bigrams, template_words
 from .url_reputation import LEAST_STRENGTH, MOST_STRENGTH, OVERALL_BAD, OVERALL_GOOD, TWO_LABEL_SUFFIXES
 
 _FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -64,27 +64,45 @@ FROM judged j JOIN host_rates r ON j.host = r.host
 
 
 def license_sql(threshold: float = 0.8) -> str:
-    listed, sizes = [], []
+    listed = []
     for name, texts in sorted(TEMPLATES.items()):
-        for b in map(template_bigrams, texts):
+        for t in texts:
+            b = template_bigrams(t)
             low, high = bounds(len(b), threshold)
-            sizes.append((low, high))
-            listed.append(f"('{name}', [{', '.join(repr(x) for x in b)}], {low}, {high})")
+            listed.append(f"({len(listed)}, '{name}', [{', '.join(repr(x) for x in b)}], {len(template_words(t)) - 1}, {low}, {high})")
     return f"""
-WITH templates(name, grams, low, high) AS (VALUES {', '.join(listed)}),
+WITH templates(no, name, grams, span, low, high) AS (VALUES {', '.join(listed)}),
+texts AS (SELECT row_number() OVER () AS row_no, coalesce(text, '') AS t FROM documents),
 units AS (
-  SELECT DISTINCT row_no, doc_id, trim(regexp_replace(translate(u, {_FOLD}), '[^a-z0-9]+', ' ', 'g')) AS unit
-  FROM (SELECT row_no, doc_id, unnest(string_split(t, chr(10)) || string_split_regex(t, '\\n[ \\t\\r]*\\n') || [t]) AS u
-        FROM (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents))),
+  SELECT DISTINCT row_no, trim(regexp_replace(translate(u, {_FOLD}), '[^a-z0-9]+', ' ', 'g')) AS unit
+  FROM (SELECT row_no, unnest(string_split(t, chr(10)) || string_split_regex(t, '\\n[ \\t\\r]*\\n') || [t]) AS u FROM texts)),
 sets AS (
-  SELECT row_no, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
-  FROM (SELECT row_no, doc_id, string_split(unit, ' ') AS w FROM units) WHERE len(w) > {min(a for a, _ in sizes)}),
-hits AS (
-  SELECT row_no, name, 2.0 * len(list_intersect(s.grams, t.grams))::DOUBLE / (len(s.grams) + len(t.grams)) AS dice
+  SELECT row_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+  FROM (SELECT row_no, string_split(unit, ' ') AS w FROM units)),
+unit_hits AS (
+  SELECT row_no, no, 2.0 * len(list_intersect(s.grams, t.grams))::DOUBLE / (len(s.grams) + len(t.grams)) AS dice
   FROM sets s JOIN templates t ON len(s.grams) BETWEEN t.low AND t.high),
+pairs AS (
+  SELECT row_no, i, w[i] || ' ' || w[i + 1] AS gram
+  FROM (SELECT row_no, w, unnest(range(1, len(w))) AS i
+        FROM (SELECT row_no, string_split(trim(regexp_replace(translate(t, {_FOLD}), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM texts))),
+places AS (
+  SELECT row_no, i, gram, no, span, low, size FROM pairs
+  JOIN (SELECT no, span, low, len(grams) AS size, unnest(grams) AS gram FROM templates) USING (gram)),
+starts AS (
+  SELECT a.row_no, a.no, a.i, a.span, a.size, count(DISTINCT b.gram) AS common
+  FROM places a JOIN places b ON a.row_no = b.row_no AND a.no = b.no AND b.i >= a.i AND b.i < a.i + a.span
+  GROUP BY ALL HAVING count(DISTINCT b.gram) >= any_value(a.low)),
+window_hits AS (
+  SELECT s.row_no, s.no, 2.0 * s.common::DOUBLE / (count(DISTINCT p.gram) + s.size) AS dice
+  FROM starts s JOIN pairs p ON p.row_no = s.row_no AND p.i >= s.i AND p.i < s.i + s.span
+  GROUP BY s.row_no, s.no, s.i, s.common, s.size),
+hits AS (
+  SELECT row_no, no, any_value(name) AS name, max(dice) AS dice
+  FROM (SELECT * FROM unit_hits UNION ALL SELECT * FROM window_hits) JOIN templates USING (no) WHERE dice >= {threshold} GROUP BY row_no, no),
 best AS (
   SELECT row_no, count(*) AS n, max(dice) AS dice, min(name) FILTER (dice = top) AS name
-  FROM (SELECT *, max(dice) OVER (PARTITION BY row_no) AS top FROM hits WHERE dice >= {threshold}) GROUP BY row_no)
+  FROM (SELECT *, max(dice) OVER (PARTITION BY row_no) AS top FROM hits) GROUP BY row_no)
 SELECT doc_id, b.name AS license, round(b.dice, 6) AS dice, CAST(coalesce(n, 0) AS BIGINT) AS n_matches
 FROM (SELECT row_number() OVER () AS row_no, doc_id FROM documents) d LEFT JOIN best b USING (row_no)
 """
