@@ -187,31 +187,30 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                          lambda i: F.get("pairs", i - 1).isin(known)).alias("places"))
     found = placed.select("*", F.array_distinct(F.transform("places", lambda i: F.get("pairs", i - 1))).alias("found"))
 
-    texts = [F.split(F.lit("|".join(grams)), r"\|") for _, grams, _ in listed]
-    able = F.array(*(F.when(F.size("found") >= low, F.size(F.array_intersect("found", grams)) >= low).otherwise(False)
-                     for grams, (low, _) in zip(texts, sizes, strict=True)))
+    # The templates as one literal, so that the plan does not grow with them.
+    literal = F.expr("array({})".format(", ".join(
+        f"named_struct('name', {name!r}, 'grams', array({', '.join(map(repr, grams))}), 'span', {span}, 'low', {low}, 'high', {high})"
+        for (name, grams, span), (low, high) in zip(listed, sizes, strict=True))))
+    able = F.filter(literal, lambda t: (F.size("found") >= t["low"]) & (F.size(F.array_intersect("found", t["grams"])) >= t["low"]))
     judged = found.select("id", "text", "whole", "pairs", "places", able.alias("able"))
-    cut = judged.select("*", F.when(F.array_contains("able", True), units(F.col("text"), F.col("whole"))).alias("units"))
+    cut = judged.select("*", F.when(F.size("able") > 0, units(F.col("text"), F.col("whole"))).alias("units"))
 
-    def dice(piece: Column, grams: Column, n: int) -> Column:
-        return (2.0 * F.size(F.array_intersect(piece, grams))) / (F.size(piece) + n)
-
-    def windows(grams: Column, span: int, low: int) -> Column:
-        """The sets of the windows that have ``low`` of the bigrams or more, repeats counted."""
+    def windows(t: Column) -> Column:
+        """The sets of the windows that have the least number of bigrams or more, repeats counted."""
         def starts(h: Column) -> Column:
-            return F.filter(F.transform(h, lambda p, j: F.when(F.get(h, j + (low - 1)) < p + span, p)), lambda p: p.isNotNull())
+            return F.filter(F.transform(h, lambda p, j: F.when(F.get(h, j + t["low"] - 1) < p + t["span"], p)), lambda p: p.isNotNull())
+
+        own = F.filter("places", lambda i: F.array_contains(t["grams"], F.get("pairs", i - 1)))
+        return F.transform(_with(own, starts), lambda p: F.array_distinct(F.slice("pairs", p, t["span"])))
 
-        own = F.filter("places", lambda i: F.array_contains(grams, F.get("pairs", i - 1)))
-        return F.transform(_with(own, starts), lambda p: F.array_distinct(F.slice("pairs", p, F.lit(span))))
+    def score(t: Column) -> Column:
+        def dice(g: Column) -> Column:
+            return (2.0 * F.size(F.array_intersect(g, t["grams"]))) / (F.size(g) + F.size(t["grams"]))
 
-    def score(at: int) -> Column:
-        (name, grams, span), (low, high) = listed[at], sizes[at]
-        pieces = F.filter(F.concat("units", windows(texts[at], span, low)), lambda g: F.size(g).between(low, high))
-        best = F.array_max(F.transform(pieces, lambda g: dice(g, texts[at], len(grams))))
-        return F.when(F.get("able", F.lit(at)), F.struct((-best).alias("order"), F.lit(name).alias("name")))
+        pieces = F.filter(F.concat("units", windows(t)), lambda g: F.size(g).between(t["low"], t["high"]))
+        return F.struct((-F.array_max(F.transform(pieces, dice))).alias("order"), t["name"].alias("name"))
 
-    scores = F.array(*map(score, range(len(listed))))
-    hits = cut.select("id", F.when(F.array_contains("able", True), F.filter(scores, lambda x: x["order"] <= -threshold)).alias("hits"))
+    hits = cut.select("id", F.when(F.size("able") > 0, F.filter(F.transform("able", score), lambda x: x["order"] <= -threshold)).alias("hits"))
     return hits.select(F.col("id").alias(id_col), F.array_min("hits")["name"].alias("license"),
                        F.round(-F.array_min("hits")["order"], 6).alias("dice"),
                        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_matches"))
