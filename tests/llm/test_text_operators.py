@@ -6,9 +6,12 @@ import random
 import re
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -463,7 +466,6 @@ def test_ids_of_every_vocabulary(spark):
         path = vocabulary(name)
         encoder, known = Tokenizer.from_file(path), packing._Ids(path)
         assert known.by_parts == (name == "word_bpe_49k.json")
-        import pyarrow as pa
         for _ in range(2):  # learned, then known
             got = [x.tolist() for x in known.of(pa.array(texts))]
             assert got == [encoder.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -486,34 +488,49 @@ def test_quality_without_ratings_keeps_every_text(spark):
 
 
 def test_code_lengths_against_direct_ppm():
-    alphabet = np.zeros(256, np.uint8)
-    alphabet[[*b"abc"]] = [1, 2, 3]
-    text = b"abacabcabbacab"
-    sym = alphabet[np.frombuffer(text, np.uint8)]
-    off = np.array([0, len(text)])
-    g, n = np.unique(language.groups(sym, off), return_counts=True)
-    table_ = language.code_table(g, n).reshape(-1, 1)
-    counts = {}
-    padded = [0] * language.ORDER + sym.tolist()
-    for i in range(language.ORDER, len(padded)):
-        for k in range(language.ORDER + 1):
-            counts.setdefault(tuple(padded[i - k:i]), {}).setdefault(padded[i], 0)
-            counts[tuple(padded[i - k:i])][padded[i]] += 1
+    train = ["abracadabra", "A cab; a bar", "Это кабан и барабан", "", "x"]
+    data, off = language.utf8(pa.array(train))
+    g, n = np.unique(language.groups(data, off), return_counts=True)
+    follow = {}
+    for t in train:
+        s = [language.START] * language.ORDER + language.FOLD[np.frombuffer(t.encode(), np.uint8)].tolist()
+        for i in range(language.ORDER, len(s)):
+            for k in range(language.ORDER + 1):
+                follow.setdefault(tuple(s[i - k:i]), Counter())[s[i]] += 1
 
     def bits(context, symbol):
-        own = counts.get(context)
-        if own is None:
-            return bits(context[1:], symbol)
-        n, d = sum(own.values()), len(own)
-        if symbol in own:
-            return -np.log2(own[symbol] / (n + d))
-        return -np.log2(d / (n + d)) + (bits(context[1:], symbol) if context else np.log2(language.SYMBOLS))
-
-    for probe in (b"abcabc", b"ccc", b"zab"):
-        s = [0] * language.ORDER + alphabet[np.frombuffer(probe, np.uint8)].tolist()
+        shorter = lambda: bits(context[1:], symbol) if context else 8.0
+        if context not in follow:
+            return shorter()
+        c = follow[context]
+        total, d = sum(c.values()), len(c)
+        return -np.log2(c[symbol] / (total + d)) if symbol in c else -np.log2(d / (total + d)) + shorter()
+
+    probes = ["abracadabra", "zzz cab", "барабан, кабак", "日本語 and ελληνικά", ""]
+    data, off = language.utf8(pa.array(probes))
+    got = language.code_lengths(data, off, [language.context_tree(g, n)])[:, 0] / language.UNIT
+    for probe, found in zip(probes, got, strict=True):
+        s = [language.START] * language.ORDER + language.FOLD[np.frombuffer(probe.encode(), np.uint8)].tolist()
         direct = sum(bits(tuple(s[i - language.ORDER:i]), s[i]) for i in range(language.ORDER, len(s)))
-        got = language.code_lengths(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]), table_, alphabet)
-        assert abs(got[0, 0] - direct) < 0.05
+        assert abs(found - direct) < 1e-4
+
+
+def test_languages_of_one_script(spark):
+    """Pairs of languages in the same letters, six scripts in all, told apart by short held-out texts."""
+    rng = random.Random(5)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת",
+               "กขคงจชซญดตถทนบปผพฟมยรลวสหอ", "".join(chr(0x4E00 + i) for i in range(400))]
+    train, held_out = [], []
+    for name, letters in [(f"{i}{pair}", s) for i, s in enumerate(scripts) for pair in "ab"]:
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(300)]
+        texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(30)] + [" ".join(rng.choice(words) for _ in range(6)) for _ in range(20)]
+        train += [(name, t) for t in texts[:30]]
+        held_out += [(name, t) for t in texts[30:]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(train + held_out)], "doc_id long, lang string, text string")
+    model = language.learn(docs.where(F.col("doc_id") < len(train)))
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs.drop("lang"), model).collect()}
+    right = [found[len(train) + i] == name for i, (name, _) in enumerate(held_out)]
+    assert sum(right) / len(right) >= 0.99
 
 
 def test_language_on_held_out_rows(spark):

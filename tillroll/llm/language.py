@@ -4,16 +4,18 @@ Each language has a context tree of bytes up to three long, frozen after
 training. A byte is coded in the longest known context: a byte that followed
 the context ``c`` times, out of ``n`` with ``d`` different followers, costs
 ``-log2(c / (n + d))`` bits; any other costs ``-log2(d / (n + d))`` bits for
-the escape, plus its cost in the next shorter context; below the empty context
-all symbols cost the same. (Symbols excluded by an escape are not taken out of
-the shorter contexts, so code lengths are those of a valid, slightly longer
-code.) The shortest code length wins.
-
-A-Z are folded first. Bytes outside the ``SYMBOLS - 1`` most frequent ones of
-the training texts share one symbol and cost 8 bits more. So a context and a
-byte are 24 bits, and frozen statistics become one table a language with the
-code length of every such group, in 1/256 bit: a text's code length is a sum
-of table entries, one lookup a byte for all languages together.
+the escape, plus its cost in the next shorter context; contexts that were never
+seen cost nothing to leave, and below the empty context a byte costs 8 bits.
+(Symbols excluded by an escape are not taken out of the shorter contexts, so
+code lengths are those of a valid, slightly longer code.) The shortest code
+length wins. A-Z are folded first; all other bytes, so all scripts, are kept
+apart.
+
+A tree is kept as one sorted table an order, of the byte groups and contexts
+that were seen, so its size is that of the sample and not of the alphabet. A
+chunk of texts looks each of its distinct groups of four bytes up once. Code
+lengths are whole numbers of 2**-20 bit, so sums do not depend on how rows are
+dealt over batches.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,119 +32,122 @@ from pyspark.sql import functions as F
 from .runtime import prepare
 from .textarrays import FOLD, chunks, utf8
 
-ORDER, SYMBOLS, UNIT = 3, 64, 256
+ORDER, UNIT = 3, 1 << 20
+#: The byte that texts are thought to follow.
+START = 32
 #: Texts a language from which statistics are learned, about.
 SAMPLE = 400
 _LETTER = regex.compile(r"\p{L}")
 
 
-def code_table(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """uint16 code lengths, in 1/UNIT bit, of every ORDER-byte context and
-    symbol, from counts of groups of ORDER + 1 symbols."""
-    full = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
-    np.add.at(full, grams, counts.astype(np.float32))
-    by_order = [full]
-    for _ in range(ORDER):  # drop the first symbol of the context
-        by_order.append(by_order[-1].reshape(SYMBOLS, -1).sum(axis=0))
-    cost = np.full(SYMBOLS, np.log2(SYMBOLS), np.float32)
-    for c in by_order[::-1]:
-        c = c.reshape(-1, SYMBOLS)
-        n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True).astype(np.float32)
-        below = cost.reshape(-1, SYMBOLS)  # contexts without their first symbol
-        below = np.broadcast_to(below[None], (len(c) // len(below), *below.shape)).reshape(len(c), SYMBOLS)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(n > 0, -np.log2(d / (n + d)), 0).astype(np.float32)
-            seen = -np.log2(c / (n + d))
-        cost = np.where(c > 0, seen, below + escape).reshape(-1)
-    return np.minimum(65535, np.rint(cost * UNIT)).astype(np.uint16)
-
-
-def groups(sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For every byte, the number that its context and it make; a text starts
-    in a context of symbols 0."""
-    s = sym.astype(np.uint32)
+def _cost(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log2(part / whole) * UNIT).astype(np.int64)
+
+
+def context_tree(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By order from 0: (groups, costs, contexts, escape costs) of what was
+    seen, from counts of groups of ORDER + 1 bytes."""
+    tree = []
+    for order in range(ORDER + 1):
+        keep = np.uint32((1 << 8 * (order + 1)) - 1)
+        found, where = np.unique(grams.astype(np.uint32) & keep, return_inverse=True)
+        c = np.bincount(where, weights=counts, minlength=len(found))
+        contexts, of = np.unique(found >> np.uint32(8), return_inverse=True)
+        n, d = np.bincount(of, weights=c, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+        tree.append((found, _cost(c, (n + d)[of]), contexts, _cost(d, n + d)))
+    return tree
+
+
+def _places(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is in the sorted table, its place) of each wanted value."""
+    at = np.searchsorted(table, wanted)
+    at[at == len(table)] = 0
+    return (table[at] == wanted) if len(table) else np.zeros(len(wanted), bool), at
+
+
+def group_costs(grams: np.ndarray, tree: list) -> np.ndarray:
+    """The code length, in 1/UNIT bit, of each group's last byte after the others."""
+    cost = np.zeros(len(grams), np.int64)
+    left = np.arange(len(grams))
+    for order in range(ORDER, -1, -1):
+        found, costs, contexts, escapes = tree[order]
+        g = grams[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+        seen, at = _places(found, g)
+        cost[left[seen]] += costs[at[seen]]
+        left, context = left[~seen], g[~seen] >> np.uint32(8)
+        known, at = _places(contexts, context)
+        cost[left[known]] += escapes[at[known]]
+    cost[left] += 8 * UNIT
+    return cost
+
+
+def groups(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For every byte, the number that its context and it make."""
+    s = FOLD[data].astype(np.uint32)
     out = s.copy()
     at = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))
     for j in range(1, ORDER + 1):
-        before = np.zeros_like(s)
-        before[j:] = s[:-j] if j <= len(s) else 0
-        before[at < j] = 0
-        out |= before << np.uint32(6 * j)
+        before = np.full_like(s, START)
+        before[j:] = s[:-j]
+        before[at < j] = START
+        out |= before << np.uint32(8 * j)
     return out
 
 
 def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
           sample: int = SAMPLE) -> dict:
-    """Frozen statistics: {"alphabet", "langs", "counts"}.
+    """Frozen statistics: {"key", "langs", "grams", "counts"}.
 
     Learned from about ``sample`` texts a language, whole ones, picked by a
     hash of the id; this bound keeps the statistics small, and is a parameter.
     Null languages and null texts teach nothing. Memory where texts are scored
-    is 32 MB a language, whatever the input.
+    is some 50 bytes for each different group of four bytes in a language's sample.
     """
     prepare(train.sparkSession)
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
                         ).where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
-        return {"key": 0, "alphabet": np.zeros(256, np.uint8), "langs": [], "grams": [], "counts": []}
+        return {"key": 0, "langs": [], "grams": [], "counts": []}
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))
     picked = rows.where((F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
 
-    def byte_counts(table: pa.Table) -> pa.Table:
-        data, off = utf8(table.column("text"))
-        return pa.table({"n": pa.array([np.bincount(FOLD[data], minlength=256).tolist()], pa.list_(pa.int64()))})
-
-    total = np.zeros(256, np.int64)
-    texts = picked.select("lang", "text")
-    for r in texts.groupBy("lang").applyInArrow(byte_counts, "n array<long>").collect():
-        total += np.array(r.n)
-    alphabet = np.full(256, SYMBOLS - 1, np.uint8)
-    top = sorted(np.argsort(-total, kind="stable")[:SYMBOLS - 1])
-    top.remove(32) if 32 in top else top.pop()
-    for i, byte in enumerate([32, *top]):
-        alphabet[byte] = i
-    alphabet = alphabet[FOLD]
-
     def count(key: tuple, table: pa.Table) -> pa.Table:
         data, off = utf8(table.column("text"))
-        g, n = np.unique(groups(alphabet[data], off), return_counts=True)
+        g, n = np.unique(groups(data, off), return_counts=True)
         return pa.table({"lang": pa.array([key[0].as_py()]), "grams": pa.array([g.astype("<u4").tobytes()], pa.binary()),
                          "counts": pa.array([n.astype("<u4").tobytes()], pa.binary())})
 
-    found = sorted(texts.groupBy("lang").applyInArrow(count, "lang string, grams binary, counts binary").collect())
+    found = sorted(picked.select("lang", "text").groupBy("lang").applyInArrow(count, "lang string, grams binary, counts binary").collect())
     seal = hash(tuple((r.lang, bytes(r.grams), bytes(r.counts)) for r in found))
-    return {"key": seal, "alphabet": alphabet, "langs": [r.lang for r in found], "grams": [np.frombuffer(r.grams, "<u4") for r in found],
+    return {"key": seal, "langs": [r.lang for r in found], "grams": [np.frombuffer(r.grams, "<u4") for r in found],
             "counts": [np.frombuffer(r.counts, "<u4") for r in found]}
 
 
-_TABLES: dict = {}
+_TREES: dict = {}
 
 
-def _tables(model: dict) -> np.ndarray:
-    """(groups, languages) code lengths, built once a worker."""
+def _trees(model: dict) -> list:
+    """The context tree of each language, built once a worker."""
     key = model["key"]
-    if key not in _TABLES:
-        _TABLES.clear()
-        out = np.empty((SYMBOLS ** (ORDER + 1), len(model["langs"])), np.uint16)
-        for i, (g, n) in enumerate(zip(model["grams"], model["counts"], strict=True)):
-            out[:, i] = code_table(g, n)
-        _TABLES[key] = out
-    return _TABLES[key]
-
-
-def code_lengths(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    """(texts, languages) code lengths in bits, without the same constant for rare bytes."""
-    rows = len(offsets) - 1
-    out = np.zeros((rows, table.shape[1]))
+    if key not in _TREES:
+        _TREES.clear()
+        _TREES[key] = [context_tree(g, n) for g, n in zip(model["grams"], model["counts"], strict=True)]
+    return _TREES[key]
+
+
+def code_lengths(data: np.ndarray, offsets: np.ndarray, trees: list) -> np.ndarray:
+    """(texts, languages) code lengths in 1/UNIT bit."""
+    out = np.zeros((len(offsets) - 1, len(trees)), np.int64)
     for a, b in chunks(offsets):
         part, off = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         if not len(part):
             continue
-        bits = table[groups(alphabet[part], off)]
-        run = np.zeros((len(part) + 1, table.shape[1]), np.uint64)
-        np.cumsum(bits, axis=0, dtype=np.uint64, out=run[1:])
-        out[a:b] = (run[off[1:]] - run[off[:-1]]) / UNIT
+        codes, distinct = pd.factorize(groups(part, off))
+        run = np.zeros(len(part) + 1, np.int64)
+        for i, tree in enumerate(trees):
+            np.cumsum(group_costs(distinct, tree)[codes], out=run[1:])
+            out[a:b, i] = run[off[1:]] - run[off[:-1]]
     return out
 
 
@@ -165,7 +171,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             named = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
             if m["langs"]:
                 data, off = utf8(texts)
-                bits = code_lengths(data, off, _tables(m), m["alphabet"])
+                bits = code_lengths(data, off, _trees(m)) / UNIT
                 best = bits.argmin(axis=1)
                 with np.errstate(under="ignore"):
                     score = 1 / np.exp2(np.maximum(-1000, bits.min(axis=1, keepdims=True) - bits)).sum(axis=1)
