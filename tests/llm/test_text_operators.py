@@ -173,6 +173,20 @@ def test_exact_repeats_beside_a_part_of_the_passage(spark):
     assert {(r.doc_id, r.first_id) for r in found} == {(3 * g + 2, 3 * g + 1) for g in range(40)}
 
 
+def test_near_repeats_beside_a_part_of_the_passage(spark):
+    """Third texts with one word changed, where the first text has 44 words of 60."""
+    rows, groups = [], 60
+    for g in range(groups):
+        passage = prose(6000 + g, 60)
+        changed = passage.split()
+        changed[25 + g % 10] = "changed"
+        for j, body in enumerate((" ".join(passage.split()[:44]), passage, " ".join(changed))):
+            rows.append((3 * g + j, f"{prose(7000 + 3 * g + j, 30)} {body} {prose(8000 + 3 * g + j, 30)}"))
+    found = passages.repeated_passages(table(spark, rows)).collect()
+    assert {(r.doc_id, r.first_id) for r in found} <= {(3 * g + 2, 3 * g + 1) for g in range(groups)}
+    assert len({r.doc_id for r in found}) >= 0.95 * groups
+
+
 def test_run_hashes_against_definition():
     values = np.array([random.Random(i % 60).getrandbits(64) for i in range(200)], np.uint64)
     for length in (1, 6, 46, 201):

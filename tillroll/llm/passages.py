@@ -17,9 +17,12 @@ signature, under each of ``HASHES`` functions.
   is a repeat. The first text keeps it.
 * Where an earlier text has part of a passage only, functions divide between it
   and the first text that has all of the passage, and neither pair may reach
-  ``AGREE``. So runs of ``min_words`` words that lie in joined windows of all
-  functions, and in no repeat, are then looked up by a hash of the whole run:
-  each that any earlier text has is a repeat of the first such text.
+  ``AGREE``. So the windows with a centre in joined ranges that no repeat
+  explains are joined once more, among themselves: the text with a part has
+  none there that the others would join first.
+* Last, runs of ``min_words`` words that lie in joined windows of all functions,
+  and in no repeat, are looked up by a hash of the whole run: each that any
+  earlier text has is a repeat of the first such text.
 
 The centres of wide windows are the minima of the runs of exactly ``WIDTH``
 shingles, which sliding minima find for all texts of a batch at once; the
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -152,6 +155,19 @@ def unrepeated(windows: np.ndarray, repeated: np.ndarray, length: int) -> list[t
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
+def uncovered(windows: np.ndarray, repeated: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of at least ``least`` shingles that windows of
+    ``AGREE`` functions cover, and none of the ranges ``repeated``."""
+    size = int(windows[:, 1].max()) + 1
+    free = np.zeros(size, np.int8)
+    for a, b in covered(windows, size, AGREE):
+        free[a:b + 1] = 1
+    for a, b in repeated:
+        free[a:b + 1] = 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], free, [0]])))
+    return [(a, b) for a, b in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True) if b - a + 1 >= least]
+
+
 def covered(windows: np.ndarray, size: int, agree: int) -> list[tuple[int, int]]:
     """Ranges of shingles that windows (left, right, function) of at least
     ``agree`` functions cover."""
@@ -245,8 +261,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Runs of ``min_words`` words that an earlier text has exactly are always in
     a row. A passage at the least similarity is missed with a probability of
-    about 0.001 (fewer than 3 of 8 functions agree), more often where earlier
-    texts have parts of it that draw functions away. Runs Spark jobs when called.
+    about 0.001 (fewer than 3 of 8 functions agree), more often where several
+    earlier texts have different parts of it: what the first of them draws away
+    is joined again, what a second one draws away then is not. Runs Spark jobs
+    when called.
     """
     prepare(docs.sparkSession)
     least = min_words - SHINGLE + 1
@@ -270,12 +288,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[ok]), pa.array(ids[ok]), pa.array(packed(left[ok], right[ok], f))], ["key", "id", "w"])
 
-    met = saved(d.mapInArrow(joined, "key long, id long, w long").join(shared, "key").where("first < id")
-                .groupBy("id", "first").agg(F.collect_list("w").alias("windows")))
-    links = met.where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(F.lit(15))))) >= AGREE)
-    involved = links.select("id").union(links.select(F.col("first").alias("id"))).distinct()
-    some = sieve.build(involved, "id")
-    texts = d.where(sieve.sifted(some)("id"))  # and a few others, which the joins below drop
+    met = saved(_met(d.mapInArrow(joined, "key long, id long, w long"), shared))
 
     @arrow_udf("array<struct<start:int,end:int,n_words:int,similarity:double,l:int,r:int>>")
     def compare(own: pa.Array, other: pa.Array, windows: pa.Array) -> pa.Array:
@@ -285,14 +298,72 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64()),
                                                   ("l", pa.int32()), ("r", pa.int32())])))
 
-    both = saved(links.join(texts, "id").join(texts.select(F.col("id").alias("first"), F.col("text").alias("other")), "first")
-            .select("id", "first", F.xxhash64("text").alias("text_hash"), F.explode(compare("text", "other", "windows")).alias("s")))
+    def compared(met: DataFrame) -> DataFrame:
+        links = met.where(_functions(F.col("windows")) >= AGREE)
+        some = sieve.build(links.select("id").union(links.select(F.col("first").alias("id"))).distinct(), "id")
+        texts = d.where(sieve.sifted(some)("id"))  # and a few others, which the joins drop
+        return saved(links.join(texts, "id").join(texts.select(F.col("id").alias("first"), F.col("text").alias("other")), "first")
+                     .select("id", "first", F.xxhash64("text").alias("text_hash"), F.explode(compare("text", "other", "windows")).alias("s")))
+
+    both = compared(met)
+    left = saved(_unexplained(d, met, both.select("id", "text_hash", "s.l", "s.r"), width, least))
+    firsts = left.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    both = both.union(compared(saved(_met(left, firsts))))
     near = both.select("id", "text_hash", "s.start", "s.end", "s.n_words", "first", "s.similarity")
     exact = _exact_repeats(d, met, both.select("id", "text_hash", "s.l", "s.r"), least)
     return (near.union(exact).distinct()
             .select(F.col("id").alias(id_col), "text_hash", "start", "end", "n_words", F.col("first").alias("first_id"), "similarity"))
 
 
+def _functions(windows: Column) -> Column:
+    """How many functions packed windows are of."""
+    return F.size(F.array_distinct(F.transform(windows, lambda w: w.bitwiseAND(F.lit(15)))))
+
+
+def _met(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, first, windows) of windows (key, id, w) and each key's first id."""
+    return rows.join(firsts, "key").where("first < id").groupBy("id", "first").agg(F.collect_list("w").alias("windows"))
+
+
+def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, width: int, least: int) -> DataFrame:
+    """(key, id, w): the windows of texts ``d`` (id, text) with a centre in a
+    range, at least ``least`` long, that joined windows ``met`` of ``AGREE``
+    functions cover and no known repeat (id, text_hash, l, r)."""
+
+    @arrow_udf("array<struct<a:int,b:int>>")
+    def unexplained(windows: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for w, s in zip(windows, spans, strict=True):
+            done = [] if s.values is None else [(x["l"], x["r"]) for x in s.as_py()]
+            rows = unpacked(w.values.to_numpy(zero_copy_only=False))
+            out.append([{"a": a, "b": b} for a, b in uncovered(rows, done, least)])
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+
+    own = met.groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows")).where(_functions(F.col("windows")) >= AGREE)
+    spans = known.groupBy("id", "text_hash").agg(F.collect_list(F.struct("l", "r")).alias("spans"))
+    some = sieve.build(own, "id")
+    hashed = d.where(sieve.sifted(some)("id")).select("id", F.xxhash64("text").alias("text_hash")).distinct()
+    todo = saved(hashed.join(own, "id").join(spans, ["id", "text_hash"], "left")
+                 .select("id", "text_hash", unexplained("windows", "spans").alias("ranges")).where("size(ranges) > 0"))
+
+    def again(batches):
+        for batch in lean(batches):
+            ids, ranges = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            row = np.repeat(np.arange(len(ids)), ranges.value_lengths().to_numpy(zero_copy_only=False)) << 32
+            first, last = (row + ranges.flatten().field(x).to_numpy(zero_copy_only=False) for x in (0, 1))
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), batch.column(1)], ["row", "text"])
+            for f, key, r, left, centre, right in _windows(numbered, width):
+                place = (r << 32) + centre
+                at = np.searchsorted(first, place, "right") - 1
+                ok = (at >= 0) & (place <= last[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[ok]), pa.array(ids[r[ok]]), pa.array(packed(left[ok], right[ok], f))], ["key", "id", "w"])
+
+    these = sieve.build(todo, "id")
+    return (d.where(sieve.sifted(these)("id")).withColumn("text_hash", F.xxhash64("text")).join(todo, ["id", "text_hash"])
+            .select("id", "text", "ranges").mapInArrow(again, "key long, id long, w long"))
+
+
 def _exact_repeats(d: DataFrame, met: DataFrame, known: DataFrame, least: int) -> DataFrame:
     """Repeats by whole runs of ``least`` shingles: of texts ``d`` (id, text)
     those runs that lie in joined windows ``met`` of all functions and in no
@@ -310,7 +381,7 @@ def _exact_repeats(d: DataFrame, met: DataFrame, known: DataFrame, least: int) -
     # Texts that share an id share its windows; what is known is a text's own.
     own = met.groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
     spans = known.groupBy("id", "text_hash").agg(F.collect_list(F.struct("l", "r")).alias("spans"))
-    some = sieve.build(own.where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(F.lit(15))))) == HASHES), "id")
+    some = sieve.build(own.where(_functions(F.col("windows")) == HASHES), "id")
     hashed = d.where(sieve.sifted(some)("id")).select("id", F.xxhash64("text").alias("text_hash")).distinct()
     todo = saved(hashed.join(own, "id").join(spans, ["id", "text_hash"], "left")
                  .select("id", "text_hash", free("windows", "spans").alias("free")).where("size(free) > 0"))
