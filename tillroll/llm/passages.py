@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -306,7 +307,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                      .select("id", "first", F.xxhash64("text").alias("text_hash"), F.explode(compare("text", "other", "windows")).alias("s")))
 
     both = compared(met)
-    left = saved(_unexplained(d, met, both.select("id", "text_hash", "s.l", "s.r"), width, least))
+    left = saved(_unexplained(d, met, both.select("id", "text_hash", "s.l", "s.r"), known, width, least))
     firsts = left.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     both = both.union(compared(saved(_met(left, firsts))))
     near = both.select("id", "text_hash", "s.start", "s.end", "s.n_words", "first", "s.similarity")
@@ -325,10 +326,11 @@ def _met(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return rows.join(firsts, "key").where("first < id").groupBy("id", "first").agg(F.collect_list("w").alias("windows"))
 
 
-def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, width: int, least: int) -> DataFrame:
+def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, shared: Broadcast, width: int, least: int) -> DataFrame:
     """(key, id, w): the windows of texts ``d`` (id, text) with a centre in a
     range, at least ``least`` long, that joined windows ``met`` of ``AGREE``
-    functions cover and no known repeat (id, text_hash, l, r)."""
+    functions cover and no known repeat (id, text_hash, l, r). Windows whose key
+    is not in the sieve ``shared`` are no other text's and are left out."""
 
     @arrow_udf("array<struct<a:int,b:int>>")
     def unexplained(windows: pa.Array, spans: pa.Array) -> pa.Array:
@@ -355,7 +357,7 @@ def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, width: int, lea
             for f, key, r, left, centre, right in _windows(numbered, width):
                 place = (r << 32) + centre
                 at = np.searchsorted(first, place, "right") - 1
-                ok = (at >= 0) & (place <= last[at])
+                ok = (at >= 0) & (place <= last[at]) & sieve.passes(shared, key)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[ok]), pa.array(ids[r[ok]]), pa.array(packed(left[ok], right[ok], f))], ["key", "id", "w"])
 
