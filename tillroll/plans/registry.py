@@ -151,9 +151,11 @@ def build() -> dict[str, Query]:
     q["price_counts"] = lambda s, b: stats.value_counts(_dirty(s, b), "unit_price")
 
     # --- distinct counts and quantiles kept by month ------------------------
-    month, quarter = F.trunc("sale_date", "month"), F.trunc("month", "quarter")
+    def periods():  # columns need a session, which this function must not
+        return F.trunc("sale_date", "month"), F.trunc("month", "quarter")
 
     def tickets_q(s, b, coarse: bool):
+        month, quarter = periods()
         sets = mergeable.distinct_sets(_sales(s, b), [month.alias("month"), "article"], "ticket_number")
         if coarse:  # from the months' sets, not from the sales
             sets = mergeable.union_sets(sets, [quarter.alias("month"), "article"])
@@ -164,6 +166,7 @@ def build() -> dict[str, Query]:
 
     def sketch_q(s, b):
         """Quarters from months' sketches, beside the exact figures."""
+        month, quarter = periods()
         sales = _sales(s, b).where("unit_price IS NOT NULL")
         kept = mergeable.sketches(sales, [month.alias("month")], "ticket_number", "unit_price")
         found = mergeable.estimates(mergeable.merge_sketches(kept, [quarter.alias("period_start")]), ["period_start"], [0.5])
