@@ -102,3 +102,26 @@ def test_strict_refresh_stops_before_it_builds(spark):
         customer360.refresh_customer360(spark, customers, conversions, orders, dates, table="c360.strict_view", as_of=CAP, strict=True)
     assert not spark.catalog.tableExists("c360.strict_view")
     assert not [t for t in spark.catalog.listTables("c360") if "__work_" in t.name]
+
+
+def test_a_difference_reads_each_table_twice(spark):
+    """Once for digests, once for the rows of differing ranges; no shuffle of the tables."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(20_000).select("id", (F.col("id") * 2).alias("v"))
+    left = rows.mapInArrow(counted, "id long, v long")
+    right = rows.withColumn("v", F.when(F.col("id") % 4000 == 7, 0).otherwise(F.col("v")))
+    found = diff.differing_rows(left, right, ["id"], leaf_rows=1).checkpoint(eager=True)
+    assert found.count() == 10 and read.value == 2 * 20_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranges = diff.differing_ranges(left, right, ["id"], 2)
+        plan = diff._in_ranges(rows, ranges, ["id"], 2, few=True)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

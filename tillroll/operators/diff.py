@@ -2,14 +2,19 @@
 
 Row count and highest total (``lifetime.reconcile``) miss faults that make up
 for each other. Here each table is digested by ranges of its hashed key: the
-number of rows and two sums of row hashes, which do not depend on order and are
+number of rows and sums of two row hashes, which do not depend on order and are
 combined before the shuffle, so a level costs a scan and one small row a range
 and task. Only ranges whose digests differ are divided again, a level deeper;
 when few rows are left in them, or most rows are, those rows are compared value
-by value. Equal tables cost one scan each and no shuffle of rows.
+by value. Equal tables cost one scan each and no shuffle of rows. Of tables that
+differ, the rows of differing ranges are picked by a broadcast of the ranges
+(at most ``BROADCAST_RANGES``) in one more scan each and written; deeper levels
+and the comparison read those rows only.
 
 Digests decide only what is looked at: a range whose rows differ passes for equal
-if number and both 64-bit sums agree by chance, odds of about 2**-128.
+if number and all sums of both 64-bit hashes agree by chance, odds of about
+2**-128. The sums are of pieces of a hash, ``PIECE_BITS`` each, as longs: exact
+up to 2**39 rows a range, without a decimal for every row.
 """
 
 from __future__ import annotations
@@ -21,8 +26,12 @@ from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
 
-#: Bits of the key's hash that each level adds, and the most levels.
-LEVEL_BITS, LEVELS = 10, 4
+#: Bits of the key's hash that each level adds, the level begun with, and the most.
+LEVEL_BITS, FIRST_LEVEL, LEVELS = 10, 2, 4
+#: Bits of a hash that are summed together.
+PIECE_BITS = 24
+#: Ranges that are sent to all tasks: as many as the first level has.
+BROADCAST_RANGES = 1 << LEVEL_BITS * FIRST_LEVEL
 #: Rows of differing ranges that are compared without dividing further.
 LEAF_ROWS = 1_000_000
 
@@ -34,25 +43,31 @@ def _range_at(keys: Sequence[str], level: int) -> Column:
 
 def _digests(df: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
-    wide = lambda c: F.sum(c.cast("decimal(20,0)"))
-    return df.groupBy(_range_at(keys, level).alias("_range")).agg(
-        F.count("*").alias("_rows"), wide(F.xxhash64(*cols)).alias("_sum"),
-        wide(F.xxhash64(F.lit(1), *cols)).alias("_other"))
+    hashed = df.select(_range_at(keys, level).alias("_range"), F.xxhash64(*cols).alias("_h"), F.xxhash64(F.lit(1), *cols).alias("_g"))
+    piece = lambda h, at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << PIECE_BITS) - 1))
+    return hashed.groupBy("_range").agg(
+        F.count("*").alias("_rows"),
+        *[F.sum(piece(h, at)).alias(f"{h}{at}") for h in ("_h", "_g") for at in range(0, 64, PIECE_BITS)])
+
+
+def _compared_ranges(left: DataFrame, right: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
+    """(_range, _rows, _differs) of all ranges, with the rows of both tables."""
+    a, b = _digests(left, keys, level), _digests(right, keys, level)
+    both = a.withColumn("_left", F.lit(1)).unionByName(b.withColumn("_left", F.lit(-1)))
+    sums = [c for c in a.columns if c != "_range"]
+    off = [F.sum(F.col(c) * F.col("_left")) != 0 for c in sums]
+    return both.groupBy("_range").agg(F.sum("_rows").alias("_rows"), F.array_contains(F.array(*off), True).alias("_differs"))
 
 
 def differing_ranges(left: DataFrame, right: DataFrame, keys: Sequence[str], level: int = 1) -> DataFrame:
     """(_range, _rows): ranges of the hashed key in which the tables differ, with
     the rows of both."""
-    a, b = _digests(left, keys, level), _digests(right, keys, level)
-    both = a.withColumn("_left", F.lit(1)).unionByName(b.withColumn("_left", F.lit(-1)))
-    signed = [F.sum(F.col(c) * F.col("_left")).alias(c) for c in ("_sum", "_other")]
-    return (both.groupBy("_range").agg(F.sum(F.col("_rows") * F.col("_left")).alias("_more"), F.sum("_rows").alias("_all"), *signed)
-            .where("_more != 0 OR _sum != 0 OR _other != 0").select("_range", F.col("_all").alias("_rows")))
+    return _compared_ranges(left, right, keys, level).where("_differs").select("_range", "_rows")
 
 
-def _in_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
+def _in_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str], level: int, few: bool) -> DataFrame:
     found = ranges.select(F.col("_range").alias("_differs"))
-    return df.join(found, _range_at(keys, level) == F.col("_differs"), "left_semi")
+    return df.join(F.broadcast(found) if few else found, _range_at(keys, level) == F.col("_differs"), "left_semi")
 
 
 def differing_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -68,16 +83,18 @@ def differing_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], leaf_
         raise ValueError("the tables have different columns")
     ensure_checkpoint_dir(left.sparkSession)
     right = right.select(*[F.col(f"`{c}`").cast(left.schema[c].dataType) for c in left.columns])
-    level, total = 1, None
+    level = FIRST_LEVEL
     while True:
-        ranges = differing_ranges(left, right, keys, level).checkpoint(eager=True)
-        rows = ranges.agg(F.sum("_rows")).first()[0] or 0
-        total = rows if total is None else total
-        left, right = _in_ranges(left, ranges, keys, level), _in_ranges(right, ranges, keys, level)
-        # The next level pays off while it can leave out at least half of the rows.
-        if rows <= leaf_rows or level == LEVELS or (level > 1 and rows > total / 2):
+        compared = _compared_ranges(left, right, keys, level).checkpoint(eager=True)
+        total, rows, n = compared.agg(F.sum("_rows"), F.sum(F.when(F.col("_differs"), F.col("_rows"))), F.count_if("_differs")).first()
+        ranges, few = compared.where("_differs"), n <= BROADCAST_RANGES
+        # Where most rows are left, neither picking them nor another level pays off.
+        if rows and rows > total / 2:
+            break
+        left, right = (_in_ranges(df, ranges, keys, level, few).checkpoint(eager=True) for df in (left, right))
+        if not rows or rows <= leaf_rows or level == LEVELS:
             break
-        total, level = rows, level + 1
+        level += 1
     signed = left.withColumn("_left", F.lit(1)).unionByName(right.withColumn("_left", F.lit(-1)))
     counts = signed.groupBy(*[F.col(f"`{c}`") for c in left.columns]).agg(F.sum("_left").alias("_more")).where("_more != 0")
     return counts.select(*[F.col(f"`{c}`") for c in left.columns], F.when(F.col("_more") > 0, "left").otherwise("right").alias("side"),
