@@ -128,3 +128,31 @@ def test_snapshot_is_frozen(spark):
     src = spark.createDataFrame([(1,)], "x int")
     snap = snapshot(src, "snap_view")
     assert spark.table("snap_view").count() == 1 and snap.count() == 1
+
+
+def test_rows_at_a_location_outlive_the_table(spark, tmp_path):
+    from tillroll.sinks import drop_result, refresh_table
+
+    name = "located.result"
+    for mode in ("recreate", "truncate"):
+        refresh_table(spark, spark.range(5).toDF("n"), name, "n BIGINT", mode=mode, location=str(tmp_path))
+    rows = spark.table(name)
+    drop_result(spark, name)
+    assert not spark.catalog.tableExists(name)
+    assert sorted(r.n for r in rows.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_stored_rows_are_read_from_files_not_copied(spark):
+    import os
+
+    import pytest
+
+    from tillroll.plans import registry
+
+    base = "/root/testdata/sf0.001"
+    if not os.path.isdir(base):
+        pytest.skip("test data not present")
+    rows = registry.build()["refresh_stored_rows"](spark, base)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+    assert rows.count() == registry.build()["lifetime_capped"](spark, base).count()
