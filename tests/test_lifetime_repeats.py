@@ -105,3 +105,39 @@ def test_large_date_tables_are_not_forced_to_broadcast(spark, monkeypatch):
     assert "ResolvedHint" not in lifetime.weekly_orders(orders, plain, customers)._jdf.queryExecution().analyzed().toString()
     monkeypatch.setattr(calendar.within_limit, "__defaults__", (100,))
     assert "ResolvedHint" in lifetime.weekly_orders(orders, plain, customers)._jdf.queryExecution().analyzed().toString()
+
+
+def test_weeks_are_made_last(spark):
+    """Stretches of weeks are joined, sorted and summed; the weeks made from them are not."""
+    lines = _plan(lifetime.customer_weekly_lifetime(*_frames(spark), as_of=CAP).where("order_week IS NOT NULL")).splitlines()
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    assert not [line for line in above if re.search(r"Sort|Window|Exchange|Aggregate", line)], above
+
+
+@pytest.mark.parametrize("variant", ["capped", "open"])
+def test_random_facts_match_sql(spark, variant):
+    """Weeks with several orders or none, ids that repeat, several keys, unknown dates."""
+    import datetime as dt
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(11)
+    customers, conversions, orders, dates = _frames(spark)
+    day = lambda: dt.date(2021, 1, 1) + dt.timedelta(days=rng.randrange(90))
+    key = lambda d: _key(d.isoformat()) if rng.random() > 0.05 else 19000101
+    people = [(k, 100 + k // 2, "F", "L") for k in range(40)]
+    conv = [(rng.randrange(60), rng.randrange(40), key(d), d, "T", "CH", n % 55) for n in range(90) for d in [day()]]
+    made = [(n, n if n % 9 else n + 1, rng.randrange(40), key(day()), *[Decimal(n % 7 + 1)] * 3) for n in range(260)]
+    frames = (spark.createDataFrame(people, customers.schema), spark.createDataFrame(conv, conversions.schema),
+              spark.createDataFrame(made, orders.schema), dates)
+    got = lifetime.customer_weekly_lifetime(*frames, as_of=CAP, variant=variant)
+    same = [i for i, c in enumerate(lifetime.SINK_COLUMNS)]
+    plain = lambda rows: sorted((tuple(None if v != v else int(v) if isinstance(v, float) and v == int(v) else v for v in (r[i] for i in same)) for r in rows), key=repr)
+    cols, rows = _duck(frames, variant == "capped")
+    assert plain(_rows(got.columns, [tuple(r) for r in got.collect()])) == plain(_rows(cols, rows))
