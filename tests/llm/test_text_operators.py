@@ -598,3 +598,22 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns and 0 < docs.count() <= before
             before = docs.count()
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_saved_steps_leave_no_shuffle_files(spark):
+    """What a kept step was made from is gone when it is kept."""
+    import glob
+    import time
+
+    from tillroll.llm.runtime import prepare, saved
+
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    files = lambda: set(glob.glob(f"{root}/**/shuffle_*", recursive=True))
+    prepare(spark)
+    before = files()
+    kept = saved(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 99).alias("m")).count())
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == kept.count() == 99

@@ -19,7 +19,12 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and make sure that a checkpoint folder is known.
+    """Bound Arrow batches, free shuffle files when an action ends, and make sure
+    that a checkpoint folder is known.
+
+    Steps are kept by ``saved``, so that nothing reads the shuffles behind them
+    again; without the setting these files lie on the disks until the driver
+    happens to collect garbage.
 
     The folder is the cluster's own (``spark.checkpoint.dir``); only a local
     session without one gets a folder of its own. Python workers look for this
@@ -31,6 +36,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     ensure_checkpoint_dir(spark, allow_local=True)
     return spark
 
