@@ -31,11 +31,11 @@ neighbours that bound a wide window are such minima themselves.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,44 +49,62 @@ SHINGLE, WIDTH, HASHES, AGREE = 5, 40, 8, 3
 MIN_WORDS, SIMILARITY = 50, 0.8
 
 
+class Walled:
+    """Values laid out with one wall, smaller than everything, before each row
+    and after the last: what the compact windows of all functions share."""
+
+    def __init__(self, values: np.ndarray, row: np.ndarray, width: int) -> None:
+        n = len(values)
+        fresh = np.concatenate([[True], row[1:] != row[:-1]])[:n]
+        place = np.arange(n) + np.cumsum(fresh)
+        size = n + int(fresh.sum()) + 1
+        self.width, self.bits = width, np.uint64(max(20, size.bit_length()))
+        self.places = np.arange(size, dtype=np.uint64)
+        self.walls = np.concatenate([place[fresh] - 1, [size - 1]])
+        self.values = np.zeros(size, np.uint64)
+        self.values[place] = values
+        self.back = np.zeros(size, np.int64)
+        self.back[place] = np.arange(n)
+
+    def windows(self, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, centre, right) of the compact windows of a function."""
+        v = seeded(self.values, seed)
+        v |= np.uint64(1 << 63)
+        v >>= self.bits
+        v <<= self.bits
+        v |= self.places
+        v[self.walls] = self.walls  # no hash above the place
+        if len(v) < self.width:
+            z = np.zeros(0, np.int64)
+            return z, z, z
+        least, span = v, 1
+        while 2 * span <= self.width:
+            least, span = np.minimum(least[:-span], least[span:]), 2 * span
+        if span < self.width:
+            least = np.minimum(least[:len(v) - self.width + 1], least[self.width - span:])
+        # The least place moves on, never back.
+        least = least[np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])]
+        least = least[least >> np.uint64(63) == 1] & ((np.uint64(1) << self.bits) - np.uint64(1))
+        at = np.sort(np.concatenate([least.astype(np.int64), self.walls]), kind="stable")
+        value = v[at]
+        is_wall = value >> np.uint64(63) == 0
+        value[is_wall] = 0
+        idx = np.flatnonzero(~is_wall)
+        left, right = np.arange(len(at)) - 1, np.arange(len(at)) + 1
+        for near in (left, right):
+            todo = idx
+            while len(todo):
+                todo = todo[value[near[todo]] > value[todo]]
+                near[todo] = near[near[todo]]
+        return self.back[at[left[idx]] + 1], self.back[at[idx]], self.back[at[right[idx]] - 1]
+
+
 def compact_windows(values: np.ndarray, row: np.ndarray, width: int, seed: int
                     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, centre, right) of every compact window of at least ``width``
     elements, as places in ``values``; windows do not cross rows. Equal values
     in a row: the leftmost counts as the smallest."""
-    n = len(values)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    # One wall, smaller than everything, before each row and after the last.
-    fresh = np.concatenate([[True], row[1:] != row[:-1]])
-    place = np.arange(n) + np.cumsum(fresh)
-    size = n + int(fresh.sum()) + 1
-    bits = np.uint64(max(20, size.bit_length()))
-    total = -(-size // width) * width
-    v = np.arange(total, dtype=np.uint64)  # walls: no hash above the place
-    v[place] |= (seeded(values, seed) | np.uint64(1 << 63)) >> bits << bits
-    blocks = v.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(behind[:total - width + 1], ahead[width - 1:])
-    chosen = np.zeros(total, bool)
-    chosen[(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
-    wall = np.ones(total, bool)
-    wall[place] = False
-    at = np.flatnonzero(chosen | wall)
-    value, is_wall = v[at], wall[at]
-    value[is_wall] = 0
-    idx = np.flatnonzero(~is_wall)
-    left, right = np.arange(len(at)) - 1, np.arange(len(at)) + 1
-    for near in (left, right):
-        todo = idx
-        while len(todo):
-            todo = todo[value[near[todo]] > value[todo]]
-            near[todo] = near[near[todo]]
-    back = np.zeros(total, np.int64)
-    back[place] = np.arange(n)
-    return back[at[left[idx]] + 1], back[at[idx]], back[at[right[idx]] - 1]
+    return Walled(values, row, width).windows(seed)
 
 
 def _word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,8 +121,9 @@ def _windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
     for a, b, h, row in _word_hashes(batch.column(1)):
         s, srow, _ = shingles(h, row, b - a, SHINGLE)
         first = np.searchsorted(srow, np.arange(b - a))
+        laid = Walled(s, srow, width)
         for f in range(HASHES):
-            left, centre, right = compact_windows(s, srow, width, 100 + f)
+            left, centre, right = laid.windows(100 + f)
             r = srow[centre]
             yield f, seeded(s[centre], 200 + f).view(np.int64), ids[a:b][r], left - first[r], centre - first[r], right - first[r]
 
@@ -137,85 +156,120 @@ def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def unrepeated(windows: np.ndarray, repeated: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Ranges of the first places of runs of ``length`` shingles that lie in
-    windows (left, right, function) of all functions and in none of the ranges
-    ``repeated`` (first, last)."""
-    places = windows.copy()
-    places[:, 1] -= length - 1
-    places = places[places[:, 1] >= places[:, 0]]
-    if not len(places):
-        return []
-    size = int(places[:, 1].max()) + 1
-    free = np.zeros(size, bool)
-    for a, b in covered(places, size, HASHES):
-        free[a:b + 1] = True
-    for a, b in repeated:
-        free[a:max(a, b - length + 2)] = False
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
-
-
-def uncovered(windows: np.ndarray, repeated: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Ranges (first, last) of at least ``least`` shingles that windows of
+def covered(row: np.ndarray, windows: np.ndarray, agree: int, row_out: np.ndarray | None = None, out: np.ndarray | None = None
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last): the ranges of each row's shingles that windows
+    (left, right, function) of at least ``agree`` functions cover, and none of
+    the ranges ``out`` (first, last) of the rows ``row_out``."""
+    order = np.argsort(row << 33 | windows[:, 2] << 29 | windows[:, 0])
+    row, left, right, f = row[order], windows[order, 0], windows[order, 1], windows[order, 2]
+    # Windows of one function count once wherever they overlap.
+    reach = np.maximum.accumulate((row << 4 | f) << 30 | right) if len(row) else right
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] << 4 | f[1:]) << 30 | left[1:] > reach[:-1]
+    begin = np.flatnonzero(fresh)
+    end = np.concatenate([begin[1:], [len(row)]])[:len(begin)] - 1
+    one, last = row[begin], reach[end] & (1 << 30) - 1
+    if row_out is None or out is None:
+        row_out, out = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    where = np.concatenate([one << 31 | left[begin], one << 31 | last + 1, row_out << 31 | out[:, 0], row_out << 31 | out[:, 1] + 1])
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    counts = np.zeros((2, len(where)), np.int64)  # functions, ranges out
+    n, m = len(one), len(row_out)
+    counts[0, :2 * n] = np.repeat([1, -1], n)
+    counts[1, 2 * n:] = np.repeat([1, -1], m)
+    counts = counts[:, order].cumsum(axis=1)
+    final = np.flatnonzero(np.concatenate([where[1:] != where[:-1], [True]])[:len(where)])
+    inside = np.concatenate([[False], (counts[0, final] >= agree) & (counts[1, final] == 0), [False]])
+    edge = np.diff(inside.astype(np.int8))
+    a, b = where[final[np.flatnonzero(edge == 1)]], where[final[np.flatnonzero(edge == -1)]]
+    return a >> 31, a & (1 << 31) - 1, (b & (1 << 31) - 1) - 1
+
+
+def uncovered(row: np.ndarray, windows: np.ndarray, row_out: np.ndarray, repeated: np.ndarray, least: int
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (row, first, last) of at least ``least`` shingles that windows of
     ``AGREE`` functions cover, and none of the ranges ``repeated``."""
-    size = int(windows[:, 1].max()) + 1
-    free = np.zeros(size, np.int8)
-    for a, b in covered(windows, size, AGREE):
-        free[a:b + 1] = 1
-    for a, b in repeated:
-        free[a:b + 1] = 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], free, [0]])))
-    return [(a, b) for a, b in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True) if b - a + 1 >= least]
-
-
-def covered(windows: np.ndarray, size: int, agree: int) -> list[tuple[int, int]]:
-    """Ranges of shingles that windows (left, right, function) of at least
-    ``agree`` functions cover."""
-    depth = np.zeros(size, np.int8)
-    for f in np.unique(windows[:, 2]):
-        step = np.zeros(size + 1, np.int32)
-        own = windows[windows[:, 2] == f]
-        np.add.at(step, own[:, 0], 1)
-        np.add.at(step, own[:, 1] + 1, -1)
-        depth += (np.cumsum(step[:-1]) > 0).astype(np.int8)
-    inside = np.concatenate([[0], (depth >= agree).astype(np.int8), [0]])
-    edge = np.flatnonzero(np.diff(inside))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+    r, a, b = covered(row, windows, AGREE, row_out, repeated)
+    long = b - a + 1 >= least
+    return r[long], a[long], b[long]
 
 
-def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = np.unique(x), np.unique(y)
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common)
+def unrepeated(row: np.ndarray, windows: np.ndarray, row_out: np.ndarray, repeated: np.ndarray, length: int
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (row, first, last) of the first places of runs of ``length``
+    shingles that lie in windows (left, right, function) of all functions and in
+    none of the ranges ``repeated`` (first, last)."""
+    ends = np.array([0, length - 1, 0])
+    long = windows[:, 1] - windows[:, 0] + 1 >= length
+    longer = repeated[:, 1] - repeated[:, 0] + 1 >= length
+    return covered(row[long], windows[long] - ends, HASHES, row_out[longer], repeated[longer] - ends[:2])
 
 
-def _places(part: np.ndarray, other: np.ndarray, p: np.ndarray, order: np.ndarray, ranked: np.ndarray, at: np.ndarray
-            ) -> np.ndarray:
-    """Where in ``other`` each shared shingle p is: on the diagonal of the one
-    before it if it is there too, else at the place nearest to that diagonal."""
-    last = np.searchsorted(ranked, part[p], "right")
-    out = np.empty(len(p), np.int64)
-    q, before = -1, -1
-    for i, x in enumerate(p.tolist()):
-        want = q + x - before if i else 0
-        if not (i and want < len(other) and other[want] == part[x]):
-            places = order[at[x]:last[i]]
-            k = int(np.searchsorted(places, want))
-            near = places[max(0, k - 1):k + 1]
-            want = int(near[np.abs(near - want).argmin()])
-        out[i] = q = want
-        before = x
-    return out
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(place of its list, entry) of the entries of an array of lists."""
+    count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lists)), count), lists.flatten()
+
+
+def by_row(rows: int, row: np.ndarray, names: list[str], columns: list[pa.Array]) -> pa.Array:
+    """An array of lists of structs: entries by the row that has them, ascending."""
+    entries = pa.StructArray.from_arrays(columns, names)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), entries)
+
+
+def ranges_of(windows: pa.Array, spans: pa.Array, of, least: int) -> pa.Array:
+    """``of``, that is ``uncovered`` or ``unrepeated``, on lists of packed windows
+    and of known repeats (l, r), as lists of ranges (a, b)."""
+    row, w = flat(windows)
+    row_out, known = flat(spans)
+    known = np.stack([known.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (0, 1)], axis=1)
+    r, a, b = of(row, unpacked(w.to_numpy(zero_copy_only=False)), row_out, known, least)
+    return by_row(len(windows), r, ["a", "b"], [pa.array(a, pa.int32()), pa.array(b, pa.int32())])
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if np.array_equal(x, y):
+        return 1.0
+    x, y = _distinct(x), _distinct(y)
+    both = np.sort(np.concatenate([x, y]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(x) + len(y) - common)
 
 
-def repeats(own: np.ndarray, other: np.ndarray, ranges: list[tuple[int, int]], least: int, similarity: float
+def _places(part: np.ndarray, p: np.ndarray, order: np.ndarray, ranked: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where in the other text (its shingles ``ranked`` by ``order``) each shared
+    shingle p is: at the place nearest to the diagonal of the one before it."""
+    shared, rank = part[p], at[p]
+    out = order[rank]
+    # Only what the other text has several times leaves a choice.
+    several = np.flatnonzero((rank + 1 < len(ranked)) & (ranked[np.minimum(rank + 1, len(ranked) - 1)] == shared))
+    if not len(several):
+        return out
+    high = np.searchsorted(ranked, shared[several], "right")
+    own, found, places = p.tolist(), out.tolist(), order.tolist()
+    for i, lo, hi in zip(several.tolist(), rank[several].tolist(), high.tolist(), strict=True):
+        want = found[i - 1] + own[i] - own[i - 1] if i else 0
+        j = bisect_left(places, want, lo, hi)
+        if j == hi or j > lo and want - places[j - 1] <= places[j] - want:
+            j -= 1
+        found[i] = places[j]
+    return np.array(found, np.int64)
+
+
+def repeats(own: np.ndarray, other: np.ndarray, order: np.ndarray, ranges: list[tuple[int, int]], least: int, similarity: float
             ) -> list[tuple[int, int, float]]:
     """(first, last, similarity) of the maximal runs of shingles of ``own``,
     within ``ranges``, that repeat a run of ``other``: at least ``least`` long
     and similar enough. Runs that begin and end with a shared shingle are
-    tried; one that fails is split at its widest jump."""
-    order = np.argsort(other, kind="stable")
+    tried; one that fails is split at its widest jump. ``order`` sorts
+    ``other``, equal shingles by place."""
     ranked = other[order]
     found = []
     for low, high in ranges:
@@ -224,15 +278,16 @@ def repeats(own: np.ndarray, other: np.ndarray, ranges: list[tuple[int, int]], l
         hit = at < len(ranked)
         hit[hit] = ranked[at[hit]] == part[hit]
         p = np.flatnonzero(hit)
-        if not len(p):
+        if not len(p) or p[-1] - p[0] + 1 < least:
             continue
-        q = _places(part, other, p, order, ranked, at)
+        q = _places(part, p, order, ranked, at)
+        jumps = np.maximum(np.diff(p), np.minimum(np.abs(np.diff(q - p)) + 1, 1 << 30))
         stack = [(0, len(p) - 1)]
         while stack:
             a, b = stack.pop()
             if p[b] - p[a] + 1 < least:
                 continue
-            jump = np.maximum(np.diff(p[a:b + 1]), np.minimum(np.abs(np.diff(q[a:b + 1] - p[a:b + 1])) + 1, 1 << 30))
+            jump = jumps[a:b]
             widest = int(jump.argmax()) if len(jump) else -1
             if widest < 0 or jump[widest] <= 3 * SHINGLE:
                 x, y = part[p[a]:p[b] + 1], other[q[a:b + 1].min():q[a:b + 1].max() + 1]
@@ -273,31 +328,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
          .where("id is not null and text is not null"))
 
-    def keys(batches):
-        for batch in lean(batches):
-            for _, key, ids, *_ in _windows(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], ["key", "id"])
-
-    shared = saved(d.mapInArrow(keys, "key long, id long").groupBy("key")
-                   .agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"))
-    known = sieve.build(shared, "key")
-
-    def joined(batches):
+    def windows(batches):
         for batch in lean(batches):
             for f, key, ids, left, _, right in _windows(batch, width):
-                ok = sieve.passes(known, key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[ok]), pa.array(ids[ok]), pa.array(packed(left[ok], right[ok], f))], ["key", "id", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(packed(left, right, f))], ["key", "id", "w"])
 
-    met = saved(_met(d.mapInArrow(joined, "key long, id long, w long"), shared))
+    met = saved(_met(d.mapInArrow(windows, "key long, id long, w long")))
 
     @arrow_udf("array<struct<start:int,end:int,n_words:int,similarity:double,l:int,r:int>>")
     def compare(own: pa.Array, other: pa.Array, windows: pa.Array) -> pa.Array:
-        out = []
-        for x, y, w in zip(own, other, windows, strict=True):
-            out.append(_compare(x.as_py(), y.as_py(), w.values, least, similarity))
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64()),
-                                                  ("l", pa.int32()), ("r", pa.int32())])))
+        return _compare(own, other, windows, least, similarity)
 
     def compared(met: DataFrame) -> DataFrame:
         links = met.where(_functions(F.col("windows")) >= AGREE)
@@ -307,9 +347,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                      .select("id", "first", F.xxhash64("text").alias("text_hash"), F.explode(compare("text", "other", "windows")).alias("s")))
 
     both = compared(met)
-    left = saved(_unexplained(d, met, both.select("id", "text_hash", "s.l", "s.r"), known, width, least))
-    firsts = left.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    both = both.union(compared(saved(_met(left, firsts))))
+    again = _unexplained(d, met, both.select("id", "text_hash", "s.l", "s.r"), width, least)
+    both = both.union(compared(saved(_met(again))))
     near = both.select("id", "text_hash", "s.start", "s.end", "s.n_words", "first", "s.similarity")
     exact = _exact_repeats(d, met, both.select("id", "text_hash", "s.l", "s.r"), least)
     return (near.union(exact).distinct()
@@ -321,25 +360,21 @@ def _functions(windows: Column) -> Column:
     return F.size(F.array_distinct(F.transform(windows, lambda w: w.bitwiseAND(F.lit(15)))))
 
 
-def _met(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(id, first, windows) of windows (key, id, w) and each key's first id."""
-    return rows.join(firsts, "key").where("first < id").groupBy("id", "first").agg(F.collect_list("w").alias("windows"))
+def _met(rows: DataFrame) -> DataFrame:
+    """(id, first, windows) of windows (key, id, w) that a text of a lesser id
+    has too; first is the least such id."""
+    first = F.min("id").over(W.partitionBy("key"))
+    return (rows.withColumn("first", first).where("first < id").groupBy("id", "first").agg(F.collect_list("w").alias("windows")))
 
 
-def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, shared: Broadcast, width: int, least: int) -> DataFrame:
+def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, width: int, least: int) -> DataFrame:
     """(key, id, w): the windows of texts ``d`` (id, text) with a centre in a
     range, at least ``least`` long, that joined windows ``met`` of ``AGREE``
-    functions cover and no known repeat (id, text_hash, l, r). Windows whose key
-    is not in the sieve ``shared`` are no other text's and are left out."""
+    functions cover and no known repeat (id, text_hash, l, r)."""
 
     @arrow_udf("array<struct<a:int,b:int>>")
     def unexplained(windows: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for w, s in zip(windows, spans, strict=True):
-            done = [] if s.values is None else [(x["l"], x["r"]) for x in s.as_py()]
-            rows = unpacked(w.values.to_numpy(zero_copy_only=False))
-            out.append([{"a": a, "b": b} for a, b in uncovered(rows, done, least)])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        return ranges_of(windows, spans, uncovered, least)
 
     own = met.groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows")).where(_functions(F.col("windows")) >= AGREE)
     spans = known.groupBy("id", "text_hash").agg(F.collect_list(F.struct("l", "r")).alias("spans"))
@@ -357,7 +392,7 @@ def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, shared: Broadca
             for f, key, r, left, centre, right in _windows(numbered, width):
                 place = (r << 32) + centre
                 at = np.searchsorted(first, place, "right") - 1
-                ok = (at >= 0) & (place <= last[at]) & sieve.passes(shared, key)
+                ok = (at >= 0) & (place <= last[at])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[ok]), pa.array(ids[r[ok]]), pa.array(packed(left[ok], right[ok], f))], ["key", "id", "w"])
 
@@ -373,12 +408,7 @@ def _exact_repeats(d: DataFrame, met: DataFrame, known: DataFrame, least: int) -
 
     @arrow_udf("array<struct<a:int,b:int>>")
     def free(windows: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for w, s in zip(windows, spans, strict=True):
-            done = [] if s.values is None else [(x["l"], x["r"]) for x in s.as_py()]
-            rows = unpacked(w.values.to_numpy(zero_copy_only=False))
-            out.append([{"a": a, "b": b} for a, b in unrepeated(rows, done, least)])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        return ranges_of(windows, spans, unrepeated, least)
 
     # Texts that share an id share its windows; what is known is a text's own.
     own = met.groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
@@ -433,22 +463,54 @@ def _exact_repeats(d: DataFrame, met: DataFrame, known: DataFrame, least: int) -
             .select("id", "text_hash", "start", "end", "n_words", "first", F.lit(1.0).alias("similarity")))
 
 
-def _compare(own: str, other: str, windows: pa.Array, least: int, similarity: float) -> list[dict]:
-    w = unpacked(windows.to_numpy(zero_copy_only=False))
-    data, off = utf8(pa.array([own]))
-    row, start, end = words(data, off)
-    s, _, _ = shingles(span_hashes(data, start, end), row, 1, SHINGLE)
-    odata, ooff = utf8(pa.array([other]))
-    orow, ostart, oend = words(odata, ooff)
-    t, _, _ = shingles(span_hashes(odata, ostart, oend), orow, 1, SHINGLE)
-    w = w[w[:, 1] < len(s)]  # windows of another text with this id may not fit
+def _shingled(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingles, first byte of each word, last byte behind it, bytes) of each text."""
+    data, off = utf8(texts)
+    for a, b in chunks(off):
+        part, o = data[off[a]:off[b]], off[a:b + 1] - off[a]
+        row, start, end = words(part, o)
+        s, srow, _ = shingles(span_hashes(part, start, end), row, b - a, SHINGLE)
+        at, sat = (np.searchsorted(x, np.arange(b - a + 1)) for x in (row, srow))
+        for i in range(b - a):
+            own = slice(at[i], at[i + 1])
+            yield s[sat[i]:sat[i + 1]], start[own] - o[i], end[own] - o[i], part[o[i]:o[i + 1]]
+
+
+def _points(data: np.ndarray) -> int:
+    """Code points of UTF-8 bytes."""
+    return int(np.count_nonzero((data & 0xC0) != 0x80))
+
+
+def _compare(own: pa.Array, other: pa.Array, windows: pa.Array, least: int, similarity: float) -> pa.Array:
+    """Lists of the repeats of each text of ``own`` in the text beside it, in
+    ranges that its packed windows of ``AGREE`` functions cover. A text that is
+    in several rows of the batch is read once."""
+    own, other = own.dictionary_encode(), other.dictionary_encode()
+    texts = list(_shingled(own.dictionary))
+    others = [s for s, *_ in _shingled(other.dictionary)]
+    orders: dict[int, np.ndarray] = {}
+    x, y = own.indices.to_numpy(), other.indices.to_numpy()
+    row, w = flat(windows)
+    w = unpacked(w.to_numpy(zero_copy_only=False))
+    fit = w[:, 1] < np.array([len(s) for s, *_ in texts], np.int64)[x[row]]  # windows of another text with this id may not
+    row, a, b = covered(row[fit], w[fit], AGREE)
+    bounds = np.searchsorted(row, np.arange(len(x) + 1))
     out = []
-    for a, b, value in repeats(s, t, covered(w, len(s), AGREE), least, similarity):
-        p, q = int(start[a]), int(end[b + SHINGLE - 1])
-        head = len(data[:p].tobytes().decode("utf-8", "replace"))
-        out.append({"start": head, "end": head + len(data[p:q].tobytes().decode("utf-8", "replace")),
-                    "n_words": b - a + SHINGLE, "similarity": value, "l": a, "r": b})
-    return out
+    for i, (m, n) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        ranges = [(p, q) for p, q in zip(a[m:n].tolist(), b[m:n].tolist(), strict=True) if q - p + 1 >= least]
+        if not ranges:
+            continue
+        if y[i] not in orders:
+            orders[y[i]] = np.argsort(others[y[i]], kind="stable")
+        s, start, end, data = texts[x[i]]
+        for l, r, value in repeats(s, others[y[i]], orders[y[i]], ranges, least, similarity):  # noqa: E741
+            p, q = start[l], end[r + SHINGLE - 1]
+            head = _points(data[:p])
+            out.append((i, head, head + _points(data[p:q]), r - l + SHINGLE, value, l, r))
+    columns = list(zip(*out, strict=True)) or [()] * 7
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+    return by_row(len(x), np.array(columns[0], np.int64), ["start", "end", "n_words", "similarity", "l", "r"],
+                  [pa.array(c, kind) for c, kind in zip(columns[1:], kinds, strict=True)])
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
