@@ -141,6 +141,80 @@ def test_compact_windows_against_definition():
         assert set(zip(*(x.tolist() for x in got), strict=True)) == expected
 
 
+def test_ranges_of_many_texts_against_definition():
+    """Ranges that windows of several functions cover, of all texts at once."""
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        row, windows, row_out, out = [], [], [], []
+        expected = {"covered": [], "uncovered": [], "unrepeated": []}
+        for r in range(int(rng.integers(1, 5))):
+            own = [(int(a), int(a + n), int(f)) for a, n, f in zip(rng.integers(0, 60, 40), rng.integers(0, 30, 40), rng.integers(0, 8, 40))]
+            known = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, r), rng.integers(0, 20, r))]
+            row, windows = row + [r] * len(own), windows + own
+            row_out, out = row_out + [r] * len(known), out + known
+
+            def ranges(inside, r=r):
+                edges = [i for i in range(101) if inside(i) != inside(i - 1)]
+                return [(r, a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+            def functions(i, last, own=own):
+                return len({f for a, b, f in own if a <= i and last <= b})
+
+            def free(i, last, known=known):
+                return not any(a <= i and last <= b for a, b in known)
+
+            expected["covered"] += ranges(lambda i: functions(i, i) >= passages.AGREE)
+            expected["uncovered"] += [x for x in ranges(lambda i: functions(i, i) >= passages.AGREE and free(i, i)) if x[2] - x[1] + 1 >= 6]
+            expected["unrepeated"] += ranges(lambda i: functions(i, i + 5) == passages.HASHES and free(i, i + 5))
+        row, windows = np.array(row), np.array(windows)
+        row_out, out = np.array(row_out, np.int64), np.array(out, np.int64).reshape(-1, 2)
+        got = {"covered": passages.covered(row, windows, passages.AGREE), "uncovered": passages.uncovered(row, windows, row_out, out, 6),
+               "unrepeated": passages.unrepeated(row, windows, row_out, out, 6)}
+        assert {k: list(zip(*(x.tolist() for x in v), strict=True)) for k, v in got.items()} == expected
+
+
+def test_windows_join_the_first_text_in_one_pass(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), rng.choice([None, *range(20)]), i) for i in range(300)]
+    rows = [r for r in rows if r[1] is not None]
+    met = passages._met(spark.createDataFrame(rows, "key long, id long, w long"))
+    expected = {}
+    for key, i, w in rows:
+        first = min(j for k, j, _ in rows if k == key)
+        if first < i:
+            expected.setdefault((i, first), []).append(w)
+    assert {(r.id, r.first): sorted(r.windows) for r in met.collect()} == expected
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Join" not in plan
+
+
+def test_windows_of_a_line_over_and_over_are_one_a_function():
+    texts = [" ".join(["over"] * 400), f"{prose(1, 60)} {prose(2, 9)} " + " ".join([prose(3, 12)] * 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array(texts)], ["id", "text"])
+    for _, key, ids, left, _, right, outer in passages._windows(batch, 40):
+        seven = ids == 7
+        assert seven.sum() > 300 and (outer[seven] < 0).sum() == 1
+        windows = list(zip(ids.tolist(), key.tolist(), left.tolist(), right.tolist(), strict=True))
+        kept = [w for w, o in zip(windows, outer.tolist(), strict=True) if o < 0]
+        for i, k, a, b in windows:
+            assert any((i, k) == (j, m) and c <= a and b <= d for j, m, c, d in kept)
+
+
+def test_a_text_in_several_pairs_is_compared_as_alone():
+    texts = [prose(21, 90), f"{prose(22, 30)} é {prose(21, 90)}", prose(23, 120), ""]
+    own, other = [0, 1, 1, 2, 1, 3], [1, 0, 2, 1, 0, 0]
+    window = passages.packed(np.zeros(3, np.int64), np.full(3, 84), np.arange(3))
+
+    def compare(a, b):
+        return passages._compare(pa.array([texts[i] for i in a]), pa.array([texts[i] for i in b]), pa.array([window] * len(a)), 46, 0.8).to_pylist()
+
+    got = compare(own, other)
+    assert got == [compare([a], [b])[0] for a, b in zip(own, other, strict=True)]
+    assert [len(x) for x in got] == [1, 1, 0, 0, 1, 0]
+    at = got[1][0]
+    assert texts[1][at["start"]:at["end"]] == " ".join(texts[0].split()[:at["n_words"]]) and at["n_words"] >= 50
+
+
 def test_repeated_passages_leave_the_first(spark):
     shared = prose(50, 70)
     changed = shared.split()

@@ -10,7 +10,9 @@ signature, under each of ``HASHES`` functions.
 
 * Windows with the same shingle under the same function join the texts. Each
   joins the first text (least id) that has such a window, not every other one,
-  so a passage that many texts share gives one link a text.
+  so a passage that many texts share gives one link a text. Of the windows of a
+  shingle that a text repeats those inside another one are left out, so a text
+  of one line over and over is one row a key, not one for each line.
 * Where windows of ``AGREE`` functions that join the same two texts overlap, the
   two are compared shingle by shingle. A passage of at least ``min_words``
   words whose shingles reach the Jaccard similarity with one of the first text
@@ -66,8 +68,10 @@ class Walled:
         self.back = np.zeros(size, np.int64)
         self.back[place] = np.arange(n)
 
-    def windows(self, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(left, centre, right) of the compact windows of a function."""
+    def windows(self, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(left, centre, right, outer) of the compact windows of a function;
+        outer is the centre of a window of an equal value that holds this window,
+        -1 if there is none."""
         v = seeded(self.values, seed)
         v |= np.uint64(1 << 63)
         v >>= self.bits
@@ -76,7 +80,7 @@ class Walled:
         v[self.walls] = self.walls  # no hash above the place
         if len(v) < self.width:
             z = np.zeros(0, np.int64)
-            return z, z, z
+            return z, z, z, z
         least, span = v, 1
         while 2 * span <= self.width:
             least, span = np.minimum(least[:-span], least[span:]), 2 * span
@@ -96,7 +100,9 @@ class Walled:
             while len(todo):
                 todo = todo[value[near[todo]] > value[todo]]
                 near[todo] = near[near[todo]]
-        return self.back[at[left[idx]] + 1], self.back[at[idx]], self.back[at[right[idx]] - 1]
+        centre, below = at[idx], at[left[idx]]
+        held = ~is_wall[left[idx]] & (self.values[below] == self.values[centre])
+        return self.back[below + 1], self.back[centre], self.back[at[right[idx]] - 1], np.where(held, self.back[below], -1)
 
 
 def compact_windows(values: np.ndarray, row: np.ndarray, width: int, seed: int
@@ -104,7 +110,7 @@ def compact_windows(values: np.ndarray, row: np.ndarray, width: int, seed: int
     """(left, centre, right) of every compact window of at least ``width``
     elements, as places in ``values``; windows do not cross rows. Equal values
     in a row: the leftmost counts as the smallest."""
-    return Walled(values, row, width).windows(seed)
+    return Walled(values, row, width).windows(seed)[:3]
 
 
 def _word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -116,16 +122,16 @@ def _word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
-    """(function, keys, ids, left, centre, right) of a batch (id, text)."""
+    """(function, keys, ids, left, centre, right, outer) of a batch (id, text)."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     for a, b, h, row in _word_hashes(batch.column(1)):
         s, srow, _ = shingles(h, row, b - a, SHINGLE)
         first = np.searchsorted(srow, np.arange(b - a))
         laid = Walled(s, srow, width)
         for f in range(HASHES):
-            left, centre, right = laid.windows(100 + f)
+            left, centre, right, outer = laid.windows(100 + f)
             r = srow[centre]
-            yield f, seeded(s[centre], 200 + f).view(np.int64), ids[a:b][r], left - first[r], centre - first[r], right - first[r]
+            yield f, seeded(s[centre], 200 + f).view(np.int64), ids[a:b][r], left - first[r], centre - first[r], right - first[r], np.where(outer < 0, -1, outer - first[r])
 
 
 def packed(left: np.ndarray, right: np.ndarray, f: int) -> np.ndarray:
@@ -330,8 +336,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def windows(batches):
         for batch in lean(batches):
-            for f, key, ids, left, _, right in _windows(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(packed(left, right, f))], ["key", "id", "w"])
+            for f, key, ids, left, _, right, outer in _windows(batch, width):
+                ok = outer < 0  # a window inside one with the same key adds nothing
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[ok]), pa.array(ids[ok]), pa.array(packed(left[ok], right[ok], f))], ["key", "id", "w"])
 
     met = saved(_met(d.mapInArrow(windows, "key long, id long, w long")))
 
@@ -389,10 +397,11 @@ def _unexplained(d: DataFrame, met: DataFrame, known: DataFrame, width: int, lea
             row = np.repeat(np.arange(len(ids)), ranges.value_lengths().to_numpy(zero_copy_only=False)) << 32
             first, last = (row + ranges.flatten().field(x).to_numpy(zero_copy_only=False) for x in (0, 1))
             numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), batch.column(1)], ["row", "text"])
-            for f, key, r, left, centre, right in _windows(numbered, width):
-                place = (r << 32) + centre
+            for f, key, r, left, centre, right, outer in _windows(numbered, width):
+                place = (r << 32) + np.stack([centre, outer])
                 at = np.searchsorted(first, place, "right") - 1
-                ok = (at >= 0) & (place <= last[at])
+                inside = (at >= 0) & (place <= last[at])
+                ok = inside[0] & ~(inside[1] & (outer >= 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[ok]), pa.array(ids[r[ok]]), pa.array(packed(left[ok], right[ok], f))], ["key", "id", "w"])
 
