@@ -76,3 +76,86 @@ def test_table_keeps_its_state(spark):
     _equal(spark.table(name), lifetime.customer_weekly_lifetime(*frames, as_of=NEW).select(*lifetime.SINK_COLUMNS))
     drop_result(spark, name)
     drop_result(spark, f"{name}__state")
+
+
+def _above(plan, leaf):
+    """The lines of a plan's tree that lie above the first one with ``leaf``, from below."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if leaf in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, least = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < least:
+            above.append(line)
+            least = depth(line)
+    return above
+
+
+def test_kept_rows_are_neither_shuffled_nor_cast(spark):
+    frames = _frames(spark)
+    name = "c360.kept"
+    customer360.advance_customer360(spark, *frames, table=name, as_of=OLD)
+    stored = spark.table(name)
+    rows = advance.advance(stored, spark.table(f"{name}__state"), lifetime.prepare(*frames), OLD, NEW)
+    assert [f.dataType for f in rows.schema if f.name in lifetime.RUNNING] == [stored.schema[c].dataType for c in lifetime.RUNNING]
+    above = _above(rows._jdf.queryExecution().executedPlan().toString(), current_version(spark, name).rpartition(".")[2])
+    assert any("BroadcastHashJoin" in line and "LeftAnti" in line for line in above), above
+    assert not [line for line in above if "Exchange" in line or "SortMergeJoin" in line or "as decimal" in line], above
+    _equal(lifetime.lifetime_rows(lifetime.prepare(*frames), NEW), rows)
+    drop_result(spark, name)
+    drop_result(spark, f"{name}__state")
+
+
+def test_more_changed_customers_than_are_broadcast(spark, monkeypatch):
+    frames = _frames(spark)
+    table, state = _at(frames, OLD)
+    customers, conversions, orders, dates = frames
+    late = orders.withColumn("order_number", F.col("order_number") + 50000).withColumn("price_paid", F.col("price_paid") + 1)
+    prepared = lifetime.prepare(customers, conversions, orders.union(late), dates)
+    monkeypatch.setattr(advance, "CHANGED_BROADCAST_LIMIT", 0)
+    rows = advance.advance(table, state, prepared, OLD, NEW)
+    _equal(lifetime.lifetime_rows(prepared, NEW), rows)
+
+
+@pytest.mark.parametrize("frames", [_frames, _dirty_frames])
+def test_figures_get_the_types_of_the_table_before_the_weeks_are_made(spark, frames):
+    prepared = lifetime.prepare(*frames(spark))
+    types = lifetime.stored_types(lifetime.sink_schema())
+    assert types == dict.fromkeys(lifetime.AMOUNTS[1:] + lifetime.RUNNING, "decimal(18,2)")
+    rows, plain = lifetime.lifetime_rows(prepared, NEW, types=types), lifetime.lifetime_rows(prepared, NEW)
+    assert {rows.schema[c].dataType.simpleString() for c in types} == {"decimal(18,2)"}
+    assert {plain.schema[c].dataType.simpleString() for c in lifetime.RUNNING} == {"decimal(38,2)"}
+    _equal(rows, plain)
+    above = _above(rows._jdf.queryExecution().optimizedPlan().toString(), "Generate explode")
+    assert not [line for line in above if "as decimal" in line], above
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_figure_too_large_for_its_column_fails(spark, ansi):
+    customers, conversions, orders, dates = _frames(spark)
+    orders = orders.withColumn("price_paid", F.lit("9999999999999999.99").cast(orders.schema["price_paid"].dataType))
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rows = lifetime.lifetime_rows(lifetime.prepare(customers, conversions, orders, dates), NEW, types=lifetime.stored_types(lifetime.sink_schema()))
+        with pytest.raises(Exception, match="cannot hold"):
+            rows.collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_query_reads_the_table_from_its_files(spark, tmp_path):
+    """lifetime_advanced: no copy of the table beside it, and no table left."""
+    from tillroll.plans import registry
+
+    spark.range(40).selectExpr("id AS c_custkey", "concat('N', id) AS c_name", "'S' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2000).selectExpr(
+        "id AS o_orderkey", "id % 37 AS o_custkey", "'O' AS o_orderstatus", "double(id % 90) AS o_totalprice",
+        "cast(date_add(date'1995-02-01', int(id * 7 % 2400)) AS timestamp_ntz) AS o_orderdate",
+        "if(id % 5 = 0, '1-URGENT', '5-LOW') AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.build()["lifetime_advanced"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+    assert not [t.name for t in spark.catalog.listTables("tillroll_reports") if t.name.startswith("full_360")]
+    full = registry.build()["lifetime_capped"](spark, str(tmp_path))
+    _equal(full, found)

@@ -10,7 +10,9 @@ has in the table) and, for every (customer, conversion), weeks and revenue.
 * compares the digests of the new inputs, over the same weeks, with the kept ones:
   a late or changed order, a new conversion or a new customer differs. Customers
   with a conversion of unknown week, whose intervals may overlap, always differ;
-* keeps the dated rows of all other customers as they are stored;
+* keeps the dated rows of all other customers as they are stored: a scan that leaves
+  out the changed customers, broadcast unless they are very many, without a shuffle
+  or a cast of the stored figures;
 * makes their new weeks only, counting and summing on from the kept totals;
 * makes their rows without a week again, since those show the customer's total;
 * builds the customers that differ anew, whole.
@@ -35,8 +37,12 @@ from tillroll.operators.lifetime import (
     _spans,
     group_totals,
     lifetime_rows,
+    stored_types,
 )
 
+# More changed customers than this (8 bytes each) are not broadcast.
+CHANGED_BROADCAST_LIMIT = 1_000_000
+
 STATE_DDL = """
     ck BIGINT,
     conversion_id BIGINT,
@@ -99,12 +105,17 @@ def advance(stored: DataFrame, state: DataFrame, prepared: Prepared, as_of: str,
     if new_as_of < as_of:
         raise ValueError(f"the cap cannot go back from {as_of} to {new_as_of}")
     changed = changed_customers(state, prepared, as_of).checkpoint(eager=True)
+    # Of a checkpoint the planner knows no size; it would shuffle the whole stored table.
+    if changed.limit(CHANGED_BROADCAST_LIMIT + 1).count() <= CHANGED_BROADCAST_LIMIT:
+        changed = F.broadcast(changed)
+    types = stored_types(stored.select(*SINK_COLUMNS).schema)
     mine = F.col("_ck") == F.col("ck")
     only = lambda df, how: df.join(changed, mine, how)
     parts = {how: replace(prepared, dated=only(prepared.dated, how), undated=only(prepared.undated, how), weekly=only(prepared.weekly, how))
              for how in ("left_semi", "left_anti")}
-    anew = lifetime_rows(parts["left_semi"], new_as_of)
+    anew = lifetime_rows(parts["left_semi"], new_as_of, types=types)
     carried = state.where("weeks IS NOT NULL").select(F.col("ck").alias("_ck"), "conversion_id", F.col("weeks").alias("_weeks"), F.col("paid").alias("_paid"))
-    further = lifetime_rows(parts["left_anti"], new_as_of, since=as_of, carried=carried)
+    further = lifetime_rows(parts["left_anti"], new_as_of, since=as_of, carried=carried, types=types)
     past = stored.where("order_week IS NOT NULL").withColumn("_ck", _customer_key()).join(changed, mine, "left_anti")
-    return past.select(*SINK_COLUMNS).unionByName(further).unionByName(anew)
+    # Few rows in each partition of the made ones: one file for several.
+    return past.select(*SINK_COLUMNS).unionByName(further.unionByName(anew).coalesce(prepared.partitions))
